@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm.common import read_table
+from cairn.llm.quality import held_out, score_quality, train_quality
+from cairn.llm.secrets import digest, scan_secrets
 from cairn.llm.token_counts import token_counts
 
 
@@ -14,9 +16,22 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    net = train_quality(docs, read_table(spark, sf_dir, "labels"))
+    scored = score_quality(docs, net)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(scan_secrets(read_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_quality": op2_quality,
+        "op3_secret_scan": op3_secret_scan,
     }
 
 
