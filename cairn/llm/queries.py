@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cairn.llm.common import read_table
 from cairn.llm.quality import held_out, score_quality, train_quality
 from cairn.llm.secrets import digest, scan_secrets
+from cairn.llm.sharding import shard_documents
 from cairn.llm.token_counts import token_counts
 
 
@@ -27,11 +28,16 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan_secrets(read_table(spark, sf_dir, "documents")))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_quality": op2_quality,
         "op3_secret_scan": op3_secret_scan,
+        "op4_sharding": op4_sharding,
     }
 
 
