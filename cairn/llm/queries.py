@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm.common import read_table
+from cairn.llm.near_dedup import near_duplicates
 from cairn.llm.quality import held_out, score_quality, train_quality
 from cairn.llm.secrets import digest, scan_secrets
 from cairn.llm.sharding import shard_documents
@@ -32,12 +33,17 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_quality": op2_quality,
         "op3_secret_scan": op3_secret_scan,
         "op4_sharding": op4_sharding,
+        "op5_near_dedup": op5_near_dedup,
     }
 
 
