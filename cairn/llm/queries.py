@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cairn.llm.bpe import bpe_round_trip
 from cairn.llm.common import read_table
 from cairn.llm.near_dedup import near_duplicates
 from cairn.llm.quality import held_out, score_quality, train_quality
@@ -37,6 +38,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -44,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secret_scan": op3_secret_scan,
         "op4_sharding": op4_sharding,
         "op5_near_dedup": op5_near_dedup,
+        "op6_bpe_round_trip": op6_bpe_round_trip,
     }
 
 
