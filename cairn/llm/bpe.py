@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from cairn.llm.common import map_rows, text_or_empty
-from cairn.llm.segments import SegmentCache, split_segments
+from cairn.llm.segments import SegmentCache, segment_keys, segment_text
 
 LEAF = 4
 #: Spans up to this length are remembered: leaves and windows of different words are often alike.
@@ -182,7 +182,7 @@ def worker_bpe(ranks_path: str, pattern: str) -> tuple[TreeBpe, SegmentCache]:
         out = []
         for key in keys:
             ids: list[int] = []
-            for word in words(key):
+            for word in words(segment_text(key)):
                 found = known.get(word)
                 if found is None:
                     if len(known) > 200_000:
@@ -200,8 +200,7 @@ def encode_texts(cache: SegmentCache, texts: list[str]) -> list[bytes]:
     split = []
     keys: set[str] = set()
     for text in texts:
-        parts = split_segments(text)
-        parts = [parts[0], *(" " + p for p in parts[1:])]
+        parts = segment_keys(text)
         split.append(parts)
         keys.update(parts)
     value = cache.ensure(keys).__getitem__

@@ -83,3 +83,23 @@ def text_or_empty(name: str = "text"):
 def unsigned_crc(column):
     """CRC-32 of the UTF-8 bytes, 0 .. 2^32 - 1."""
     return F.crc32(column.cast("binary"))
+
+
+def range_bounds(df: DataFrame, column: str, buckets: int) -> list:
+    """At most ``buckets - 1`` ascending bounds that cut the column's values into about equal shares."""
+    shares = [i / buckets for i in range(1, buckets)]
+    if not shares:
+        return []
+    found = df.agg(F.percentile_approx(column, shares, 10_000).alias("bounds")).first()["bounds"]
+    return sorted(set(found or []))
+
+
+def bucket_of(column: str, bounds: list):
+    """The number of bounds that are at most the value: bucket order is value order; nulls are first.
+
+    The bounds are a literal array of fixed size, so this is a plain expression.
+    """
+    if not bounds:
+        return F.lit(0)
+    edges = F.array(*(F.lit(b) for b in bounds))
+    return F.coalesce(F.size(F.filter(edges, lambda b: b <= F.col(column))), F.lit(0))

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm.bpe import bpe_round_trip
-from cairn.llm.common import read_table
+from cairn.llm.common import read_table, shared_path
 from cairn.llm.near_dedup import near_duplicates
+from cairn.llm.packing import pack_documents
 from cairn.llm.quality import held_out, score_quality, train_quality
 from cairn.llm.secrets import digest, scan_secrets
 from cairn.llm.sharding import shard_documents
 from cairn.llm.token_counts import token_counts
+from cairn.llm.token_store import read_store, write_store
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +44,16 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "token-store")
+    write_store(read_table(spark, sf_dir, "documents"), path)
+    return read_store(spark, path)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -50,6 +62,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sharding": op4_sharding,
         "op5_near_dedup": op5_near_dedup,
         "op6_bpe_round_trip": op6_bpe_round_trip,
+        "op7_token_store": op7_token_store,
+        "op9_packing": op9_packing,
     }
 
 

@@ -32,6 +32,18 @@ def split_segments(text: str) -> list[str]:
     return text.split(" ")
 
 
+def segment_keys(text: str) -> list[str]:
+    """A key for each segment: the part itself, which stands for the part with its space, or for the
+    head the head behind a line feed, with which no part can begin."""
+    keys = split_segments(text)
+    keys[0] = "\n" + keys[0]
+    return keys
+
+
+def segment_text(key: str) -> str:
+    return key[1:] if key[0] == "\n" else " " + key
+
+
 class SegmentCache:
     """Values of segments in two generations: a full one is kept as the old one, then dropped.
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from cairn.llm.common import map_rows, text_or_empty
-from cairn.llm.segments import SegmentCache, split_segments
+from cairn.llm.segments import SegmentCache, segment_keys, segment_text
 
 
 class LongestMatch:
@@ -118,7 +118,7 @@ def _counter(vocabulary: str, pattern: str) -> SegmentCache:
     def compute(keys: list[str]) -> list[tuple[int, int]]:
         out = []
         for key in keys:
-            found = words(key)
+            found = words(segment_text(key))
             total = 0
             for word in found:
                 n = pieces.get(word)
@@ -154,12 +154,10 @@ def token_counts(
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(1).to_pylist()
-            split = [split_segments(t) for t in texts]
-            # A part stands for the part with its space; the head has none.
+            split = [segment_keys(t) for t in texts]
             keys: set[str] = set()
-            for i, parts in enumerate(split):
-                split[i] = [parts[0], *(" " + p for p in parts[1:])]
-                keys.update(split[i])
+            for parts in split:
+                keys.update(parts)
             values = cache.ensure(keys).__getitem__
             n_tokens, n_words = [], []
             for parts in split:
