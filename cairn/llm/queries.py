@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm.bpe import bpe_round_trip
 from cairn.llm.common import read_table, shared_path
+from cairn.llm.fingerprints import fingerprints_with_neighbours
 from cairn.llm.near_dedup import near_duplicates
 from cairn.llm.packing import pack_documents
 from cairn.llm.quality import held_out, score_quality, train_quality
@@ -50,6 +51,10 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, path)
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints_with_neighbours(read_table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_near_dedup": op5_near_dedup,
         "op6_bpe_round_trip": op6_bpe_round_trip,
         "op7_token_store": op7_token_store,
+        "op8_fingerprints": op8_fingerprints,
         "op9_packing": op9_packing,
     }
 
