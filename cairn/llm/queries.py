@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cairn.llm.bpe import bpe_round_trip
 from cairn.llm.common import read_table, shared_path
 from cairn.llm.fingerprints import fingerprints_with_neighbours
+from cairn.llm.media import media_features, write_media_column
 from cairn.llm.near_dedup import near_duplicates
 from cairn.llm.packing import pack_documents
 from cairn.llm.quality import held_out, score_quality, train_quality
@@ -59,6 +60,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(write_media_column(read_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_token_store": op7_token_store,
         "op8_fingerprints": op8_fingerprints,
         "op9_packing": op9_packing,
+        "op10_media": op10_media,
     }
 
 
