@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -340,6 +342,57 @@ def status_fold(spark, d):
     return textsearch.status_fold(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("script_id"), status.alias("status")))
 
 
+@query("SELECT event_type, count(*) AS n, CAST(round(sum(CAST(value AS DECIMAL(38,6))), 4) AS DOUBLE) AS total FROM events GROUP BY event_type")
+def stream_refresh(spark, d):
+    from cairn.streaming.refresh import event_totals
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cairn-stream-")
+    tag = uuid.uuid4().hex
+    events = table(spark, d, "events")
+    totals = event_totals(spark, d, "events.parquet", events.schema, f"{root}/stream-{tag}", f"totals_{tag}")
+    return totals.select("event_type", "n", F.round(F.col("total"), 4).cast("double").alias("total"))
+
+
+_SCRIPT = "concat_ws('', 'order_', o_orderkey, ' = { status = ', o_orderstatus, ' price = ', cast(o_totalprice as decimal(18,2)), ' priority = \"', o_orderpriority, '\" owner = c', o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN ' oops = 1' ELSE '' END, ' }')"
+
+
+def _scripts(spark, d):
+    """Each order written as a script of the rule language."""
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("doc"), F.expr(_SCRIPT).alias("text"))
+
+
+@query("""WITH k AS (SELECT o_orderkey AS doc, unnest([0, 1, 2, 3, 4, 5]) AS node_id, unnest(['order_' || o_orderkey, 'status', 'price', 'priority', 'owner', 'oops']) AS key,
+ unnest([NULL, o_orderstatus, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), o_orderpriority, 'c' || o_custkey, '1']) AS value FROM orders)
+SELECT doc, CAST(node_id AS INT) AS node_id, CASE WHEN node_id = 0 THEN 0 ELSE 1 END AS depth, key, value FROM k WHERE node_id < 5 OR doc % 7 = 0""")
+def parse_nodes(spark, d):
+    from cairn.operators.parse import nodes
+
+    return nodes(_scripts(spark, d)).select("doc", "node_id", "depth", "key", "value")
+
+
+@query("""SELECT o_orderkey AS doc, 'order' AS identifier, 'CONFIRMED_CWT' AS status, 'CWT_IDENTIFIER' AS code FROM orders
+UNION ALL SELECT o_orderkey, 'status', CASE WHEN o_orderstatus IN ('F', 'O', 'P') THEN 'CONFIRMED_CWT' ELSE 'UNKNOWN' END, CASE WHEN o_orderstatus IN ('F', 'O', 'P') THEN 'CWT_IDENTIFIER' ELSE 'VALUE_MISMATCH' END FROM orders
+UNION ALL SELECT o_orderkey, 'price', CASE WHEN CAST(o_totalprice AS DECIMAL(18,2)) <= 200000 THEN 'CONFIRMED_CWT' ELSE 'UNKNOWN' END, CASE WHEN CAST(o_totalprice AS DECIMAL(18,2)) <= 200000 THEN 'CWT_IDENTIFIER' ELSE 'VALUE_MISMATCH' END FROM orders
+UNION ALL SELECT o_orderkey, 'priority', 'CONFIRMED_CWT', 'CWT_IDENTIFIER' FROM orders
+UNION ALL SELECT o_orderkey, 'owner', CASE WHEN c_custkey IS NULL THEN 'UNKNOWN' ELSE 'CONFIRMED_GAME_DATA' END, CASE WHEN c_custkey IS NULL THEN 'UNKNOWN_OBJECT_REFERENCE' ELSE 'OBJECT_REFERENCE' END FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_nationkey % 5 <> 0) ON c_custkey = o_custkey
+UNION ALL SELECT o_orderkey, 'oops', 'UNKNOWN', 'UNKNOWN_FIELD' FROM orders WHERE o_orderkey % 7 = 0
+UNION ALL SELECT o_orderkey, 'note', 'UNKNOWN', 'CARDINALITY_MISMATCH' FROM orders""")
+def validate_scripts(spark, d):
+    from cairn.operators.parse import nodes
+    from cairn.operators.validate import validate
+
+    columns = "schema string, key string, value_rule string, child_schema string, lo int, hi int, scopes array<string>"
+    declared = spark.createDataFrame(
+        [("root", "order", None, "order", None, None, None), ("order", "status", "enum", None, 1, 1, None), ("order", "price", "float[0..200000]", None, 1, 1, None), ("order", "priority", "scalar", None, 1, 1, None),
+         ("order", "owner", "<customer>", None, 1, 1, None), ("order", "note", "scalar", None, 1, 2, None)], columns,
+    )
+    known = table(spark, d, "customer").where(F.col("c_nationkey") % 5 != 0).select(F.lit("customer").alias("type"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("name"))
+    known = known.unionByName(spark.createDataFrame([("status", "F"), ("status", "O"), ("status", "P")], "type string, name string"))
+    tree = nodes(_scripts(spark, d)).withColumn("key", F.when(F.col("depth") == 0, "order").otherwise(F.col("key")))
+    found = validate(tree, declared.withColumn("value_rule", F.when(F.col("key") == "status", "scalar").otherwise(F.col("value_rule"))), known, "root")
+    return found.select("doc", "identifier", "status", "code")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 
