@@ -40,7 +40,7 @@ def validate(node_rows: DataFrame, rules: DataFrame, references: DataFrame, root
     ``references``: (type, name) of known objects, for values ruled by ``<type>``. Unknown fields
     give UNKNOWN_FIELD and leave what is below them UNRESOLVED_CONTEXT.
     """
-    spark = node_rows.sparkSession
+    node_rows = node_rows.persist()  # parsed once, read at every level
     bad = node_rows.where("error is not null").select(doc, F.lit(None).cast("int").alias("node_id"), F.col("error_line").alias("line"), F.lit(None).cast("string").alias("identifier"), F.lit("UNKNOWN").alias("status"), F.lit("SCRIPT_PARSE_ERROR").alias("code"))
     good = node_rows.where("error is null")
     deepest = good.agg(F.max("depth")).first()[0]
@@ -84,7 +84,6 @@ def validate(node_rows: DataFrame, rules: DataFrame, references: DataFrame, root
         broken = counted.join(limits, "schema").join(counts, [doc, "parent_id", "key_cf"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
         broken = broken.where((F.col("n") < F.coalesce("lo", F.lit(0))) | (F.col("n") > F.coalesce("hi", F.lit(2**31 - 1))))
         findings = findings.unionByName(broken.select(doc, F.col("parent_id").alias("node_id"), F.col("block_line").alias("line"), F.col("key_cf").alias("identifier"), F.lit("UNKNOWN").alias("status"), F.lit("CARDINALITY_MISMATCH").alias("code")))
-    del spark
     return findings
 
 

@@ -56,6 +56,12 @@ def _registry(spark: SparkSession, d: str) -> DataFrame:
     return registry.identifier_registry(_docs(spark, d))
 
 
+def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cases, names and token statistics, each worked out once: the search reads them many times."""
+    reg = _registry(spark, d).persist()
+    return evaluate.mutation_cases(_docs(spark, d)).persist(), reg, registry.token_stats(reg).persist()
+
+
 def _cases(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.mutation_cases(_docs(spark, d))
 
@@ -141,20 +147,20 @@ def merge_segments(spark, d):
 
 @query(f"WITH {_SHORT} SELECT query_id, name, support, priority, rank FROM short")
 def shortlist_topk(spark, d):
-    reg = _registry(spark, d)
-    return registry.shortlist_topk(_cases(spark, d), reg, registry.token_stats(reg))
+    cases, reg, stats = _index(spark, d)
+    return registry.shortlist_topk(cases, reg, stats)
 
 
 @query()
 def fuzzy_search(spark, d):
-    reg = _registry(spark, d)
-    return align.fuzzy_search(_cases(spark, d).select("query_id", "query"), reg, registry.token_stats(reg))
+    cases, reg, stats = _index(spark, d)
+    return align.fuzzy_search(cases.select("query_id", "query"), reg, stats)
 
 
 @query()
 def search_tiers(spark, d):
-    reg = _registry(spark, d)
-    matches = align.fuzzy_matches(_cases(spark, d).select("query_id", "query"), reg, registry.token_stats(reg))
+    cases, reg, stats = _index(spark, d)
+    matches = align.fuzzy_matches(cases.select("query_id", "query"), reg, stats)
     return align.tiers(matches).select("query_id", "tier", "rank", "name", "match_score", "query_support", "candidate_coverage", "total")
 
 
