@@ -37,10 +37,10 @@ from cairn.llm.shingles import TensoredMinHash, shingle_set
 
 TABLES, WIDTH, OFFSETS = 24, 3, 6
 #: Minhashes, of 2 * TABLES * WIDTH, that must agree (by their lowest byte) before a pair of the second
-#: round is confirmed in full: 108 are expected at the threshold, and 1 pair of 400 there has fewer.
-SCREEN = 94
+#: round is confirmed in full: 108 are expected at the threshold, and 1 pair of 130 there has fewer.
+SCREEN = 96
 #: Members of a bucket that are compared with as many others at a time.
-BLOCK = 256
+BLOCK = 1024
 
 
 def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
