@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from cairn.llm.common import map_rows, text_or_empty
-from cairn.llm.segments import SegmentCache, segment_keys, segment_text
+from cairn.llm.segments import SegmentCache, segment_text
 
 LEAF = 4
 #: Spans up to this length are remembered: leaves and windows of different words are often alike.
@@ -197,14 +197,7 @@ def worker_bpe(ranks_path: str, pattern: str) -> tuple[TreeBpe, SegmentCache]:
 
 def encode_texts(cache: SegmentCache, texts: list[str]) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers."""
-    split = []
-    keys: set[str] = set()
-    for text in texts:
-        parts = segment_keys(text)
-        split.append(parts)
-        keys.update(parts)
-    value = cache.ensure(keys).__getitem__
-    return [b"".join(map(value, parts)) for parts in split]
+    return cache.joined(texts)
 
 
 def bpe_round_trip(docs: DataFrame, *, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

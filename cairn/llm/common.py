@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Upper bound of one Arrow batch sent to a Python worker, so that very long texts cannot fill it.
-BATCH_BYTES = 16 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

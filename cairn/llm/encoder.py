@@ -1,17 +1,21 @@
 """Ids of whole texts from the tokenizers library, each distinct segment encoded once a worker.
 
 New segments of an Arrow batch are encoded together, as one text: every part brings its own lone
-space, no pre-token crosses it, and the ids that open with a space mark where the parts begin. Where
+space or line feed, no pre-token crosses it, and the ids that open with one mark where parts begin. Where
 those marks do not fit the parts, and for parts with other white space inside, each is encoded alone.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
 
-from cairn.llm.segments import SegmentCache, segment_keys, segment_text
+from cairn.llm.segments import SegmentCache, segment_text
+
+#: A key that is not a head, whose only white space may be a line feed in front.
+_PLAIN = re.compile(r"\n?\S+").fullmatch
 
 
 class SegmentEncoder:
@@ -26,44 +30,32 @@ class SegmentEncoder:
         self.dtype = np.dtype("<u2" if max(vocabulary.values(), default=0) < 65_536 else "<u4")
         self._opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         for piece, number in vocabulary.items():
-            self._opens[number] = piece.startswith("Ġ")  # a space, in the byte-level alphabet
+            self._opens[number] = piece.startswith(("Ġ", "Ċ"))  # space and line feed in the byte-level alphabet
         self._cache = SegmentCache(self._values)
 
     def _alone(self, keys: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self._tokenizer.encode_batch_fast([segment_text(k) for k in keys], add_special_tokens=False)]
 
     def _values(self, keys: list[str]) -> list[bytes]:
-        joint = [i for i, k in enumerate(keys) if self._plain(k)]
+        joint = [i for i, k in enumerate(keys) if _PLAIN(k)]
         values: list[bytes | None] = [None] * len(keys)
         for start in range(0, len(joint), 20_000):
             some = joint[start : start + 20_000]
-            joined = " " + " ".join([keys[i] for i in some])
+            joined = "".join([k if (k := keys[i])[0] == "\n" else " " + k for i in some])
             ids = np.array(self._tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
             cuts = np.flatnonzero(self._opens[ids])
             if len(cuts) != len(some) or (len(cuts) and cuts[0]):
                 continue
-            packed, step = ids.tobytes(), self.dtype.itemsize
-            ends = [*(cuts[1:] * step).tolist(), len(packed)]
-            for i, a, b in zip(some, (cuts * step).tolist(), ends, strict=True):
+            packed, places = ids.tobytes(), (cuts * self.dtype.itemsize).tolist()
+            for i, a, b in zip(some, places, [*places[1:], len(packed)], strict=True):
                 values[i] = packed[a:b]
         rest = [i for i, v in enumerate(values) if v is None]
         for i, v in zip(rest, self._alone([keys[i] for i in rest]), strict=True):
             values[i] = v
         return values
 
-    @staticmethod
-    def _plain(key: str) -> bool:
-        """Not the head, without white space at either end or a space inside."""
-        return key[0] != "\n" and not key[0].isspace() and not key[-1].isspace() and " " not in key
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        split, keys = [], set()
-        for text in texts:
-            parts = segment_keys(text)
-            split.append(parts)
-            keys.update(parts)
-        value = self._cache.ensure(keys).__getitem__
-        return [b"".join(map(value, parts)) for parts in split]
+        return self._cache.joined(texts)
 
 
 @lru_cache(maxsize=2)

@@ -6,42 +6,43 @@ everything else, and a single space can only open the match of what follows it.
 
     text  =  head + " " + part + " " + part ...       (cut at such spaces)
 
-and the ids of the text are the ids of ``head`` followed by those of every ``" " + part``. Words
+and the ids of the text are the ids of ``head`` followed by those of every ``" " + part``. The same
+holds before a line feed that stands alone. Words
 repeat, so each distinct part is worked out once per worker and then looked up.
 """
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable
+from itertools import compress, repeat
+from operator import is_
 
 _ANY_WHITE_PAIR = re.compile(r"\s\s")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 #: Entries of one cache generation; two generations live at once, so memory is bounded.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 400_000
 
 
-def split_segments(text: str) -> list[str]:
-    """``head`` and the parts after each lone space, without that space.
+def segment_keys(text: str) -> list[str]:
+    """A key for each segment; ``segment_text`` of the keys, joined, is the text.
 
-    ``"".join`` of the head and every part with its space back in front gives the text.
+    A part that follows a lone space is its own key. The head's key has a space in front, with which
+    no part begins. A line feed between two non-white characters is a match of its own, so where no
+    white space stands side by side, a text is cut before line feeds too, which stay in the key.
     """
     if text[:1].isspace() or text[-1:].isspace() or _ANY_WHITE_PAIR.search(text):
-        return _LONE_SPACE.split(text)
-    return text.split(" ")
-
-
-def segment_keys(text: str) -> list[str]:
-    """A key for each segment: the part itself, which stands for the part with its space, or for the
-    head the head behind a line feed, with which no part can begin."""
-    keys = split_segments(text)
-    keys[0] = "\n" + keys[0]
+        keys = _LONE_SPACE.split(text)
+    else:
+        keys = text.replace("\n", " \n").split(" ")
+    keys[0] = " " + keys[0]
     return keys
 
 
 def segment_text(key: str) -> str:
-    return key[1:] if key[0] == "\n" else " " + key
+    return key[1:] if key[0] == " " else key if key[0] == "\n" else " " + key
 
 
 class SegmentCache:
@@ -52,6 +53,8 @@ class SegmentCache:
     """
 
     def __init__(self, compute: Callable[[list[str]], list], entries: int = CACHE_ENTRIES):
+        # What is held here has no cycles: reference counts free it, so the collector may look seldom.
+        gc.set_threshold(200_000, 50, 100)
         self._compute, self._entries = compute, entries
         self.now: dict[str, object] = {}
         self._old: dict[str, object] = {}
@@ -69,3 +72,17 @@ class SegmentCache:
         if missing:
             self.now.update(zip(missing, self._compute(missing), strict=True))
         return self.now
+
+    def joined(self, texts: list[str]) -> list[bytes]:
+        """For values that are bytes: the values of each text's segments, one after the other."""
+        split = [segment_keys(text) for text in texts]
+        values, missing = [], set()
+        for keys in split:
+            found = list(map(self.now.get, keys))
+            missing.update(compress(keys, map(is_, found, repeat(None))))
+            values.append(found)
+        known = self.ensure(missing) if missing else self.now
+        for keys, found in zip(split, values, strict=True):
+            for i, _ in compress(enumerate(found), map(is_, found, repeat(None))):
+                found[i] = known[keys[i]]
+        return [b"".join(found) for found in values]

@@ -38,7 +38,7 @@ from cairn.llm.common import bounded_batches, bucket_of, map_rows, range_bounds,
 from cairn.llm.encoder import worker_encoder
 from cairn.llm.shingles import mixed
 
-WINDOW, CUT_BITS, LEAST, MOST = 16, 8, 64, 2048
+WINDOW, CUT_BITS, LEAST, MOST = 16, 9, 128, 4096
 #: Digests that a writing task remembers in order not to stage a chunk twice.
 SEEN = 200_000
 #: The CRC-32 polynomial, reflected (a fixed value of the format).
@@ -168,9 +168,9 @@ def write_store(docs: DataFrame, path: str, *, tokenizer: str | None = None, end
 
     spark = docs.sparkSession
     staged_at = shared_path(spark, "token-staging")
-    map_rows(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")), ["doc_id", "text"], make, schema).write.parquet(staged_at)
+    map_rows(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")), ["doc_id", "text"], make, schema).write.option("compression", "zstd").parquet(staged_at)
     staged = spark.read.schema(schema).parquet(staged_at)
-    staged.select(F.inline("fresh")).dropDuplicates(["digest"]).write.parquet(f"{path}/chunks")
+    staged.select(F.inline("fresh")).dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = range_bounds(staged, "doc_id", min(512, parts))
@@ -185,6 +185,9 @@ def write_store(docs: DataFrame, path: str, *, tokenizer: str | None = None, end
     placed = placed.select("doc_id", "bucket", "start", "n_tokens", "width", "digests", "root")
     placed.repartitionByRange(parts, "start").sortWithinPartitions("start").write.parquet(f"{path}/recipes")
     _write_manifest(spark, path)
+    # The store is whole and reads nothing from the staged rows any more.
+    stale = spark._jvm.org.apache.hadoop.fs.Path(staged_at)
+    stale.getFileSystem(spark._jsc.hadoopConfiguration()).delete(stale, True)
 
 
 def _write_manifest(spark: SparkSession, path: str) -> None:
