@@ -4,7 +4,7 @@ Two collections of ``TABLES`` half keys, of ``WIDTH`` minhashes each, are comput
 table key joins a half key of the first collection with one of the second; the ``OFFSETS`` pairings
 used give TABLES * OFFSETS tables of 2 * WIDTH minhashes out of 2 * TABLES * WIDTH minhashes in all.
 At the threshold (0.75) a pair shares a half key with probability 0.42 and misses every table with
-a probability below one in a million.
+a probability of 14 in a million.
 
 1. Equal shingle sets are one class; its smallest id stands for it from here on.
 2. Half keys that a single class has are dropped: no table key made of them can be shared. So only
@@ -12,8 +12,9 @@ a probability below one in a million.
 3. First round: every member of a bucket is paired with the smallest one. The pairs are confirmed on
    the full shingle sets, and confirmed links are joined into components.
 4. Second round: in buckets that still hold two components or more, members of different components
-   are paired, once each, if their sizes allow the threshold and ``SCREEN`` of their minhashes agree.
-   They are confirmed likewise, and components joined again.
+   are paired, once each, if the bound that their bitmaps set to the intersection allows the
+   threshold; it is never below the intersection, so no link is lost. They are confirmed likewise,
+   and components joined again.
    Pairs inside one component need no link, so a large group of copies is never expanded to pairs.
 
 Odd rows: a null or empty text, or one of white space alone, has no shingles and is linked with
@@ -33,37 +34,33 @@ from pyspark.sql import types as T
 
 from cairn.llm.common import bounded_batches, map_rows, stored, text_or_empty
 from cairn.llm.components import connected_components
-from cairn.llm.shingles import TensoredMinHash, shingle_set
+from cairn.llm.shingles import Bitmaps, TensoredMinHash, bitmap, shingle_set
 
 TABLES, WIDTH, OFFSETS = 24, 3, 6
-#: Minhashes, of 2 * TABLES * WIDTH, that must agree (by their lowest byte) before a pair of the second
-#: round is confirmed in full: 108 are expected at the threshold, and 1 pair of 130 there has fewer.
-SCREEN = 96
 #: Members of a bucket that are compared with as many others at a time.
 BLOCK = 1024
 
 
 def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, set_id (of the whole set) and halves of each row."""
+    """id, n_shingles, set_id (of the whole set), halves and bits of each row."""
     schema = T.StructType([
         T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.BinaryType()), T.StructField("halves", T.ArrayType(T.LongType())),
-        T.StructField("marks", T.BinaryType()),
+        T.StructField("bits", T.BinaryType()),
     ])
 
     def make():
         hashes = TensoredMinHash(TABLES, WIDTH)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sizes, ids, halves, marks = [], [], [], []
+            sizes, ids, halves, bits = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text)
                 sizes.append(len(found))
                 ids.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                keys, bytes_ = hashes.halves(found) if len(found) else (None, None)
-                halves.append(keys)
-                marks.append(bytes_)
+                halves.append(hashes.halves(found)[0] if len(found) else None)
+                bits.append(bitmap(found) if len(found) else None)
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(halves, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=schema.names
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(halves, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=schema.names
             )
 
         return work
@@ -122,14 +119,14 @@ def _crossing(placed: DataFrame, mixed: DataFrame, reps: DataFrame, percent: int
     blocks = F.floor((F.col("size") - 1) / BLOCK).cast("int")  # the last block
     members = placed.join(mixed.select("key", blocks.alias("last")).hint("shuffle_hash"), "key").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("last") + 1).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), "last"))).select("key", "i", "j", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "rep", "component")
-    members = members.join(reps.select("rep", F.col("n").alias("size"), "halves", "marks"), "rep")
-    fields = ["key", "b1", "b2", "own", "i", "j", "rep", "component", "size", "halves", "marks"]
+    members = members.join(reps.select("rep", F.col("n").alias("size"), "halves", "bits"), "rep")
+    fields = ["key", "b1", "b2", "own", "i", "j", "rep", "component", "size", "halves", "bits"]
     members = members.select(*fields).repartition(wide, "key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
 
     def compared(group: pa.Table) -> pa.RecordBatch:
         col = {c: group.column(c).combine_chunks() for c in fields}
         own, size, halves = col["own"].to_numpy(), col["size"].to_numpy(), col["halves"].flatten().to_numpy().reshape(-1, 2 * TABLES)
-        marks = np.frombuffer(b"".join(col["marks"].to_pylist()), np.uint8).reshape(len(own), -1)
+        bitmaps = Bitmaps(col["bits"].to_pylist(), size)
         i, j = col["i"][0].as_py(), col["j"][0].as_py() - TABLES
         ids, parts = col["rep"].to_numpy(zero_copy_only=False), col["component"].to_numpy(zero_copy_only=False)
         one_block = col["b1"][0].as_py() == col["b2"][0].as_py()
@@ -142,7 +139,8 @@ def _crossing(placed: DataFrame, mixed: DataFrame, reps: DataFrame, percent: int
             to = to[(parts[to] != parts[x]) & (100 * small >= percent * large)]
             if not len(to):
                 continue
-            to = to[(marks[to] == marks[x]).sum(axis=1) >= SCREEN]
+            common = bitmaps.most_common(x, to)
+            to = to[100 * common >= percent * (size[x] + size[to] - common)]
             if not len(to):
                 continue
             same = halves[to] == halves[x]
@@ -186,7 +184,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = stored(has_set.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "dedup-classes")
     # Two rows of one id may have different sets: each set has a class of its own, linked below.
     reps = (
-        has_set.join(classes, "set_id").where("doc_id = rep").groupBy("set_id").agg(F.min("rep").alias("rep"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"), F.first("marks").alias("marks"))
+        has_set.join(classes, "set_id").where("doc_id = rep").groupBy("set_id").agg(F.min("rep").alias("rep"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"), F.first("bits").alias("bits"))
     )
     reps = stored(reps, "dedup-reps")
 

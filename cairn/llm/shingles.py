@@ -10,6 +10,8 @@ SHINGLE_WORDS = 5
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MASK = 0xFFFFFFFFFFFFFFFF
 _WORDS_KEPT = 300_000
+#: A bitmap has 8 to 16 bits for each shingle, in these bounds: a larger set fills its bitmap more.
+LEAST_BITS, MOST_BITS = 64, 2**17
 
 
 def _odd(seed: int, n: int) -> np.ndarray:
@@ -68,6 +70,54 @@ def shingle_set(text: str) -> np.ndarray:
     return out
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """A bit for each value that the low bits of the shingles take; a power of two of bits."""
+    size = min(max(1 << (8 * len(shingles) - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    bits = np.zeros(size, np.uint8)
+    bits[(shingles & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+class Bitmaps:
+    """Upper bounds of intersections from bitmaps. ``sizes``: the sizes of the whole sets.
+
+    Every bit that one bitmap has and the other lacks is at least one shingle that the other set
+    lacks, so no bound is below the true intersection. A longer bitmap is folded to the shorter's
+    length, for which that holds as well.
+    """
+
+    def __init__(self, bitmaps: list[bytes], sizes: np.ndarray):
+        self.sizes, self.words = sizes, np.array([len(b) // 8 for b in bitmaps], np.int64)
+        self.row = np.zeros(len(bitmaps), np.int64)
+        self._folded: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for words in np.unique(self.words).tolist():
+            at = np.flatnonzero(self.words == words)
+            self.row[at] = np.arange(len(at))
+            bits = np.frombuffer(b"".join(bitmaps[k] for k in at), np.uint64).reshape(len(at), words)
+            self._folded[words, words] = bits, np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+
+    def _fold(self, words: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+        """The bitmaps of ``words`` words folded to ``to``, and how many bits each then has."""
+        if (words, to) not in self._folded:
+            bits = self._fold(words, 2 * to)[0]
+            bits = bits[:, :to] | bits[:, to:]
+            self._folded[words, to] = bits, np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        return self._folded[words, to]
+
+    def most_common(self, x: int, to: np.ndarray) -> np.ndarray:
+        """For each of ``to``, what its set and that of ``x`` can have in common at most."""
+        out = np.zeros(len(to), np.int64)
+        for words in np.unique(self.words[to]).tolist():
+            at = np.flatnonzero(self.words[to] == words)
+            short = min(words, int(self.words[x]))
+            mine, count = self._fold(int(self.words[x]), short)
+            bits, counts = self._fold(words, short)
+            rows, own = self.row[to[at]], self.row[x]
+            both = np.bitwise_count(bits[rows] & mine[own]).sum(axis=1, dtype=np.int64)
+            out[at] = np.minimum(self.sizes[x] - (count[own] - both), self.sizes[to[at]] - (counts[rows] - both))
+        return out
+
+
 class TensoredMinHash:
     """Two collections of ``tables`` half keys, each made of ``width`` minhashes.
 

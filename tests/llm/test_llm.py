@@ -202,6 +202,34 @@ def test_second_round_compares_blocks(spark, monkeypatch):
     assert got == exact_components(rows)
 
 
+def test_bitmaps_never_bound_below_the_intersection():
+    rng = np.random.default_rng(3)
+    pool = shingles.mixed(np.arange(1, 60_001, dtype=np.uint64))
+    sets = [rng.choice(pool[: 4 * n], n, replace=False) for n in (1, 5, 40, 45, 300, 400, 700, 20_000, 30_000)]
+    sets += [np.concatenate([s[: len(s) * 6 // 7], pool[-len(s) // 7 :]]) for s in sets]
+    maps = shingles.Bitmaps([shingles.bitmap(s) for s in sets], np.array([len(s) for s in sets]))
+    for x, a in enumerate(sets):
+        bounds = maps.most_common(x, np.arange(len(sets)))
+        for b, bound in zip(sets, bounds, strict=True):
+            assert len(np.intersect1d(a, b)) <= bound <= min(len(a), len(b))
+
+
+def test_second_round_keeps_links_of_unlike_minhashes(spark):
+    """A pair at the threshold of which few minhashes agree, though it shares a table."""
+    hashes, rng = shingles.TensoredMinHash(24, 3), random.Random(12)
+    while True:
+        common = [f"c{rng.random()}" for _ in range(64)]  # 60 of 80 shingles
+        texts_ = [" ".join([*common, *(f"{side}{rng.random()}" for _ in range(10))]) for side in "ab"]
+        (x, marks_x), (y, marks_y) = (hashes.halves(shingles.shingle_set(t)) for t in texts_)
+        tables = [(i, 24 + (i + d) % 24) for i in range(24) for d in range(near_dedup.OFFSETS) if x[i] == y[i] and x[24 + (i + d) % 24] == y[24 + (i + d) % 24]]
+        if tables and sum(a == b for a, b in zip(marks_x, marks_y, strict=True)) < 96:
+            break
+    reps = near_dedup.sketches(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")).withColumnsRenamed({"doc_id": "rep", "n_shingles": "n"})
+    placed = spark.createDataFrame([(k, i, j, rep, rep) for k, (i, j) in enumerate(tables) for rep in (0, 1)], "key long, i int, j int, rep long, component long")
+    mixed = placed.groupBy("key").agg(F.count("*").alias("size"))
+    assert [tuple(r) for r in near_dedup._crossing(placed, mixed, reps, 75).collect()] == [(0, 1)]
+
+
 def test_minhash_agrees_with_likeness():
     hashes = shingles.TensoredMinHash(24, 3)
     a = shingles.mixed(np.arange(1, 1001, dtype=np.uint64))
