@@ -15,9 +15,13 @@ partitions exactly, and no task walks through the queue of a hot source.
 The target mixture is each source's share of all tokens, or the weights given.
 
 Odd rows: a null or empty text is the end id alone; a null source is a queue of its own; repeated
-rows are packed once each; an empty table gives an empty result. More than ``QUEUES`` sources share
-that many queues by hash, so what the driver and every task hold about queues is bounded. Columns
-other than the id, the text and the source are not read and cannot clash.
+rows are packed once each; an empty table gives an empty result. Columns other than the id, the text
+and the source are not read and cannot clash.
+
+Every source has a queue of its own at any number of them. Up to ``QUEUES``, the driver and every
+task hold totals and quanta. With more, these are a Spark table, and a document's runs get their
+places from a running sum over all runs, sorted by window, queue and position; both ways give the
+same places.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ from cairn.llm.encoder import worker_encoder
 
 LENGTH, WINDOW, QUEUES = 1024, 65_536, 1024
 BASES = 200_000
+#: Rows of an output batch, about: a run of a queue with a small quantum may be a single token.
+ROWS = 20_000
 #: Binary places of a quantum; deficits are exact to this fraction of a token.
 PLACES = 16
 
@@ -112,6 +118,80 @@ def encoded_queues(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, te
     return frame.mapInArrow(run, schema)
 
 
+def _quanta(by_queue: DataFrame, weights: dict[str, float] | None, window: int) -> DataFrame:
+    """queue and quantum, as ``RoundRobin`` works them out."""
+    if weights is None:
+        shares = by_queue.select("queue", F.col("total").cast("double").alias("share"))
+    else:
+        given = by_queue.sparkSession.createDataFrame([(q, float(w)) for q, w in weights.items()], "queue string, weight double")
+        shares = by_queue.join(given, "queue", "left").select("queue", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)).alias("share"))
+    found = shares.agg(F.sum("share").alias("all"), F.count("*").alias("n")).first()
+    share, whole = (F.col("share"), found["all"]) if found["all"] > 0 else (F.lit(1.0), float(found["n"]))
+    return shares.select("queue", F.greatest(F.lit(1).cast("long"), F.ceil(share / F.lit(max(whole, 1.0)) * F.lit(float(window)) * F.lit(float(2**PLACES)))).alias("quantum"))
+
+
+def _placed_runs(rows: DataFrame, quanta: DataFrame, id_type: T.DataType) -> DataFrame:
+    """doc_id, doc_tokens, start, place, width and ids of every run of a document within a window.
+
+    Runs are dealt out by ranges of (window, queue, position), which are all distinct, so a window or
+    a queue of any size spreads over tasks; the driver holds one sum for each range.
+    """
+    fields = [T.StructField("doc_id", id_type), *(T.StructField(c, T.LongType()) for c in ("doc_tokens", "start", "w", "position", "size")), T.StructField("queue", T.StringType()),
+              T.StructField("width", T.IntegerType()), T.StructField("ids", T.BinaryType())]
+    schema = T.StructType(fields)
+
+    def windows(first: int, n: int, quantum: int):
+        """(window, position, size) of the runs of ``n`` tokens from position ``first`` of a queue."""
+        at, end = first, first + n
+        while at < end:
+            w = (((at + 1) << PLACES) - 1) // quantum
+            upto = min(end, ((w + 1) * quantum) >> PLACES)
+            yield w, at, upto - at
+            at = upto
+
+    def split(batches):
+        for batch in batches:
+            out = [[] for _ in fields]
+
+            def made(out=out, batch=batch):
+                kinds = [batch.schema.field(0).type, *[pa.int64()] * 5, pa.string(), pa.int32(), pa.binary()]
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=schema.names)
+
+            for doc_id, queue, at, n, width, packed, base, quantum in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                for w, position, size in windows(base + at, n, quantum):
+                    start = position - base - at
+                    values = (doc_id, n, start, w, position, size, queue, width, packed[start * width : (start + size) * width])
+                    for column, value in zip(out, values, strict=True):
+                        column.append(value)
+                    if len(out[0]) >= ROWS:
+                        yield made()
+                        for column in out:
+                            column.clear()
+            if out[0]:
+                yield made()
+
+    ranged_schema = T.StructType([*fields, T.StructField("range", T.IntegerType()), T.StructField("before", T.LongType())])
+
+    def summed(batches):
+        part, upto = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            sizes = batch.column(5).to_numpy()
+            before = upto + np.cumsum(sizes) - sizes
+            upto += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * batch.num_rows, pa.int32()), pa.array(before, pa.int64())], names=ranged_schema.names)
+
+    wide = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = ["w", "queue", "position"]
+    runs = rows.join(quanta, "queue").select("doc_id", "queue", "at", "n", "width", "ids", "base", "quantum").mapInArrow(split, schema)
+    ranged = stored(runs.repartitionByRange(wide, *order).sortWithinPartitions(*order).mapInArrow(summed, ranged_schema), "packing-runs")
+    starts, upto = [], 0
+    for r in sorted(ranged.groupBy("range").agg(F.sum("size").alias("size")).collect()):
+        starts.append((r["range"], upto))
+        upto += r["size"]
+    starts = F.broadcast(rows.sparkSession.createDataFrame(starts, "range int, first long"))
+    return ranged.join(starts, "range").select("doc_id", "doc_tokens", "start", (F.col("first") + F.col("before")).alias("place"), "width", "ids")
+
+
 def pack_documents(
     docs: DataFrame, *, weights: dict[str, float] | None = None, length: int = LENGTH, window: int = WINDOW, tokenizer: str | None = None, end_id: int = 0,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_ids: bool = False,
@@ -120,22 +200,17 @@ def pack_documents(
     import public_tokenizers
 
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    sources = docs.select(F.approx_count_distinct(source_col).alias("n")).first()["n"]
-    if sources > QUEUES // 2:
-        docs = docs.withColumn(source_col, F.pmod(F.xxhash64(source_col), F.lit(QUEUES)).cast("string"))
-        weights = None
     rows = stored(encoded_queues(docs, tokenizer, end_id, id_col, text_col, source_col), "packing-ids")
     spark = docs.sparkSession
 
-    # Where each part of a queue begins: queues (bounded) times parts, summed and numbered by Spark.
+    # Where each part of a queue begins: queues times parts, summed and numbered by Spark.
     parts = rows.groupBy("queue", "part").agg(F.sum("n").alias("n"))
-    totals = {r["queue"]: r["n"] for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
-    queues = sorted(totals)
-    robin = RoundRobin([totals[q] for q in queues], [weights.get(q, 0.0) for q in queues] if weights is not None else None, window)
-    everything = sum(totals.values())
+    by_queue = parts.groupBy("queue").agg(F.sum("n").alias("total"))
+    totals = {r["queue"]: r["total"] for r in by_queue.limit(QUEUES + 1).collect()}
+    few = len(totals) <= QUEUES
+    everything = sum(totals.values()) if few else by_queue.agg(F.sum("total").alias("total")).first()["total"]
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = parts.select("queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    number = {q: i for i, q in enumerate(queues)}
     schema = T.StructType([
         T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()),
         T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("padded_to", T.LongType()),
@@ -145,28 +220,58 @@ def pack_documents(
     rest = everything - last * length
     last_size = rest if rest & (rest - 1) == 0 else length
 
-    def run(batches):
-        for batch in batches:
-            out = [[] for _ in schema.names]
-            for doc_id, queue, at, n, width, packed, base in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                ids = np.frombuffer(packed, f"<u{width}").astype("<u4")
-                for start, size, place in robin.pieces(number[queue], base + at, n):
-                    while size:
-                        sequence, offset = divmod(place, length)
-                        own = min(size, length - offset)
-                        piece = ids[start : start + own]
-                        values = [doc_id, start, own, zlib.crc32(piece.tobytes()), n, sequence, offset, last_size if sequence == last else length]
-                        for column, value in zip(out, values + ([piece.tolist()] if with_ids else []), strict=True):
-                            column.append(value)
-                        start, size, place = start + own, size - own, place + own
-            if out[0]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], batch.schema.field(0).type), *(pa.array(c, pa.int64()) for c in out[1:8]), *(pa.array(c, pa.list_(pa.int64())) for c in out[8:])], names=schema.names
-                )
+    def cut(runs, id_type):
+        """Batches of the pieces of runs: doc_id, doc_tokens, start in the document, place, ids."""
+        out = [[] for _ in schema.names]
+
+        def batch():
+            return pa.RecordBatch.from_arrays(
+                [pa.array(out[0], id_type), *(pa.array(c, pa.int64()) for c in out[1:8]), *(pa.array(c, pa.list_(pa.int64())) for c in out[8:])], names=schema.names
+            )
+
+        for doc_id, n, start, place, ids in runs:
+            done = 0
+            while done < len(ids):
+                sequence, offset = divmod(place + done, length)
+                piece = ids[done : done + length - offset]
+                own = len(piece)
+                values = [doc_id, start + done, own, zlib.crc32(piece.tobytes()), n, sequence, offset, last_size if sequence == last else length]
+                for column, value in zip(out, values + ([piece.tolist()] if with_ids else []), strict=True):
+                    column.append(value)
+                done += own
+            if len(out[0]) >= ROWS:
+                yield batch()
+                out = [[] for _ in schema.names]
+        if out[0]:
+            yield batch()
 
     bounded_batches(spark)
     # One small row for each queue and reading task: broadcast while that is at most BASES rows.
     if parts.count() <= BASES:
         bases = F.broadcast(bases)
     joined = rows.join(bases, ["queue", "part"]).select("doc_id", "queue", "at", "n", "width", "ids", "base")
+    if not few:
+        runs = _placed_runs(joined, _quanta(by_queue, weights, window), docs.schema[id_col].dataType)
+
+        def run_placed(batches):
+            for batch in batches:
+                rows_ = zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
+                yield from cut(((i, n, start, place, np.frombuffer(packed, f"<u{width}").astype("<u4")) for i, n, start, place, width, packed in rows_), batch.schema.field(0).type)
+
+        return runs.mapInArrow(run_placed, schema)
+
+    queues = sorted(totals)
+    robin = RoundRobin([totals[q] for q in queues], [weights.get(q, 0.0) for q in queues] if weights is not None else None, window)
+    number = {q: i for i, q in enumerate(queues)}
+
+    def run(batches):
+        def runs(batch):
+            for doc_id, queue, at, n, width, packed, base in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                ids = np.frombuffer(packed, f"<u{width}").astype("<u4")
+                for start, size, place in robin.pieces(number[queue], base + at, n):
+                    yield doc_id, n, start, place, ids[start : start + size]
+
+        for batch in batches:
+            yield from cut(runs(batch), batch.schema.field(0).type)
+
     return joined.mapInArrow(run, schema)

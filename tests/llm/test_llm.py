@@ -340,6 +340,17 @@ def test_round_robin_holds_the_mixture():
     assert order[0][0] == 0 and all(a[0] < b[0] for a, b in zip(order, order[1:], strict=False))
 
 
+@pytest.mark.parametrize("weights", [None, {"s0": 3, "s1": 1, "s2": 0}])
+def test_packing_keeps_a_queue_for_each_of_many_sources(spark, monkeypatch, weights):
+    """More sources than queues that the driver holds: same places and weights as the closed form."""
+    rows = [(i, " ".join(["word"] * (5 + 7 * i % 90)), f"s{i % 12}" if i % 13 else None) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3, "doc_id")
+    pack = lambda: sorted(tuple(r) for r in packing.pack_documents(docs, weights=weights, length=64, window=40).collect())
+    want = pack()
+    monkeypatch.setattr(packing, "QUEUES", 4)
+    assert pack() == want
+
+
 def test_fingerprints(spark, odd, empty):
     rng = random.Random(11)
     rows = [*((i, t) for i, t in ODD[:10]), *((50 + i, " ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 300)))) for i in range(60))]
