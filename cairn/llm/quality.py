@@ -6,24 +6,30 @@ the whole document is covered whatever its length. Every filter keeps its larges
 windows (max-pooling), and the pooled responses are combined into one probability.
 
 As a filter over one-hot bytes is a table of 256 numbers for each of its positions, a response is a
-sum of ``WIDTH`` table rows: no one-hot matrix is built, and memory is bounded by ``SPAN`` bytes.
+sum of ``WIDTH`` table rows: no one-hot matrix is built. A long text is worked off in spans of
+``SPAN`` bytes; a span brings the bytes before and after it that its windows look at, so the windows
+are those of the whole text and memory does not depend on its length.
 
 A second bank of filters looks at chunks of ``CHUNK`` bytes, half overlapping, through copy channels:
 the share of the chunk's bytes that equal the byte ``lag`` places before, for every lag up to
 ``LAGS``, and the largest of these shares. It sees a passage that repeats itself, whatever the words.
+The channels are fixed; the filters over them are learned like those over bytes.
 
-The network is fitted on the driver on at most ``max_rows`` labelled rows (the ones whose id hashes
-lowest, so the choice does not depend on order or partitioning); scoring is one narrow pass.
+The network is fitted on the driver on at most ``max_rows`` labelled rows and ``max_bytes`` of text
+(the ones whose id hashes lowest, so the choice does not depend on order or partitioning); scoring is
+one narrow pass. All sums run in a fixed order, so a score depends on the text alone, not on the
+batch that it is in.
 
 Odd rows: a null or empty text is scored as the padding alone; equal texts get equal scores;
 repeated rows give repeated results; a null id counts as not held out; labels that are null, or
-whose id is null, are not learned from, and of several labels of one id the largest is taken; with
-no label of either class the score is the share of class 1 (0.5 without any label). Only the id and
-the text of a document are read, so other columns cannot clash.
+whose id is null, are not learned from, of several labels of one id the largest is taken and of
+several texts the least; with no label of either class the score is the share of class 1 (0.5 without
+any label). Only the id and the text of a document are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,6 +51,11 @@ PADDING = bytes([*range(9), *range(14, 32), 0xC0, 0xC1, 0xF5, 0xF6, 0xF7]) * 4
 HELD_OUT_MOD = 5
 
 
+#: HALF bytes of context, the bytes, and in how many of them windows begin: 0 for all of the bytes, the
+#: last of which windows run into padding.
+Span = tuple[bytes, bytes, int]
+
+
 @dataclass
 class ByteConvNet:
     """tables[k, byte] are the weights of all filters at position k, copy those over the copy channels.
@@ -59,16 +70,17 @@ class ByteConvNet:
     out_bias: float
 
     @staticmethod
-    def laid_out(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All spans in one array, each followed by padding that no window crosses; starts, lengths."""
-        parts, starts, at = [PADDING[:HALF]], np.empty(len(spans), np.int64), HALF
-        for i, span in enumerate(spans):
-            room = max(CHUNK, -(-(len(span) + HALF) // HALF) * HALF)
-            starts[i] = at
-            parts += [span, PADDING[: room - len(span)]]
-            at += room
+    def laid_out(spans: list[Span]) -> tuple[np.ndarray, np.ndarray]:
+        """All spans in one array, each after its context and before padding that no window crosses,
+        and where each starts."""
+        parts, starts, at = [], np.empty(len(spans), np.int64), 0
+        for i, (context, body, _) in enumerate(spans):
+            room = max(CHUNK, -(-(len(body) + HALF) // HALF) * HALF)
+            starts[i] = at + HALF
+            parts += [context, body, PADDING[: room - len(body)]]
+            at += HALF + room
         parts.append(PADDING[:CHUNK])
-        return np.frombuffer(b"".join(parts), np.uint8), starts, np.array([len(x) for x in spans], np.int64)
+        return np.frombuffer(b"".join(parts), np.uint8), starts
 
     @staticmethod
     def copies(data: np.ndarray) -> np.ndarray:
@@ -83,23 +95,26 @@ class ByteConvNet:
         shares[:, -1] = shares[:, :-1].max(axis=1)
         return shares
 
-    def pooled(self, spans: list[bytes], learn: bool = False):
+    def pooled(self, spans: list[Span], learn: bool = False):
         """The largest response of each filter in each span: spans x filters.
 
         With ``learn`` also what the maxima come from: the bytes of the windows of the first bank
         (spans x FILTERS x WIDTH) and the copy channels of the second (spans x COPY_FILTERS x LAGS).
         """
-        data, starts, sizes = self.laid_out(spans)
+        data, starts = self.laid_out(spans)
+        sizes, inner = np.array([len(body) for _, body, _ in spans]), np.array([size for _, _, size in spans])
         n = (len(data) - WIDTH) // STRIDE + 1
         response = self.tables[0].take(data[: (n - 1) * STRIDE + 1 : STRIDE], axis=0)
         for k in range(1, WIDTH):
             response += self.tables[k].take(data[k : (n - 1) * STRIDE + k + 1 : STRIDE], axis=0)
-        first, windows = starts // STRIDE, np.maximum(1, -(-sizes // STRIDE))
+        first, windows = starts // STRIDE, np.where(inner > 0, inner // STRIDE, np.maximum(1, -(-sizes // STRIDE)))
         cuts = np.stack([first, first + windows], axis=1).ravel()
         top = np.maximum.reduceat(response, cuts, axis=0)[::2]
         shares = self.copies(data)
-        copied = shares @ self.copy
-        chunk, chunks = (starts - HALF) // HALF, np.maximum(1, -(-sizes // HALF) - 1)
+        copied = np.zeros((len(shares), COPY_FILTERS), np.float32)
+        for lag in range(LAGS):  # in a fixed order, whatever the number of chunks
+            copied += shares[:, lag, None] * self.copy[lag]
+        chunk, chunks = (starts - HALF) // HALF, np.where(inner > 0, inner // HALF, np.maximum(1, -(-sizes // HALF) - 1))
         cuts = np.stack([chunk, chunk + chunks], axis=1).ravel()
         best = np.concatenate([top, np.maximum.reduceat(copied, cuts, axis=0)[::2]], axis=1) + self.bias
         if not learn:
@@ -111,8 +126,18 @@ class ByteConvNet:
             channels[i] = shares[chunk[i] + copied[chunk[i] : chunk[i] + chunks[i]].argmax(axis=0)]
         return best, seen, channels
 
+    @staticmethod
+    def spans_of(text: bytes) -> Iterator[Span]:
+        starts = range(0, max(1, len(text) - 2 * CHUNK), SPAN)
+        for start in starts:
+            context = text[start - HALF : start] if start else PADDING[:HALF]
+            if start == starts[-1]:
+                yield context, text[start:], 0
+            else:
+                yield context, text[start : start + SPAN + 2 * CHUNK], SPAN
+
     def probabilities(self, texts: list[bytes]) -> np.ndarray:
-        """One score a text; spans of long texts overlap by two chunks, so no window is lost at a cut."""
+        """One score a text, over the windows of the whole text."""
         spans, owner, scores, held = [], [], np.full((len(texts), len(self.bias)), -np.inf, np.float32), 0
 
         def flush():
@@ -121,16 +146,18 @@ class ByteConvNet:
             owner.clear()
 
         for i, text in enumerate(texts):
-            for start in range(0, max(1, len(text) - 2 * CHUNK), SPAN):
-                spans.append(text[start : start + SPAN + 2 * CHUNK])
+            for span in self.spans_of(text):
+                spans.append(span)
                 owner.append(i)
-                held += len(spans[-1])
+                held += len(span[1])
                 if held >= SPAN:
                     flush()
                     held = 0
         if spans:
             flush()
-        logits = (np.maximum(scores, 0) @ self.out).astype(np.float64) + self.out_bias
+        logits = np.full(len(texts), self.out_bias, np.float64)
+        for k, weight in enumerate(self.out.astype(np.float64)):
+            logits += np.maximum(scores[:, k], 0) * weight
         return 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
 
     @classmethod
@@ -157,7 +184,7 @@ class ByteConvNet:
             order = rng.permutation(len(labels))
             for batch in np.array_split(order, max(1, len(order) // 32)):
                 grads = [np.zeros_like(p) for p in params]
-                response, seen, channels = net.pooled([texts[i] for i in batch], learn=True)
+                response, seen, channels = net.pooled([(PADDING[:HALF], texts[i], 0) for i in batch], learn=True)
                 hidden = np.maximum(response, 0)
                 p = 1 / (1 + np.exp(-np.clip(hidden @ params[2] + params[4][0], -30, 30)))
                 d = ((p - labels[batch]) * np.where(labels[batch] > 0, 1, rejected_weight) / len(batch)).astype(np.float32)
@@ -184,37 +211,36 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", max_rows: int = 2000, max_bytes: int = 24_000_000) -> ByteConvNet:
-    """Fit on at most ``max_rows`` labelled, not held-out rows and about ``max_bytes`` of text.
+    """Fit on at most ``max_rows`` labelled, not held-out rows and ``max_bytes`` of text.
 
-    The rows are those with the lowest hash of the id; both bounds are fixed sizes of a learning
-    sample, whatever the size of the corpus. Texts are used whole: the byte bound drops the last
-    rows of the sample, never the end of a text.
+    The rows are those with the lowest hash of the id, but up to a quarter of ``max_rows`` of either
+    class come first, so that a rare class is learned, too; both bounds are fixed sizes of a learning
+    sample, whatever the size of the corpus. Texts are used whole: one that does not fit into what is
+    left of ``max_bytes`` is passed over.
     """
-    chosen = (
+    known = (
         labels.select("doc_id", F.col(label_col).cast("int").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out())
         .groupBy("doc_id")
         .agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_rows)
     )
-    wanted = {row.doc_id: row.y for row in chosen.collect()}
-    if not wanted:
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen: dict = {}
+    for some, most in ((known.where("y = 0"), max_rows // 4), (known.where("y = 1"), max_rows // 4), (known, max_rows)):
+        for row in some.orderBy(*order).limit(most).collect():
+            if len(chosen) < max_rows:
+                chosen[row.doc_id] = row.y
+    if not chosen:
         return ByteConvNet.fit([], np.zeros(0))
-    sample = docs.where(F.col("doc_id").isin(list(wanted))).select("doc_id", text_or_empty().alias("text"))
-    kept = (
-        sample.withColumn("size", F.octet_length("text"))
-        .select("doc_id", "text", "size")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-        .limit(2 * max_rows)
-    )
+    sample = docs.where(F.col("doc_id").isin(list(chosen))).select("doc_id", text_or_empty().alias("text"))
+    kept = sample.groupBy("doc_id").agg(F.min("text").alias("text")).orderBy(*order)  # max_rows at most
     texts, marks, total = [], [], 0
     for row in kept.toLocalIterator():
-        total += row["size"]
-        if total > max_bytes and texts:
-            break
-        texts.append(row["text"].encode())
-        marks.append(wanted[row["doc_id"]])
+        text = row["text"].encode()
+        if total + len(text) <= max_bytes:
+            total += len(text)
+            texts.append(text)
+            marks.append(chosen[row["doc_id"]])
     return ByteConvNet.fit(texts, np.array(marks, np.float64))
 
 
