@@ -6,19 +6,22 @@ Spans are ``struct<start, end, kind>``, code points, end exclusive. Base kinds,
     access  an access identifier of 20 characters or more
     hex     24 lower-case hexadecimal digits or more
 
-They are always reported. Three weak kinds are found beside them and reported only together:
-
-    key       a lone word of exactly 40 base-64 characters that has digits and both cases
-    login     a user, client or account word, ``=`` or ``:``, and a value
-    endpoint  a URL, or a host name with a database or service scheme
-
-Each part has a role: it identifies (access, login), it proves (assign, hex, key) or it locates
-(endpoint). A weak part is reported if a part of another role starts at most ``reach`` code points
-away in the same scope, a stretch of text without a blank line: an interval join. As the parts of a
-text are sorted by start and every part has at least ``SHORTEST`` characters, all partners of a part
-stand within a fixed number of places of it in that order: the join is a bounded look to both sides,
-linear in the parts, and emits no pairs. Parts come from one text only, so nothing is shuffled and a
-hot key or source costs nothing extra.
+They are always reported. Weak kinds are found beside them and reported only together:
+
+    key           a lone word of exactly 40 base-64 characters that has digits and both cases
+    login         a user, client or account word, ``=`` or ``:``, and a value of 3 characters or more
+    endpoint      a URL, or a host name with a database or service scheme
+    short_assign  what is an assign but for a value of 1 to 5 characters
+    short_access  what is an access identifier but for 8 to 19 characters
+    short_hex     16 to 23 lower-case hexadecimal digits
+
+Each part has a role: it identifies (access, short_access, login), it proves (assign, short_assign,
+hex, short_hex, key) or it locates (endpoint). A scope is a stretch of text without a blank line (one
+of spaces, tabs and carriage returns is blank). A weak part is reported if a part of another role,
+base or weak, starts in the same scope, however far away: an interval join of parts with scopes. Parts
+and scope ends of a text are sorted together by start, so a scope's parts are a slice of that array:
+the join is linear in the parts and emits no pairs. Parts come from one text only, so nothing is
+shuffled and a hot key or source costs nothing extra.
 
 Odd rows: a null or empty text has no spans; repeated rows give repeated results; equal texts have
 equal spans; other columns cannot clash, as results are built in one projection.
@@ -31,24 +34,31 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import text_or_empty
 
+
+def _either_case(words: str) -> str:
+    """A pattern that takes the ASCII letters of ``words`` in either case, and nothing else for them."""
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words)
+
+
 #: The base patterns, as the contract of the scan states them.
-ASSIGN = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
+ASSIGN = rf"""((?:{_either_case("password|passwd|secret|token|api_?key")})["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]{24,}"
-#: Weak kinds: our own choice.
-KEY = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/]{0,39}[0-9])(?=[A-Z0-9+/]{0,39}[a-z])(?=[a-z0-9+/]{0,39}[A-Z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])"
-LOGIN = r"""(?i)\b(?:user|username|login|client_id|account|account_id)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9_.@-]{3,64}"""
-ENDPOINT = r"""\b(?:https?|postgres|postgresql|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]{4,}"""
-
-REACH = 300
-SHORTEST = 8
+HEX = r"[0-9a-f]{16,}"
+#: Weak kinds: our own choice. All patterns mean the same to Java and to RE2.
+KEY = r"[A-Za-z0-9+/=_-]{40,}"
+LOGIN = rf"""(?:{_either_case("user|username|login|client_id|account|account_id")})["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{{3,}}"""
+ENDPOINT = r"""(?:https?|postgres|postgresql|mysql|mongodb|redis|amqp|s3)://[^\x20\x09-\x0D"'<>]{4,}"""
+BREAK = r"\n[\x20\t\r]*\n"
+
+#: Kinds in the order in which spans of equal start are listed; the first BASE are base kinds.
+KINDS = ("assign", "access", "hex", "key", "login", "endpoint", "short_assign", "short_access", "short_hex")
+BASE = 3
 #: Role of each kind: 0 identifies, 1 proves, 2 locates.
-ROLES = {"assign": 1, "access": 0, "hex": 1, "key": 1, "login": 0, "endpoint": 2}
-WEAK = ("key", "login", "endpoint")
-
-
-#: Kinds in the order in which spans of equal start are listed.
-KINDS = ("assign", "access", "hex", "key", "login", "endpoint")
+ROLES = {"assign": 1, "access": 0, "hex": 1, "key": 1, "login": 0, "endpoint": 2, "short_assign": 1, "short_access": 0, "short_hex": 1}
+#: The number of a scope end among the kinds.
+END = len(KINDS)
+#: Least size of a kind's matches (of the value of an assign), and of what is short of it.
+LEAST = {"assign": (6, 1), "access": (20, 8), "hex": (24, 16), "key": (40, 40), "login": (0, 0), "endpoint": (0, 0), "break": (0, 0)}
 SPAN = "struct<start:int,ord:int,end:int,kind:string>"
 _NONE = f"array<{SPAN}>"
 _BLOCK = 64
@@ -69,41 +79,48 @@ def _running(steps: Column) -> Column:
     return F.flatten(F.transform(blocks, lambda block, b: within(block, F.when(b == 0, F.lit(0)).otherwise(F.try_element_at(bases, b)))))
 
 
-def _spans(kind: str, least: int) -> Column:
+def _spans(kind: str) -> Column:
     """Spans of one kind out of the columns ``<kind>_hits``, ``<kind>_gaps`` and ``<kind>_sizes``.
 
     ``gaps`` are the lengths of the texts between matches, so a match ends where the gaps and
-    matches up to it sum to. Matches of a smaller size than ``least`` have counted by then and go.
+    matches up to it sum to. Matches that are too small have counted by then and go.
     """
     hits, gaps, sizes = (F.col(f"{kind}_{x}") for x in ("hits", "gaps", "sizes"))
     ends = _running(F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda gap, hit: gap + hit))
     spans = F.zip_with(
         F.zip_with(ends, hits, lambda end, hit: F.struct((end - hit).alias("start"), end.alias("end"))), sizes,
-        lambda at, size: F.struct(at["start"].alias("start"), F.lit(KINDS.index(kind)).alias("ord"), at["end"].alias("end"), F.lit(kind).alias("kind"), size.alias("size")),
+        lambda at, size: F.struct(at["start"].alias("start"), at["end"].alias("end"), size.alias("size")),
     )
-    kept = F.transform(F.filter(spans, lambda s: s["size"] >= least), lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return F.when(F.size(hits) > 0, kept).otherwise(F.array().cast(_NONE))
-
-
-def _linked(text: Column, parts: Column, reach: int) -> Column:
-    """Base parts, and weak parts that have a part of another role near by in their scope."""
-    role = F.create_map(*(F.lit(x) for i, k in enumerate(KINDS) for x in (i, ROLES[k])))
-    places = len(KINDS) * (reach // SHORTEST + 1)
-    weak = F.lit(len(KINDS) - len(WEAK))
-
-    def near(part: Column, other: Column) -> Column:
-        low, high = F.least(part["end"], other["end"]), F.greatest(part["start"], other["start"])
-        apart = F.when(high > low, F.substring(text, low + 1, high - low)).otherwise(F.lit(""))
-        return (role[part["ord"]] != role[other["ord"]]) & (F.abs(part["start"] - other["start"]) <= reach) & ~F.contains(apart, F.lit("\n\n"))
-
-    def kept(part: Column, i: Column) -> Column:
-        around = F.slice(parts, F.greatest(F.lit(1), i + 1 - places), F.lit(2 * places + 1))
-        return (part["ord"] < weak) | F.exists(around, lambda other: near(part, other))
-
-    return F.when(F.exists(parts, lambda p: p["ord"] >= weak), F.filter(parts, kept)).otherwise(parts)
+    least, short = LEAST[kind]
+
+    def named(s: Column) -> Column:
+        number, name = F.lit(END if kind == "break" else KINDS.index(kind)), F.lit(kind)
+        if short < least:
+            number, name = F.when(s["size"] >= least, number).otherwise(F.lit(KINDS.index(f"short_{kind}"))), F.when(s["size"] >= least, name).otherwise(F.lit(f"short_{kind}"))
+        return F.struct(s["start"].alias("start"), number.alias("ord"), s["end"].alias("end"), name.alias("kind"))
+
+    return F.when(F.size(hits) > 0, F.transform(F.filter(spans, lambda s: s["size"] >= short), named)).otherwise(F.array().cast(_NONE))
+
+
+def _linked(frame: DataFrame) -> DataFrame:
+    """``spans`` out of ``parts`` and ``ends``: base parts, and weak ones with another role in their scope."""
+    bit = F.array(*(F.lit(1 << ROLES[k]) for k in KINDS))
+    weak = F.exists("parts", lambda p: p["ord"] >= BASE)
+    # Only texts that have a weak part are joined; sorted, the scope ends cut the parts into scopes.
+    frame = frame.withColumn("sorted", F.when(weak, F.array_sort(F.concat("parts", "ends"))))
+    size = F.size("sorted")
+    frame = frame.withColumn(
+        "cuts", F.when(F.col("sorted").isNotNull(), F.concat(F.array(F.lit(-1)), F.filter(F.sequence(F.lit(0), size - 1), lambda i: F.col("sorted")[i]["ord"] == END), F.array(size)))
+    )
+    scope = lambda k: F.slice("sorted", F.col("cuts")[k] + 2, F.col("cuts")[k + 1] - F.col("cuts")[k] - 1)
+    frame = frame.withColumn("scopes", F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), scope))
+    roles = lambda parts: F.aggregate(parts, F.lit(0), lambda mask, p: mask.bitwiseOR(bit[p["ord"]]))
+    frame = frame.withColumn("scopes", F.transform("scopes", lambda parts: F.struct(roles(parts).alias("roles"), parts.alias("parts"))))
+    kept = F.transform("scopes", lambda s: F.filter(s["parts"], lambda p: (p["ord"] < BASE) | (s["roles"] != bit[p["ord"]])))
+    return frame.withColumn("spans", F.when(F.col("sorted").isNull(), F.col("parts")).otherwise(F.flatten(kept)))
 
 
-def scan_secrets(docs: DataFrame, *, keep: list[str] | None = None, text_col: str = "text", reach: int = REACH, with_text: bool = False) -> DataFrame:
+def scan_secrets(docs: DataFrame, *, keep: list[str] | None = None, text_col: str = "text", with_text: bool = False) -> DataFrame:
     """``keep`` columns of each row (the id by default) and ``spans``, sorted by start, then kind.
 
     With ``with_text`` the text follows as ``scanned_text``. ``spans`` is built in stages of plain
@@ -117,27 +134,30 @@ def scan_secrets(docs: DataFrame, *, keep: list[str] | None = None, text_col: st
         "assign": (ASSIGN, signed),
         "access": (ACCESS, F.contains(text, F.lit("AKIA"))),
         "hex": (HEX, F.lit(True)),
-        "key": (KEY, text.rlike("[A-Za-z0-9+/]{40}")),
+        "key": (KEY, F.lit(True)),
         "login": (LOGIN, signed),
         "endpoint": (ENDPOINT, F.contains(text, F.lit("://"))),
     }
     none, no_ints = F.array().cast("array<string>"), F.array().cast("array<int>")
     frame = docs.select(row, text_or_empty(text_col).alias("text"))
     frame = frame.select("row", "text", *(F.when(may, F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none).alias(k) for k, (p, may) in rules.items()))
+    found = sum((F.size(k) for k in rules), F.lit(0)) > 0
+    frame = frame.withColumn("break", F.when(found, F.regexp_extract_all(text, F.lit(BREAK), F.lit(0))).otherwise(none))
     columns = ["row", "text"]
-    for kind, (pattern, _) in rules.items():
+    for kind, pattern in [*((k, p) for k, (p, _) in rules.items()), ("break", BREAK)]:
         some, lengths = F.size(kind) > 0, lambda x: F.transform(x, F.length)
-        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == "assign" else F.col(kind)
+        sizes = lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == "assign" else F.col(kind))
+        if kind == "key":
+            whole = lambda w: (F.length(w) == 40) & w.rlike("^[A-Za-z0-9+/]*$") & w.rlike("[0-9]") & w.rlike("[a-z]") & w.rlike("[A-Z]")
+            sizes = F.transform(F.col(kind), lambda w: F.when(whole(w), 40).otherwise(0))
         columns += [
             F.when(some, lengths(F.col(kind))).otherwise(no_ints).alias(f"{kind}_hits"),
             F.when(some, lengths(F.split(text, pattern, -1))).otherwise(no_ints).alias(f"{kind}_gaps"),
-            F.when(some, lengths(values)).otherwise(no_ints).alias(f"{kind}_sizes"),
+            F.when(some, sizes).otherwise(no_ints).alias(f"{kind}_sizes"),
         ]
     frame = frame.select(*columns)
-    least = {"assign": 6, "access": 20, "hex": 24, "key": 40, "login": SHORTEST, "endpoint": SHORTEST}
-    frame = frame.select("row", "text", F.array_sort(F.concat(*(_spans(k, least[k]) for k in KINDS))).alias("parts"))
-    frame = frame.select("row", "text", _linked(text, F.col("parts"), reach).alias("spans"))
-    return frame.select("row.*", "spans", *([text.alias("scanned_text")] if with_text else []))
+    frame = frame.select("row", "text", F.array_sort(F.concat(*(_spans(k) for k in rules))).alias("parts"), _spans("break").alias("ends"))
+    return _linked(frame).select("row.*", "spans", *([text.alias("scanned_text")] if with_text else []))
 
 
 def listed(spans: Column) -> Column:
@@ -147,12 +167,12 @@ def listed(spans: Column) -> Column:
 
 def digest(scanned: DataFrame) -> DataFrame:
     """Counts by base kind, the digest of the base spans, and all spans as text."""
-    base = F.filter(F.col("spans"), lambda s: s["ord"] < len(KINDS) - len(WEAK))
+    base = F.filter(F.col("spans"), lambda s: s["ord"] < BASE)
     count = lambda i: F.size(F.filter(F.col("spans"), lambda s: s["ord"] == i)).cast("long")
     return scanned.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
-        F.size(F.filter(F.col("spans"), lambda s: s["ord"] >= len(KINDS) - len(WEAK))).cast("long").alias("n_weak"),
+        F.size(F.filter(F.col("spans"), lambda s: s["ord"] >= BASE)).cast("long").alias("n_weak"),
     )
 
 
