@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,12 +23,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent (tests in one JVM) a temporary folder of this machine is
-    chosen and kept for the session.
+    Where that setting is absent, a cluster's warehouse is taken, which they share as well; only a
+    local session (one JVM, as in tests) gets a temporary folder of this machine, kept for the session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.cairn.scratch", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="cairn-")
+        local = spark.sparkContext.master.startswith("local")
+        root = "file://" + tempfile.mkdtemp(prefix="cairn-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/cairn-scratch"
         spark.conf.set("spark.cairn.scratch", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
@@ -90,16 +92,23 @@ def range_bounds(df: DataFrame, column: str, buckets: int) -> list:
     shares = [i / buckets for i in range(1, buckets)]
     if not shares:
         return []
-    found = df.agg(F.percentile_approx(column, shares, 10_000).alias("bounds")).first()["bounds"]
+    found = df.agg(F.percentile_approx(column, shares, max(10_000, 20 * buckets)).alias("bounds")).first()["bounds"]
     return sorted(set(found or []))
 
 
 def bucket_of(column: str, bounds: list):
     """The number of bounds that are at most the value: bucket order is value order; nulls are first.
 
-    The bounds are a literal array of fixed size, so this is a plain expression.
+    The bounds stand in groups of about the square root of their number, as one folded literal: a
+    row is held against the groups' first bounds, then against one group.
     """
     if not bounds:
         return F.lit(0)
-    edges = F.array(*(F.lit(b) for b in bounds))
-    return F.coalesce(F.size(F.filter(edges, lambda b: b <= F.col(column))), F.lit(0))
+    wide = max(1, int(len(bounds) ** 0.5))
+    groups = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]
+    kind = "bigint" if all(isinstance(b, int) for b in bounds) else "double"
+    table = F.from_json(F.lit(json.dumps(groups)), f"array<array<{kind}>>")
+    value = F.col(column)
+    group = F.size(F.filter(F.transform(table, lambda g: g[0]), lambda b: b <= value)) - 1
+    inside = F.size(F.filter(F.element_at(table, group + 1), lambda b: b <= value))
+    return F.when(value.isNull() | (group < 0), F.lit(0)).otherwise(group * F.lit(wide) + inside).cast("int")

@@ -2,13 +2,20 @@
 
 A fingerprint keeps every shingle hash in the lowest ``1 / SCALE`` of the 64-bit range. Whether a
 hash is kept depends on the hash alone, so fingerprints merge by union, and the share of one that is
-found in another estimates containment between texts of very different sizes. A text all of whose
-hashes lie above the threshold keeps its smallest one, so only a text without words is empty; a merge
-keeps that rule by dropping hashes above the threshold as soon as one below is there.
+found in another estimates containment between texts of very different sizes.
+
+A text all of whose hashes lie above the threshold would have an empty sketch (a text of n shingles
+does so with probability (1 - 1 / SCALE) ** n, 26 % at ten shingles). It keeps its smallest hash
+instead, as a stand-in outside the rule, so that short texts can be told apart; a merge drops it as
+soon as a hash below the threshold is there. A stand-in says nothing of how much of a text another
+holds: where one side has only a stand-in and the other has hashes below the threshold, containment
+of the stand-in's text is unknown and given as null by ``containment``, not as 0; ``likeness``, which
+the contract wants as a number, counts such a pair as having nothing in common.
 
 Shingles are five words in a row (runs of anything but ASCII white space, A-Z lowered); with fewer
 words, the whole sequence. The next document's text comes from a window over buckets of ids: a bucket
 also gets the first row of the next one, so its last row finds its neighbour without a global sort.
+There is a bucket for every ``BUCKET_BYTES`` of text, so a task's share does not grow with the input.
 
 Odd rows: a null or empty text, or one of white space alone, has an empty fingerprint, whose likeness
 to any other is 1 if that is empty too and else 0; rows of one id follow each other by text; null ids
@@ -20,11 +27,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.llm.common import bucket_of, range_bounds, text_or_empty
 
 SHINGLE_WORDS = 5
 SCALE = 8
+#: Text of one bucket, about: what a task gets to sort.
+BUCKET_BYTES = 32 * 1024 * 1024
 #: The lowest 64-bit number, and the kept part of the range above it.
 LOWEST = -(2**63)
 THRESHOLD = LOWEST + 2**64 // SCALE
@@ -61,9 +71,16 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either > 0, common / either).otherwise(F.lit(1.0)).cast("double")
 
 
+def stand_in(a: Column) -> Column:
+    """Whether a fingerprint is only the smallest hash of a text that has none below the threshold."""
+    return (F.size(a) > 0) & (F.array_min(a) >= F.lit(THRESHOLD).cast("long"))
+
+
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has."""
-    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(F.lit(1.0)).cast("double")
+    """Estimated share of a's shingles that b has; 1 for a text without words, null if a is a
+    stand-in that b, by its rule, need not have kept."""
+    unknown = stand_in(a) & (F.size(b) > 0) & ~stand_in(b)
+    return F.when(~unknown, F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(F.lit(1.0))).cast("double")
 
 
 def fingerprint(docs: DataFrame, text_col: str = "text", name: str = "sketch") -> DataFrame:
@@ -81,25 +98,15 @@ def as_text(hashes: Column) -> Column:
 def with_next(rows: DataFrame, buckets: int) -> DataFrame:
     """Rows of (doc_id, text, sketch) with next_text and next_sketch in ascending id; the last row's
     next is the first. A bucket's sentinel is the first row of the next bucket that has any."""
-    bounds = range_bounds(rows, "doc_id", buckets)
-    placed = rows.withColumn("bucket", bucket_of("doc_id", bounds))
-    firsts = {r["bucket"]: (r["has_null"], r["low"]) for r in placed.groupBy("bucket").agg(F.max(F.col("doc_id").isNull()).alias("has_null"), F.min("doc_id").alias("low")).collect()}
-    used = sorted(firsts)  # at most `buckets` rows came to the driver
-    # Bucket to the condition that holds for the first row of the bucket after it (the first of all after the last).
-    heads = []
-    for bucket, following in zip(used, [*used[1:], *used[:1]], strict=True):
-        has_null, low = firsts[following]
-        heads.append((F.col("doc_id").isNull() if has_null else F.col("doc_id") == F.lit(low), bucket))
-    placed = placed.withColumn("sentinel", F.lit(0))
-    if heads:
-        target = F.when(heads[0][0], F.lit(heads[0][1]))
-        for first, bucket in heads[1:]:
-            target = target.when(first, F.lit(bucket))
-        wanted = [low for has_null, low in firsts.values() if not has_null]
-        found = rows.where(F.col("doc_id").isin(wanted) | (F.col("doc_id").isNull() if any(x for x, _ in firsts.values()) else F.lit(False)))
-        one = Window.partitionBy("doc_id").orderBy("text")  # of rows of one id the first by text
-        found = found.withColumn("rank", F.row_number().over(one)).where("rank = 1").drop("rank")
-        placed = placed.unionByName(found.withColumn("bucket", target).withColumn("sentinel", F.lit(1)))
+    placed = rows.withColumn("bucket", bucket_of("doc_id", range_bounds(rows, "doc_id", buckets)))
+    firsts = placed.groupBy("bucket").agg(F.max(F.col("doc_id").isNull()).alias("has_null"), F.min("doc_id").alias("low")).orderBy("bucket").collect()  # `buckets` rows at most
+    # The first id of each bucket, a null if it has one, and the bucket before it (the last one before the first).
+    heads = [(None if r["has_null"] else r["low"], before["bucket"]) for r, before in zip(firsts, [*firsts[-1:], *firsts[:-1]], strict=True)]
+    heads = rows.sparkSession.createDataFrame(heads, T.StructType([T.StructField("head", rows.schema["doc_id"].dataType), T.StructField("bucket", T.IntegerType())]))
+    found = rows.join(F.broadcast(heads), rows["doc_id"].eqNullSafe(heads["head"]))  # one row a bucket
+    one = Window.partitionBy("doc_id").orderBy("text")  # of rows of one id the first by text
+    found = found.withColumn("rank", F.row_number().over(one)).where("rank = 1").drop("rank", "head").withColumn("sentinel", F.lit(1))
+    placed = placed.withColumn("sentinel", F.lit(0)).unionByName(found)
     order = Window.partitionBy("bucket").orderBy("sentinel", F.col("doc_id").asc_nulls_first(), "text")
     return (
         placed.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order))
@@ -114,7 +121,8 @@ def fingerprints_with_neighbours(docs: DataFrame, *, id_col: str = "doc_id", tex
     all) of the next document's.
     """
     spark = docs.sparkSession
-    buckets = max(1, min(512, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    buckets = max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     rows = fingerprint(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")))
     paired = with_next(rows, buckets)
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
