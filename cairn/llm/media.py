@@ -12,7 +12,8 @@ reach to the end and unknown boxes are handled; a box that claims more than its
 error.
 
 Odd rows: a null or empty text is a payload of 64 zero bytes; repeated rows give repeated results;
-only the id and the text are read, so other columns cannot clash.
+only the id and the text are read, so other columns cannot clash. Media that are null, malformed or
+without a track have null features and say why in ``error``; of several tracks the first is taken.
 """
 
 from __future__ import annotations
@@ -54,6 +55,8 @@ class Track:
     def samples(self) -> list[tuple[int, int]]:
         """(offset, size) of every sample, in order."""
         out, number, run = [], 0, 0
+        if self.chunk_offsets and not self.chunk_runs:
+            raise ValueError("chunks without a table of their samples")
         for chunk, offset in enumerate(self.chunk_offsets, 1):
             while run + 1 < len(self.chunk_runs) and self.chunk_runs[run + 1][0] <= chunk:
                 run += 1
@@ -216,16 +219,23 @@ def media_features(media: DataFrame) -> DataFrame:
     schema = T.StructType([
         media.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()),
         T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType()),
+        T.StructField("error", T.StringType()),
     ])
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
             for stored in batch.column(2).to_pylist():
-                (track,) = read_media(stored)
-                payload = stored_payload(stored, track)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(track)))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                whole = (None, None) if stored is None else (len(stored), hashlib.sha256(stored).hexdigest())
+                try:
+                    track = next(iter(read_media(stored or b"")), None)
+                    if track is None:
+                        raise ValueError("no track")
+                    payload = stored_payload(stored, track)
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), *whole, feature(track), None))
+                except (ValueError, IndexError, struct.error) as error:
+                    rows.append((None, None, None, *whole, None, str(error)))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=schema.names)
 
         return work
