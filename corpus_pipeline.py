@@ -42,8 +42,8 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of every document in full sequences that hold the corpus's mixture of sources."""
-    return pack_documents(docs)
+    """Pieces of every document, with their token ids, in full sequences that hold the corpus's mixture of sources."""
+    return pack_documents(docs, with_ids=True)
 
 
 STAGES = [("quality", quality_filter), ("near_dedup", near_dedup), ("secrets", secret_redaction), ("packing", packing)]
