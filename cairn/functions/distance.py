@@ -1,32 +1,51 @@
-"""Distances that Spark has no function for, as Arrow-batched UDFs."""
+"""Distances that Spark has no function for, over whole batches of pairs at a time."""
 
 from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _characters(words: list[str], width: int, fill: int) -> np.ndarray:
+    """Code points of every word, one row each, filled up to ``width`` columns."""
+    out = np.full((len(words), width), fill, np.int64)
+    for i, word in enumerate(words):
+        out[i, : len(word)] = np.frombuffer(word.encode("utf-32-le"), "<u4")
+    return out
+
+
+def osa_many(left: list[str], right: list[str]) -> np.ndarray:
+    """Edits between the strings of each pair, a swap of neighbours being one; no part is edited twice.
+
+    One table for all pairs: cell (i, j) is an array over the pairs, and each pair's answer is read at
+    its own lengths.
+    """
+    n, m = np.array([len(x) for x in left], np.int64), np.array([len(x) for x in right], np.int64)
+    rows, columns = int(n.max(initial=0)), int(m.max(initial=0))
+    a, b = _characters(left, rows, -1), _characters(right, columns, -2)
+    table = np.zeros((rows + 1, columns + 1, len(left)), np.int64)
+    table[:, 0], table[0, :] = np.arange(rows + 1)[:, None], np.arange(columns + 1)[:, None]
+    for i in range(1, rows + 1):
+        for j in range(1, columns + 1):
+            cell = np.minimum(np.minimum(table[i - 1, j], table[i, j - 1]) + 1, table[i - 1, j - 1] + (a[:, i - 1] != b[:, j - 1]))
+            if i > 1 and j > 1:
+                swapped = (a[:, i - 1] == b[:, j - 2]) & (a[:, i - 2] == b[:, j - 1])
+                cell = np.where(swapped, np.minimum(cell, table[i - 2, j - 2] + 1), cell)
+            table[i, j] = cell
+    return table[n, m, np.arange(len(left))]
+
+
 def osa(left: str, right: str) -> int:
-    """Edits between two strings, a swap of neighbours being one; no part is edited twice."""
-    older: list[int] = []
-    previous = list(range(len(right) + 1))
-    for i in range(1, len(left) + 1):
-        current = [i]
-        for j in range(1, len(right) + 1):
-            best = min(previous[j] + 1, current[-1] + 1, previous[j - 1] + (left[i - 1] != right[j - 1]))
-            if i > 1 and j > 1 and left[i - 1] == right[j - 2] and left[i - 2] == right[j - 1]:
-                best = min(best, older[j - 2] + 1)
-            current.append(best)
-        older, previous = previous, current
-    return previous[-1]
+    return int(osa_many([left], [right])[0])
 
 
 @F.pandas_udf(T.IntegerType())
 def osa_distance(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([osa(a or "", b or "") for a, b in zip(left, right, strict=True)], dtype="int32")
+    return pd.Series(osa_many(left.fillna("").tolist(), right.fillna("").tolist()), dtype="int32")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -10,8 +10,12 @@ from cairn.sources.tables import lines
 #: Reading limits: shortest token of a typo or prefix reading, and the largest share of changed characters.
 TYPO_LEAST, PREFIX_LEAST, TYPO_RATIO = 3, 3, 0.34
 MERGE_LEAST = 6
-#: Names offered for each exact query token, and for each query before alignment.
-RARE_SEEDS, SHORTLIST = 150, 400
+#: Fixed values of the shortlist: a token in more names is no rare one; readings kept for a query token;
+#: names kept for a query; query tokens and characters up to which names that contain the query are offered; sizes of names.
+RARE_SEEDS, READINGS, SHORTLIST, BROWSE_TOKENS, BROWSE_CHARS, MOST_TOKENS, LEAST_CHARS = 150, 60, 400, 2, 24, 24, 3
+#: Characters of a template's fixed text that lead to it.
+RUN = 3
+PLACEHOLDER = r"^(?:<[^<>\s]+>|enum\[[^\[\]]+\])$"
 
 
 def words_of_line(txt: str = "txt"):
@@ -34,8 +38,9 @@ def tokens_of(name: str = "name"):
     return F.filter(parts, lambda p: p != "")
 
 
-def postings(registry: DataFrame) -> DataFrame:
-    return registry.select("name", F.explode(F.array_distinct(tokens_of())).alias("token"))
+def postings(registry: DataFrame, key: str = "name") -> DataFrame:
+    """Every name by each of its tokens that is no placeholder."""
+    return registry.select(key, F.explode(F.array_distinct(tokens_of())).alias("token")).where(~F.col("token").rlike(PLACEHOLDER))
 
 
 def token_stats(registry: DataFrame) -> DataFrame:
@@ -70,33 +75,43 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.posexplode(tokens_of("query")).alias("at", "qtoken"))
 
 
-def _shared_bigram(qtokens: DataFrame, stats: DataFrame) -> DataFrame:
-    """Distinct (qtoken, token) pairs that share a bigram and whose lengths allow a typo."""
-    grams = bigram_index(stats).withColumn("size", F.length("token"))
+#: Most edits of a typo between two tokens.
+_EDITS = f"floor({TYPO_RATIO} * greatest(length(qtoken), length(token)))"
+
+
+def _near(qtokens: DataFrame, stats: DataFrame, near: str) -> DataFrame:
+    """Distinct (qtoken, token) pairs that share a bigram, whose lengths allow a typo and for which
+    ``near`` holds, an SQL condition on these and their Levenshtein distance ``lev``.
+
+    A bigram is joined together with the length, so only tokens of a fitting length meet, and pairs are
+    measured where they meet: next to nothing is left to make distinct.
+    """
+    slack = F.when(F.least(F.length("qtoken"), F.col("size")) >= 7, 2).otherwise(1)
+    grams = bigram_index(stats.where(F.length("token") >= TYPO_LEAST)).withColumn("size", F.length("token"))
     asked = qtokens.select("qtoken").distinct().where(F.length("qtoken") >= TYPO_LEAST).withColumn("token", F.col("qtoken"))
-    asked = asked.select("qtoken", F.explode(bigrams("token")).alias("gram"))
-    q, c = F.length("qtoken"), F.col("size")
-    slack = F.when(F.least(q, c) >= 7, 2).otherwise(1)
-    return grams.join(asked, "gram").where((c >= TYPO_LEAST) & (F.abs(q - c) <= slack) & (F.col("token") != F.col("qtoken"))).select("qtoken", "token").distinct()
+    sizes = F.filter(F.sequence(F.length("qtoken") - 2, F.length("qtoken") + 2), lambda n: n >= TYPO_LEAST)
+    asked = asked.select("qtoken", F.explode(bigrams("token")).alias("gram")).withColumn("size", F.explode(sizes))
+    met = grams.join(asked, ["gram", "size"]).where((F.abs(F.length("qtoken") - F.col("size")) <= slack) & (F.col("token") != F.col("qtoken")))
+    return met.withColumn("lev", F.levenshtein("qtoken", "token")).where(near).select("qtoken", "token").distinct()
 
 
 def typo_candidates(queries: DataFrame, stats: DataFrame) -> DataFrame:
     """Tokens near a query token by Levenshtein distance, prefiltered by a shared bigram."""
-    pairs = _shared_bigram(query_tokens(queries), stats).withColumn("distance", F.levenshtein("qtoken", "token").cast("bigint"))
-    return pairs.where(F.col("distance") <= TYPO_RATIO * F.greatest(F.length("qtoken"), F.length("token"))).select("qtoken", "token", "distance")
+    return _near(query_tokens(queries), stats, f"lev <= {_EDITS}").withColumn("distance", F.levenshtein("qtoken", "token").cast("bigint"))
 
 
 def osa_typos(queries: DataFrame, stats: DataFrame) -> DataFrame:
     """The same by optimal string alignment, in which swapped neighbours count once.
 
-    Levenshtein distance is at most twice the alignment's, so it screens the pairs for the UDF.
+    A swap saves one edit, so Levenshtein distance is at most twice the alignment's, and what it has
+    beyond the limit must be saved by neighbours that the other token has the other way round. That
+    screens the pairs for the UDF.
     """
     from cairn.functions.distance import osa_distance
 
-    pairs = _shared_bigram(query_tokens(queries), stats)
-    longest = F.greatest(F.length("qtoken"), F.length("token"))
-    screened = pairs.where(F.levenshtein("qtoken", "token") <= 2 * TYPO_RATIO * longest)
-    return screened.withColumn("distance", osa_distance("qtoken", "token").cast("bigint")).where(F.col("distance") <= TYPO_RATIO * longest).select("qtoken", "token", "distance")
+    swaps = "size(filter(transform(sequence(1, length(qtoken) - 1), i -> reverse(substring(qtoken, i, 2))), g -> contains(token, g)))"
+    pairs = _near(query_tokens(queries), stats, f"lev <= 2 * {_EDITS} AND (lev <= {_EDITS} OR lev - {_EDITS} <= {swaps})")
+    return pairs.withColumn("distance", osa_distance("qtoken", "token").cast("bigint")).where(F.expr(f"distance <= {_EDITS}")).select("qtoken", "token", "distance")
 
 
 def prefix_readings(queries: DataFrame, stats: DataFrame) -> DataFrame:
@@ -113,18 +128,65 @@ def merge_segments(queries: DataFrame, stats: DataFrame) -> DataFrame:
     return formed.join(stats.select("token"), "token").select("query_id", "query", "at", "token")
 
 
-def shortlist_topk(queries: DataFrame, registry: DataFrame, stats: DataFrame, k: int = SHORTLIST) -> DataFrame:
-    """The k names of each query that most of its token readings (exact, prefix, typo) are found in.
+def readings(queries: DataFrame, stats: DataFrame) -> DataFrame:
+    """(qtoken, token, priority): what each distinct query token may stand for, at most READINGS each.
 
-    The readings are joined per distinct token, and support is summed before ranking.
+    Priority 0 is the token itself, 2 a typo of it, 1 a token that it opens; that one only where both
+    are rare, so that a common stem does not bring in all its completions.
     """
-    readings = (
-        query_tokens(queries).select(F.col("qtoken"), F.col("qtoken").alias("token"), F.lit(0).alias("priority")).distinct()
-        .unionByName(prefix_readings(queries, stats).withColumn("priority", F.lit(1)))
-        .unionByName(typo_candidates(queries, stats).select("qtoken", "token", F.lit(2).alias("priority")))
-        .groupBy("qtoken", "token").agg(F.min("priority").alias("priority"))
+    asked = query_tokens(queries).select("qtoken").distinct()
+    exact = asked.join(stats, F.col("qtoken") == F.col("token"))
+    rare = stats.where(F.col("df") <= RARE_SEEDS)
+    opened = prefix_readings(queries, rare).join(rare.select(F.col("token").alias("qtoken")), "qtoken", "left_semi")
+    every = (
+        exact.select("qtoken", "token", F.lit(0).alias("priority"), F.lit(0).cast("bigint").alias("distance"))
+        .unionByName(osa_typos(queries, stats).withColumn("priority", F.lit(2)))
+        .unionByName(opened.select("qtoken", "token", F.lit(1).alias("priority"), F.lit(0).cast("bigint").alias("distance")))
     )
-    hits = query_tokens(queries).join(readings, "qtoken").join(postings(registry), "token")
-    ranked = hits.groupBy("query_id", "name").agg(F.count("*").alias("support"), F.min("priority").cast("bigint").alias("priority"))
+    # A token that is a typo as well as a completion counts as a typo.
+    one = every.groupBy("qtoken", "token").agg(F.max_by(F.struct("priority", "distance"), "priority").alias("r")).select("qtoken", "token", "r.*")
+    order = Window.partitionBy("qtoken").orderBy((F.col("priority") != 0), "distance", "token")
+    return one.withColumn("place", F.row_number().over(order)).where(F.col("place") <= READINGS).select("qtoken", "token", "priority", "distance")
+
+
+def containing(queries: DataFrame, registry: DataFrame) -> DataFrame:
+    """(query_id, name) of the names that contain a short query, by an equi-join on its first characters."""
+    short = queries.withColumn("needle", F.lower(F.coalesce("needle", "query"))).where((F.size(tokens_of("query")) <= BROWSE_TOKENS) & (F.length("needle") <= BROWSE_CHARS) & (F.length("needle") > 0))
+    asked = short.select("query_id", "needle", F.substring("needle", 1, RUN).alias("start"))
+    cf = F.lower("name")
+    # All runs of one to RUN characters: a query shorter than RUN is its own start.
+    starts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(cf)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(RUN)), lambda n: cf.substr(i, n)))))
+    return registry.select("name", F.explode(starts).alias("start")).join(asked, "start").where(F.contains(cf, F.col("needle"))).select("query_id", "name").distinct()
+
+
+def templates_for(queries: DataFrame, registry: DataFrame) -> DataFrame:
+    """(query_id, name) of the templates whose fixed text begins, somewhere, with characters of the query."""
+    needle = F.lower(F.regexp_replace(F.coalesce("needle", "query"), "_", ""))
+    windows = F.transform(F.sequence(F.lit(1), F.length("squashed") - RUN + 1), lambda i: F.col("squashed").substr(i, F.lit(RUN)))
+    asked = queries.withColumn("squashed", needle).where(F.length("squashed") >= RUN).select("query_id", F.explode(F.array_distinct(windows)).alias("run"))
+    fixed = F.filter(tokens_of(), lambda t: ~t.rlike(PLACEHOLDER) & (F.length(t) >= 2))
+    dynamic = registry.where(F.exists(tokens_of(), lambda t: t.rlike(PLACEHOLDER)))
+    runs = dynamic.select("name", F.explode(F.array_distinct(F.transform(fixed, lambda t: F.substring(t, 1, RUN)))).alias("run"))
+    return runs.join(asked, "run").select("query_id", "name").distinct()
+
+
+def shortlist_topk(queries: DataFrame, registry: DataFrame, stats: DataFrame, k: int = SHORTLIST) -> DataFrame:
+    """The k names of each query that most of its token readings are found in.
+
+    Strategies are united, none cuts another short: readings of tokens, fixed text of templates, and
+    for short queries names that contain them. A name's priority is its best strategy's (templates 0,
+    containing names 4), its support the number of readings found in it. Names for rare tokens are
+    there through those tokens' own readings. Readings are joined per distinct token, and support is
+    summed before ranking. ``queries`` may have a ``needle``, the text as it was asked.
+    """
+    if "needle" not in queries.columns:
+        queries = queries.withColumn("needle", F.col("query"))
+    fits = (F.size(tokens_of()) <= MOST_TOKENS) & (F.length("name") >= LEAST_CHARS)
+    registry = registry.where(fits)
+    read = query_tokens(queries).join(readings(queries, stats), "qtoken")
+    hits = read.join(postings(registry), "token").groupBy("query_id", "name").agg(F.count("*").alias("support"), F.min("priority").cast("bigint").alias("priority"))
+    other = templates_for(queries, registry).withColumn("priority", F.lit(0)).unionByName(containing(queries, registry).withColumn("priority", F.lit(4)))
+    other = other.select("query_id", "name", F.lit(0).cast("bigint").alias("support"), F.col("priority").cast("bigint"))
+    ranked = hits.unionByName(other).groupBy("query_id", "name").agg(F.sum("support").alias("support"), F.min("priority").alias("priority"))
     order = Window.partitionBy("query_id").orderBy(F.desc("support"), "priority", "name")
     return ranked.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k).select("query_id", "name", "support", "priority", "rank")

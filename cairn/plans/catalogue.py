@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators import align, evaluate, registry, rules, textsearch
+from cairn.plans import search_sql
 from cairn.sources.tables import lines, table
 
 TERM = "tion"
@@ -42,10 +43,8 @@ typos AS (SELECT qtoken, token, distance FROM (SELECT qtoken, token, CAST(levens
  AND abs(length(qtoken) - length(token)) <= CASE WHEN least(length(qtoken), length(token)) >= 7 THEN 2 ELSE 1 END))
  WHERE distance <= 0.34 * greatest(length(qtoken), length(token)))"""
 _PREFIXES = "prefixes AS (SELECT DISTINCT q.qtoken, s.token FROM (SELECT DISTINCT qtoken FROM qtok) q JOIN stats s ON length(q.qtoken) >= 3 AND length(s.token) > length(q.qtoken) AND starts_with(s.token, q.qtoken))"
-_SHORT = _CASES + ", " + _GRAMS + ", " + _PREFIXES + """, readings AS (SELECT qtoken, token, min(p) AS priority FROM (
- SELECT DISTINCT qtoken, qtoken AS token, 0 AS p FROM qtok UNION ALL SELECT qtoken, token, 1 FROM prefixes UNION ALL SELECT qtoken, token, 2 FROM typos) GROUP BY ALL),
-short AS (SELECT query_id, name, support, priority, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY support DESC, priority, name) AS rank FROM (
- SELECT query_id, name, count(*) AS support, CAST(min(priority) AS BIGINT) AS priority FROM qtok JOIN readings USING (qtoken) JOIN post USING (token) GROUP BY query_id, name)) WHERE rank <= 400)"""
+_SHORT = _CASES + ", ask AS (SELECT query_id, query, query AS needle FROM cases), " + search_sql.shortlist("ask")
+_BEST = _CASES + ", " + search_sql.matches()
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -129,7 +128,7 @@ def typo_candidates(spark, d):
     return registry.typo_candidates(_cases(spark, d), _stats(spark, d))
 
 
-@query()
+@query(f"WITH {_CASES}, {search_sql.osa_typos('qtok')} SELECT qtoken, token, distance FROM osa_typo")
 def osa_typos(spark, d):
     return registry.osa_typos(_cases(spark, d), _stats(spark, d))
 
@@ -151,20 +150,23 @@ def shortlist_topk(spark, d):
     return registry.shortlist_topk(cases, reg, stats)
 
 
-@query()
+@query(f"""WITH {_BEST}, {search_sql.TOP} SELECT query_id, query, name, rank, 'SUGGESTION' AS status, 'token_edit' AS match_kind, match_score, query_support, candidate_coverage, array_to_string(matched, ',') AS matched,
+ array_to_string(missing, ',') AS missing, array_to_string(extra, ',') AS extra, '[' || array_to_string(changes, ',') || ']' AS substitutions, '[]' AS bindings FROM top""")
 def fuzzy_search(spark, d):
     cases, reg, stats = _index(spark, d)
     return align.fuzzy_search(cases.select("query_id", "query"), reg, stats)
 
 
-@query()
+@query(f"WITH {_BEST}, {search_sql.TIERS} SELECT query_id, tier, rank, name, match_score, query_support, candidate_coverage, total FROM placed WHERE rank <= CASE WHEN tier = 'result' THEN 20 ELSE 40 END")
 def search_tiers(spark, d):
     cases, reg, stats = _index(spark, d)
     matches = align.fuzzy_matches(cases.select("query_id", "query"), reg, stats)
     return align.tiers(matches).select("query_id", "tier", "rank", "name", "match_score", "query_support", "candidate_coverage", "total")
 
 
-@query()
+@query(f"""WITH {_BEST}, {search_sql.TOP}, hit AS (SELECT query_id, mutation, expected, min(CASE WHEN name = expected THEN rank END) AS place, count(name) AS n FROM cases LEFT JOIN top USING (query_id) GROUP BY ALL)
+SELECT coalesce(mutation, 'all') AS mutation, count(*) AS queries, count(CASE WHEN place <= 1 THEN 1 END) AS hit_1, count(CASE WHEN place <= 5 THEN 1 END) AS hit_5, count(CASE WHEN n > 0 THEN 1 END) AS returned
+FROM hit GROUP BY GROUPING SETS ((mutation), ())""")
 def fuzzy_metrics(spark, d):
     return evaluate.metrics(_cases(spark, d), fuzzy_search(spark, d).select("query_id", "name", "rank"))
 

@@ -60,3 +60,119 @@ def test_placeholder_binds():
     facts = align(["fleet", "cost", "mult"], ["<ship>", "cost", "mult"], {}, {})
     assert facts["bindings"] == [{"placeholder": "<ship>", "value": "fleet"}] and facts["matched"] == ["cost", "mult"]
 
+
+
+def every_script(q, c, weight, i=0, j=0):
+    """All scripts from (i, j) on as (cost, moves), by plain recursion; moves in the order of taste."""
+    from cairn.operators.align import COSTS, LONGEST_CAPTURE
+
+    if (i, j) == (len(q), len(c)):
+        yield 0.0, []
+        return
+    slot = lambda t: t.startswith("<") or t.startswith("enum[")
+    steps = []
+    if i < len(q) and j < len(c):
+        if slot(c[j]):
+            steps += [(COSTS["capture"] * k, ("2capture", k), i + k, j + 1) for k in range(1, len(q) - i + 1) if len("_".join(q[i : i + k])) <= LONGEST_CAPTURE]
+        else:
+            a, b = q[i], c[j]
+            near = min(len(a), len(b)) >= 3 and abs(len(a) - len(b)) <= (2 if min(len(a), len(b)) >= 7 else 1) and brute_osa(a, b) <= 0.34 * max(len(a), len(b))
+            if a == b or near:
+                steps.append((COSTS["typo"] * (brute_osa(a, b) if a != b else 0) * weight(b), ("0read", 0), i + 1, j + 1))
+            elif 3 <= len(a) < len(b) and b.startswith(a):
+                steps.append((COSTS["prefix"] * (0.5 + 0.5 * len(a) / len(b)) * weight(b), ("0read", 0), i + 1, j + 1))
+            if j + 1 < len(c) and not slot(c[j + 1]) and len(a) >= 4 and b + c[j + 1] == a:
+                steps.append((COSTS["join"] * (weight(b) + weight(c[j + 1])), ("1join", 0), i + 1, j + 2))
+    if j < len(c):
+        steps.append((COSTS["missing"] * weight(c[j]), ("3skip", 0), i, j + 1))
+    if i < len(q):
+        seen, k, has = 0, 0, set()
+        for token in q:
+            while k < len(c) and c[k] != token:
+                k += 1
+            if k == len(c):
+                break
+            has.add(token)
+            seen += 1
+        steps.append((COSTS["extra"] * (2 if q[i] in has else 1), ("4drop", 0), i + 1, j))
+    for cost, move, ni, nj in steps:
+        for rest, moves in every_script(q, c, weight, ni, nj):
+            yield cost + rest, [move, *moves]
+
+
+def test_alignment_is_the_first_of_the_cheapest_scripts():
+    rng = random.Random(5)
+    words = ["job", "jobs", "pop", "owned", "ownde", "back", "ground", "background", "backg", "has", "any", "energy"]
+    holes = ["<ship>", "enum[kind]"]
+    for _ in range(400):
+        q = [rng.choice(words) for _ in range(rng.randint(1, 4))]
+        c = [rng.choice(words + holes * 2) for _ in range(rng.randint(1, 4))]
+        weights = {w: 1 + rng.random() for w in words}
+        want = min(every_script(q, c, lambda t, w=weights: w.get(t, 1.4)), key=lambda x: (round(x[0], 9), x[1]))
+        got = align(q, c, weights, {})
+        assert got["cost"] == pytest.approx(want[0])
+        moves = [m for m, _ in want[1]]
+        assert (len(got["missing"]), len(got["extra"]), len(got["bindings"])) == (moves.count("3skip"), moves.count("4drop"), moves.count("2capture"))
+        assert len(got["matched"]) + len(got["substitutions"]) == moves.count("0read") + moves.count("1join")
+        assert [len(b["value"].split("_")) for b in got["bindings"]] == [k for m, k in want[1] if m == "2capture"]
+
+
+def test_batches_give_what_single_pairs_give(spark, registry):
+    """Shapes of many sizes in one batch, empty token lists among them."""
+    from cairn.operators.align import NUMBERS, with_facts
+
+    rng = random.Random(6)
+    words = ["job", "pop", "owned", "background", "has", "any"]
+    rows = []
+    for k in range(120):
+        q, c = ([rng.choice(words) for _ in range(rng.randint(0, 4))] for _ in range(2))
+        rows.append((k, "_".join(c), q, c, [1.5] * len(q), [0.5] * len(q), [1.2] * len(c), [0.7] * len(c)))
+    frame = spark.createDataFrame(rows, "id int, name string, q array<string>, c array<string>, qw array<double>, qi array<double>, cw array<double>, ci array<double>")
+    for r in with_facts(frame).collect():
+        if r.q and r.c:
+            from cairn.operators.align import _shapes
+
+            ((_, shape),) = _shapes([r.q], [r.c], [r.qw], [r.qi], [r.cw], [r.ci])
+            import numpy as np
+
+            assert [r[n] for n in NUMBERS] == pytest.approx(shape.facts(np.zeros(1), np.zeros(1))[0].tolist())
+        else:
+            assert r.cost != r.cost  # not aligned
+
+
+TEMPLATED = [*NAMES, "<planet_class>_habitability", "country_<resource>_produces_mult", "<a>_<b>_add", "<ship_size>_max_per_member_add"]
+
+
+def test_templates_have_to_be_carried_by_their_fixed_text(spark):
+    """A placeholder binds, a wildcard that takes most of the query is no suggestion."""
+    names = spark.createDataFrame([(n,) for n in TEMPLATED], "name string")
+    queries = spark.createDataFrame([(1, "country_energy_produces_mult"), (2, "country_resource_energy"), (3, "corvette_max_per_member_add"), (4, "continental_hab"), (5, "some_long_words_here_add")], "query_id long, query string")
+    found = {}
+    for r in fuzzy_search(queries, names, token_stats(names)).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.name, r.match_kind, r.bindings))
+    assert found[1][0][1:3] == ("country_<resource>_produces_mult", "template_fuzzy") and '"energy"' in found[1][0][3]
+    assert "<ship_size>_max_per_member_add" in [x[1] for x in found[3]]
+    assert not any("<a>_<b>_add" in x[1] for rows in found.values() for x in rows)
+    assert 5 not in found
+
+
+def test_anchor():
+    from cairn.operators.align import anchor
+
+    assert anchor("<planet_class>_habitability") == (12, 12) and anchor("<a>_<b>_add") == (0, 0) and anchor("country_<x>_add") == (7, 7) and anchor("plain_name") == (9, 9)
+
+
+def test_swapped_letters_reach_the_shortlist(spark):
+    from cairn.operators.registry import readings, shortlist_topk
+
+    names = spark.createDataFrame([("job_xyz",), ("other_name",), ("energy_pops",), ("x_" + "y" * 200,)], "name string")
+    stats = token_stats(names)
+    queries = spark.createDataFrame([(1, "jbo_pop"), (2, "nam"), (3, "ergy")], "query_id long, query string")
+    assert {(r.query_id, r.name) for r in shortlist_topk(queries, names, stats).collect()} >= {(1, "job_xyz"), (2, "other_name"), (3, "energy_pops")}
+    read = {(r.qtoken, r.token): r.priority for r in readings(queries, stats).collect()}
+    assert read["jbo", "job"] == 2 and ("nam", "name") in read
+
+
+def test_unrelated_names_and_permutations_are_not_suggested(spark, registry):
+    queries = spark.createDataFrame([(1, "quantum_flux_inverter"), (2, "zeta"), (3, "job_pop_owned_any"), (4, "job_background_has")], "query_id long, query string")
+    assert not fuzzy_search(queries, registry, token_stats(registry)).count()
