@@ -2,9 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+import tempfile
+import uuid
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Upper bound of one Arrow batch of whole texts that goes to a Python worker.
+BATCH_BYTES = 16 * 1024 * 1024
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes as well as by rows, unless the session already says how."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, str(2**31 - 1), str(2**63 - 1), "-1"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder that the session names for what driver and executors share; a session of
+    one JVM that names none gets a temporary one, a cluster its warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.cairn.scratch", None)
+    if not root:
+        local = spark.sparkContext.master.startswith("local")
+        root = "file://" + tempfile.mkdtemp(prefix="cairn-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/cairn-scratch"
+        spark.conf.set("spark.cairn.scratch", root)
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage: write to the shared folder, read back with the same schema."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,22 +50,23 @@ def lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str =
 
 
 def text_tree(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Whole files under a folder: rel_path, text, length, modified; read byte-exactly."""
+    """Whole files under a folder, by path: rel_path, text, length, modified; read byte-exactly.
+
+    ``rel_path`` is what follows the folder in a file's path, whatever characters either has.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    root = path.rstrip("/") + "/"
-    relative = F.element_at(F.split("path", root.removeprefix("file:").replace(".", r"\."), 2), -1)
-    return files.select(relative.alias("rel_path"), F.decode("content", "UTF-8").alias("text"), "length", F.col("modificationTime").alias("modified"))
+    root = re.sub(r"^file:/*", "/", path.rstrip("/")) + "/"
+    whole = F.regexp_replace("path", r"^file:/*", "/")
+    relative = whole.substr(F.length(F.substring_index(whole, root, 1)) + F.lit(len(root) + 1), F.length(whole))
+    return files.select(relative.alias("rel_path"), F.decode("content", "UTF-8").alias("text"), "length", F.col("modificationTime").alias("modified")).orderBy("rel_path")
 
 
-def descriptor(text) -> object:
-    """``key="value"`` lines as a map column."""
-    pattern = r'(?m)^\s*([A-Za-z_]+)\s*=\s*"([^"]*)"'
-    return F.map_from_entries(
-        F.transform(
-            F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))),
-            lambda m: F.struct(F.regexp_extract(m, pattern, 1), F.regexp_extract(m, pattern, 2)),
-        )
-    )
+def descriptor(text: Column) -> Column:
+    """``key="value"`` lines as a map of lower-case keys; the last of repeated keys counts."""
+    pattern = r'(?m)^[ \t]*([\w.-]+)[ \t]*=[ \t]*"([^"]*)"'
+    entries = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(F.lower(F.regexp_extract(m, pattern, 1)).alias("key"), F.regexp_extract(m, pattern, 2).alias("value")))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
+    return F.map_from_entries(last)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -46,23 +80,34 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_members(spark: SparkSession, path: str, member_pattern: str) -> DataFrame:
-    """Members of tar.gz archives whose name matches: archive, rel_path, content."""
+    """Members of tar.gz archives whose name matches: archive, rel_path, content, error.
+
+    An archive that cannot be read gives one row with its ``error`` after the members read so far; it
+    stops no other.
+    """
     import io
-    import re
     import tarfile
-
-    import pandas as pd
+    import zlib
+
+    schema = "archive string, rel_path string, content binary, error string"
+    names = ["archive", "rel_path", "content", "error"]
+    kinds = [pa.string(), pa.string(), pa.binary(), pa.string()]
+
+    def members(name: str, content: bytes):
+        try:
+            with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as archive:
+                for member in archive:
+                    found = re.search(member_pattern, member.name)
+                    if member.isfile() and found:
+                        yield name, found.group(1) if found.groups() else member.name, archive.extractfile(member).read(), None
+        except (tarfile.TarError, OSError, EOFError, zlib.error) as problem:
+            yield name, None, None, str(problem)
 
     def unpack(batches):
         for batch in batches:
-            rows = []
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as archive:
-                    for member in archive:
-                        found = re.search(member_pattern, member.name)
-                        if member.isfile() and found:
-                            rows.append((name, found.group(1) if found.groups() else member.name, archive.extractfile(member).read()))
-            yield pd.DataFrame(rows, columns=["archive", "rel_path", "content"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(unpack, "archive string, rel_path string, content binary")
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for row in members(name, content):  # one member at a time: archives may be large
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+
+    bounded_batches(spark)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(unpack, schema)

@@ -5,15 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.sources.tables import shared_path
 
-def event_totals(spark: SparkSession, folder: str, pattern: str, schema, checkpoint: str, name: str) -> DataFrame:
-    """Counts and sums of each event type over the files of a folder that match, read
-    as a file stream: all that is there now."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).option("pathGlobFilter", pattern).parquet(folder)
-    totals = stream.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(38,6)")).alias("total"))
-    running = totals.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name)
+
+def refresh(spark: SparkSession, folder: str, pattern: str, schema, sink: str, checkpoint: str, build, files: int = 64) -> None:
+    """Bring ``sink`` up to date with the files that came to a folder since ``checkpoint`` was written.
+
+    Each micro-batch of new files is turned into rows by ``build`` and written as a part named after the
+    batch, so a batch that is run again after a failure replaces its own part and no other. Nothing is
+    gathered on the driver.
+    """
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", pattern).parquet(folder)
+
+    def write(batch: DataFrame, number: int) -> None:
+        build(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def event_totals(spark: SparkSession, folder: str, pattern: str, schema) -> DataFrame:
+    """Counts and sums of each event type over the files of a folder that match, read as a file stream: each
+    micro-batch leaves its partial sums, and these are summed."""
+    root = shared_path(spark, "stream")
+    parts = lambda batch: batch.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(38,6)")).alias("total"))
+    refresh(spark, folder, pattern, schema, f"{root}/parts", f"{root}/checkpoint", parts)
+    return spark.read.parquet(f"{root}/parts").groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
 def windowed_counts(stream: DataFrame, minutes: int = 10, late: str = "30 minutes") -> DataFrame:

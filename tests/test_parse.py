@@ -1,6 +1,7 @@
 import pytest
 
-from cairn.operators import harvest, parse, rules, textsearch, validate
+from cairn.operators import harvest, parse, rulebook, rules, textsearch
+from cairn.sources import tables
 from pyspark.sql import functions as F
 
 SOURCE = """# head
@@ -41,16 +42,87 @@ def test_round_trip_and_islands(spark):
     assert sorted(r.n_nodes for r in islands) == [1, 2]
 
 
-def test_definitions_follow_directory_rules(spark):
-    scripts = spark.createDataFrame(
-        [("game", 0, "common/jobs/a.txt", "job_a = { name = miner }\njob_b = { }\nscalar = 1"), ("mod", 1, "common/jobs/a.txt", "job_b = { }"), ("game", 0, "common/jobs/deep/b.txt", "job_c = { }"), ("game", 0, "common/jobs/broken.txt", "{")],
-        "source string, priority int, rel_path string, text string",
-    )
-    declared = spark.createDataFrame([("job", "common/jobs", ".txt", "name", None)], "type string, directory string, extension string, name_field string, starts_with string")
-    found = harvest.definitions(scripts, declared)
-    assert sorted((r.name, r.source) for r in found.collect()) == [("job_b", "game"), ("job_b", "mod"), ("miner", "game")]
+TYPES = """types = {
+    type[job] = { path = "game/common/jobs" name_field = name }
+    ## type_key_filter = planet
+    type[world] = { path = "common/worlds" path_extension = .gfx skip_root_key = list subtype[rich] = { gold = yes } subtype[deep] = { size = big inner = { x = 1 } } subtype[never] = { gold = no } }
+    ## type_key_filter <> { hidden }
+    ## starts_with = a_
+    type[unit] = { path = "common/units" path_file = main type_key_prefix = A_ }
+    type[page] = { path = "common/pages" name_from_file = yes type_per_file = yes }
+    type[slot] = { path = "common/slots" name_field = - }
+}
+enums = { complex_enum[section] = { path = "game/common/jobs" name = { parts = { enum_name = { } } } } }
+"""
+
+
+@pytest.fixture(scope="module")
+def harvested(spark):
+    files = [
+        ("game", 0, "common/jobs/a.txt", "job_a = { name = miner parts = { Left = { } right = { } } }\njob_b = { name = x name = y }\nnameless = { }\nscalar = 1"), ("mod", 1, "common/jobs/a.txt", "job_b = { name = X }"),
+        ("game", 0, "common/jobs/deep/b.txt", "job_c = { name = deep }"), ("game", 0, "common/jobs/broken.txt", "{"), ("game", 0, "common/jobs/c.yml", "job_d = { name = yml }"),
+        ("game", 0, "common/worlds/w.gfx", "list = { planet = { gold = 1 } planet = { size = Big inner = { x = 1 } } moon = { } } planet = { size = big inner = { y = 1 } }"),
+        ("game", 0, "common/units/main.txt", "a_one = { } A_two = { } hidden = { } b_three = { }"), ("game", 0, "common/units/other.txt", "a_four = { }"),
+        ("game", 0, "common/pages/p_1.txt", "x = 1"), ("game", 0, "common/slots/s.txt", "k = { }"),
+    ]
+    scripts = spark.createDataFrame(files, "source string, priority int, rel_path string, text string")
+    book = rulebook.RuleBook({"types.cwt": TYPES})
+    declared = harvest.directory_rules(spark, book)
+    return harvest.parsed_files(scripts, declared), declared, book
+
+
+def test_definitions_follow_directory_rules(spark, harvested):
+    files, declared, book = harvested
+    found = harvest.definitions_of(files, declared, harvest.subtype_rules(spark, book))
+    assert sorted((r.type, r.name, r.source, ",".join(r.subtypes)) for r in found.collect()) == [
+        ("job", "X", "mod", ""), ("job", "miner", "game", ""), ("job", "x", "game", ""), ("page", "p_1", "game", ""), ("unit", "A_two", "game", ""), ("unit", "a_one", "game", ""),
+        ("world", "planet", "game", ""), ("world", "planet", "game", "deep"), ("world", "planet", "game", "rich"),
+    ]
     last = rules.overridden(found.select(F.lower("name").alias("name"), "type", "source", "priority", "line"), ["type", "name"], ["priority", "line"])
-    assert {r.name: r.source for r in last.collect()} == {"job_b": "mod", "miner": "game"}
+    assert {r.name: r.source for r in last.where("type = 'job'").collect()} == {"x": "mod", "miner": "game"}
+    assert [(r.source, r.rel_path, r.error is not None) for r in harvest.file_errors(files).collect()] == [("game", "common/jobs/broken.txt", True)]
+
+
+def test_enums_are_harvested_and_types_are_needed(harvested):
+    files, declared, book = harvested
+    assert harvest.complex_enum_sources(book) == [("job", "section", ("parts", "enum_name"))]
+    assert sorted(r.value for r in harvest.enum_members(files, declared, harvest.complex_enum_sources(book)).collect()) == ["left", "right"]
+    assert harvest.needed_types(book, ["<world>_cost", "enum[x]_<unit.rich>", "<unknown>_y"]) == ["job", "unit", "world"]
+
+
+def test_display_names_lead_to_symbols(spark):
+    scripts = spark.createDataFrame([(0, "loc/a_l_english.yml", 'l_english:\n key_a:0 "Miner"\n key_b:0 "Miner"\n key_c:0 "Farmer"'), (0, "loc/a_l_simp_chinese.yml", 'l_simp_chinese:\n key_d:0 "Miner"')], "priority int, rel_path string, text string")
+    symbols = spark.createDataFrame([("key_a", "job"), ("KEY_B", "job"), ("key_c", "job"), ("key_d", "job")], "name string, kind string")
+    queries = spark.createDataFrame([(1, "miner"), (2, "farmer")], "query_id long, query string")
+    found = harvest.by_display_name(queries, harvest.localisation(scripts), symbols)
+    assert sorted((r.query_id, r.name) for r in found.collect()) == [(1, "key_d"), (2, "key_c")]
+
+
+def test_descriptors(spark):
+    text = 'Name="A mod"\nversion2 = "1"\nsupported_version="3.*"\nname="Last"\n'
+    assert spark.createDataFrame([(text,), (None,)], "t string").select(tables.descriptor(F.col("t")).alias("d")).first().d == {"name": "Last", "version2": "1", "supported_version": "3.*"}
+
+
+def test_trees_and_archives(spark, tmp_path):
+    import io
+    import tarfile
+
+    folder = tmp_path / "a+b (1).x"
+    (folder / "deep").mkdir(parents=True)
+    (folder / "z.txt").write_bytes(b"one\r\ntwo")
+    (folder / "deep" / "y.txt").write_bytes("ü".encode())
+    assert [(r.rel_path, r.text) for r in tables.text_tree(spark, str(folder)).collect()] == [("deep/y.txt", "ü"), ("z.txt", "one\r\ntwo")]
+    packed = io.BytesIO()
+    with tarfile.open(fileobj=packed, mode="w:gz") as archive:
+        for name in ("repo/config/a.cwt", "repo/readme"):
+            info = tarfile.TarInfo(name)
+            info.size = 3
+            archive.addfile(info, io.BytesIO(b"abc"))
+    (tmp_path / "packs").mkdir()
+    (tmp_path / "packs" / "good.tar.gz").write_bytes(packed.getvalue())
+    (tmp_path / "packs" / "bad.tar.gz").write_bytes(b"no archive")
+    rows = tables.archive_members(spark, str(tmp_path / "packs"), r"config/(.*\.cwt)$").collect()
+    assert sorted((r.rel_path or "", r.error is None) for r in rows) == [("", False), ("a.cwt", True)]
 
 
 def test_localisation_first_wins(spark):
@@ -58,26 +130,6 @@ def test_localisation_first_wins(spark):
     assert [(r.lang, r.key, r.value) for r in harvest.localisation(scripts).collect()] == [("english", "key_a", "A  thing")]
 
 
-RULE_COLUMNS = "schema string, key string, value_rule string, child_schema string, lo int, hi int, scopes array<string>"
-
-
-@pytest.mark.parametrize(
-    ("text", "code"),
-    [("thing = { size = 3 }", "CWT_IDENTIFIER"), ("thing = { size = 9 }", "VALUE_MISMATCH"), ("thing = { size = { } }", "SHAPE_MISMATCH"), ("thing = { size = 3 what = 1 }", "UNKNOWN_FIELD"), ("thing = { }", "CARDINALITY_MISMATCH"),
-     ("thing = { size = 3 owner = bob }", "OBJECT_REFERENCE"), ("thing = { size = 3 owner = eve }", "UNKNOWN_OBJECT_REFERENCE"), ("thing = { size = 3 label = localisation }", "VALUE_REFERENCE_UNRESOLVED"),
-     ("thing = { size = 3 @v = 1 }", "SCRIPT_VARIABLE"), ("thing = { size > 3 }", "OPERATOR_MISMATCH"), ("thing = { size = 3 only = yes }", "SCOPE_MISMATCH"), ("thing = { size = 3 what = { deep = 1 } }", "UNRESOLVED_CONTEXT"), ("thing = {", "SCRIPT_PARSE_ERROR")],
-)
-def test_findings(spark, text, code):
-    declared = spark.createDataFrame(
-        [("root", "thing", None, "thing", None, None, None), ("thing", "size", "int[1..5]", None, 1, 1, None), ("thing", "owner", "<person>", None, None, None, None), ("thing", "label", "localisation", None, None, None, None), ("thing", "only", "bool", None, None, None, ["fleet"])],
-        RULE_COLUMNS,
-    )
-    known = spark.createDataFrame([("person", "bob")], "type string, name string")
-    tree = parse.nodes(spark.createDataFrame([("s", text)], "doc string, text string"))
-    found = validate.validate(tree, declared, known, "root", scope="planet")
-    assert code in {r.code for r in found.collect()}
-
-
 def test_ranges(spark):
     frame = spark.createDataFrame([("1",), ("2",), ("5",), ("6",), ("x",)], "v string")
     assert [r[0] for r in frame.select(rules.in_range(F.col("v"), "float(1..5]")).collect()] == ["no", "yes", "yes", "no", "unknown"]
