@@ -1,97 +1,149 @@
-"""Validation of script trees against rules, level by level.
+"""Validation of scripts against a rule book, and of what they refer to against data.
 
-``rules`` declare fields of a schema: (schema, key, value_rule, child_schema, lo, hi, scopes). Each
-level of the trees is one join with the rules of the schemas its parents have; which branch applies
-is decided by rank, the first that fits. Levels are few (nesting depth), rows are joined once.
+Scripts are parsed and checked in one narrow pass: a script's findings depend on the script and on the
+book, which every task has (``RuleBook`` bounds its size). Questions that only data can answer, whether
+an object or a name exists, stay in the findings and are answered by equi-joins over all scripts.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from cairn.operators.rules import parse_range
+from cairn.functions.distance import close_matches
+from cairn.operators.checker import ANY_SCOPE, Checker
+from cairn.operators.parse import ROWS, ScriptError, parse
+from cairn.operators.rulebook import RuleBook
+from cairn.sources.tables import bounded_batches, stored
 
 #: Rank of the statuses, most telling first.
 STATUSES = ("UNKNOWN", "UNRESOLVED", "TEMPLATE_MATCH", "CONFIRMED_GAME_DATA", "CONFIRMED_CWT")
-DEEPEST = 80
-
-
-def value_check(value: str, rule: str):
-    """yes, no or unknown as a column, for the built-in scalar rules; ``rule`` and ``value`` name columns."""
-    v, r = F.col(value), F.col(rule)
-    number = v.try_cast("double")
-    pattern = r"^(?:int|float)([\[(])\s*(-?[\d.]+|-?inf)\s*\.\.\s*(-?[\d.]+|-?inf)\s*([\])])$"
-    bound = lambda i: F.regexp_replace(F.regexp_extract(r, pattern, i), "inf", "Infinity").try_cast("double")
-    above = F.when(F.regexp_extract(r, pattern, 1) == "(", number > bound(2)).otherwise(number >= bound(2))
-    below = F.when(F.regexp_extract(r, pattern, 4) == ")", number < bound(3)).otherwise(number <= bound(3))
-    whole = F.when(F.startswith(r, F.lit("int")), v.rlike(r"^-?\d+$")).otherwise(F.lit(True))
-    yes = lambda c: F.when(F.coalesce(c, F.lit(False)), "yes").otherwise("no")
-    return (
-        F.when(r.isNull() | v.isNull() | r.isin("scalar", "string"), "yes").when(r == "bool", yes(F.lower(v).isin("yes", "no")))
-        .when(r.rlike(pattern), yes(above & below & whole)).when(r == "int", yes(v.rlike(r"^-?\d+$"))).when(r == "float", yes(number.isNotNull()))
-        .when(r.rlike(r"^(?:localisation|scope_field|variable_field|percentage_field|date_field|color_field)"), "unknown").otherwise(yes(v == r))
+#: Longest script, in characters.
+LONGEST = 2_000_000
+#: Which kind of name a definition of a type is.
+KIND_OF_TYPE = {"scripted_trigger": "trigger", "scripted_effect": "effect", "script_value": "trigger"}
+SHOWN = "node_id int, identifier string, line int, end_line int, status string, code string, message string, sources array<string>, expected array<string>, field string, scope string, supported_scopes array<string>, suggestions array<string>"
+ASKED = "pending int, ask_types array<string>, ask_value string, ask_every boolean, ask_names array<string>, ask_captures array<string>"
+
+
+def checked(scripts: DataFrame, book: RuleBook, schema: str | None = None, kind: str | None = None, scope: str | None = None, mode: str = "body", doc: str = "doc", text: str = "text") -> DataFrame:
+    """Findings of every script with the questions that are left to data.
+
+    Columns schema, kind, scope and mode of ``scripts``, where there are any, say what a script is; the
+    arguments do where there are none or nulls.
+    """
+    given = {"schema": schema, "kind": kind, "scope": scope, "mode": mode}
+    context = [F.coalesce(F.col(c) if c in scripts.columns else F.lit(None).cast("string"), F.lit(v).cast("string")).alias(f"told_{c}") for c, v in given.items()]
+    spark = scripts.sparkSession
+    bounded_batches(spark)
+    out = spark.createDataFrame([], f"{doc} {scripts.schema[doc].dataType.simpleString()}, {SHOWN}, {ASKED}").schema
+    arrow = to_arrow_schema(out)
+
+    def run(batches):
+        checker, rows = Checker(book), []
+        for batch in batches:
+            for key, source, *told in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                try:
+                    if len(source or "") > LONGEST:
+                        raise ScriptError(1, f"more than {LONGEST} characters")
+                    found = checker.check(parse(source or ""), *told)
+                except ScriptError as problem:
+                    found = [{"status": "UNKNOWN", "code": "SCRIPT_PARSE_ERROR", "message": str(problem), "line": problem.line}]
+                rows += [{doc: key, **row} for row in found]
+                if len(rows) >= ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, arrow)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    return scripts.select(doc, text, *context).mapInArrow(run, out)
+
+
+def _object_answers(asked: DataFrame, known: DataFrame, loaded: DataFrame, doc: str) -> DataFrame:
+    """(doc, node_id, object_type, confirmed, absent) of nodes whose value may be an object."""
+    each = asked.select(doc, "node_id", "ask_value", "ask_every", F.explode("ask_types").alias("whole")).distinct()
+    each = each.withColumn("type", F.substring_index("whole", ".", 1)).withColumn("name_cf", F.lower("ask_value"))
+    joined = each.join(known, ["type", "name_cf"], "left").join(loaded, "type", "left")
+    return joined.groupBy(doc, "node_id").agg(
+        F.array_join(F.array_sort(F.collect_set("type")), "/").alias("object_type"), F.coalesce(F.max("known"), F.lit(False)).alias("confirmed"),
+        (F.min("ask_every") & F.min(F.coalesce("loaded", F.lit(False))) & ~F.coalesce(F.max("known"), F.lit(False))).alias("absent"),
     )
 
 
-def validate(node_rows: DataFrame, rules: DataFrame, references: DataFrame, root_schema: str, doc: str = "doc", scope: str | None = None) -> DataFrame:
-    """Findings (doc, node_id, line, identifier, status, code) of each node.
+def close_names(missing: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(type, value, candidates): at most five names of the type that are much like the value.
 
-    ``references``: (type, name) of known objects, for values ruled by ``<type>``. Unknown fields
-    give UNKNOWN_FIELD and leave what is below them UNRESOLVED_CONTEXT.
+    Only names that begin with the same two characters, or end with the last two, are compared: an
+    equi-join keeps the pairs few.
     """
-    node_rows = node_rows.persist()  # parsed once, read at every level
-    bad = node_rows.where("error is not null").select(doc, F.lit(None).cast("int").alias("node_id"), F.col("error_line").alias("line"), F.lit(None).cast("string").alias("identifier"), F.lit("UNKNOWN").alias("status"), F.lit("SCRIPT_PARSE_ERROR").alias("code"))
-    good = node_rows.where("error is null")
-    deepest = good.agg(F.max("depth")).first()[0]
-    findings = bad
-    declared = rules.select("schema", F.lower("key").alias("key_cf"), "value_rule", "child_schema", "scopes")
-    known = references.select(F.concat(F.lit("<"), "type", F.lit(">")).alias("value_rule"), F.lower("name").alias("value_cf"), F.lit(True).alias("known")).distinct()
-    parents = None
-    counted = None
-    for depth in range(min(deepest if deepest is not None else -1, DEEPEST) + 1):
-        level = good.where(F.col("depth") == depth)
-        level = level.withColumn("schema", F.lit(root_schema)) if parents is None else level.join(parents, [doc, "parent_id"])
-        checked = level.withColumn("key_cf", F.lower("key")).withColumn("value_cf", F.lower("value")).join(declared.withColumn("ruled", F.lit(True)), ["schema", "key_cf"], "left").join(known, ["value_rule", "value_cf"], "left")
-        reference = F.col("value_rule").rlike(r"^<[^<>]+>$")
-        fits = value_check("value", "value_rule")
-        block_expected = F.col("child_schema").isNotNull()
-        branch = [
-            (F.col("schema").isNull(), "UNRESOLVED", "UNRESOLVED_CONTEXT"),
-            (F.startswith("key", F.lit("@")), "CONFIRMED_CWT", "SCRIPT_VARIABLE"),
-            (F.col("ruled").isNull(), "UNKNOWN", "UNKNOWN_FIELD"),
-            (F.col("is_block") != block_expected, "UNKNOWN", "SHAPE_MISMATCH"),
-            (F.lit(scope is not None) & F.col("scopes").isNotNull() & ~F.array_contains("scopes", F.lit(scope or "")), "UNKNOWN", "SCOPE_MISMATCH"),
-            (~F.col("op").isin("=") & ~F.col("is_block"), "UNKNOWN", "OPERATOR_MISMATCH"),
-            (reference & F.col("known").isNull(), "UNKNOWN", "UNKNOWN_OBJECT_REFERENCE"),
-            (reference, "CONFIRMED_GAME_DATA", "OBJECT_REFERENCE"),
-            (~F.col("is_block") & (fits == "no"), "UNKNOWN", "VALUE_MISMATCH"),
-            (~F.col("is_block") & (fits == "unknown"), "UNRESOLVED", "VALUE_REFERENCE_UNRESOLVED"),
-        ]
-        status, code = F.when(branch[0][0], branch[0][1]), F.when(branch[0][0], branch[0][2])
-        for condition, s, c in branch[1:]:
-            condition = F.coalesce(condition, F.lit(False))
-            status, code = status.when(condition, s), code.when(condition, c)
-        rows = checked.select(doc, "node_id", "line", "key_cf", "key", "parent_id", "schema", F.when(F.col("is_block") & F.col("ruled"), F.col("child_schema")).alias("child_schema"), "is_block", status.otherwise("CONFIRMED_CWT").alias("status"), code.otherwise("CWT_IDENTIFIER").alias("code"))
-        rows = rows.persist()
-        findings = findings.unionByName(rows.select(doc, "node_id", "line", F.col("key").alias("identifier"), "status", "code"))
-        blocks = rows.where("is_block").select(doc, F.col("node_id").alias("parent_id"), F.col("child_schema").alias("schema"), F.col("line").alias("block_line"))
-        counted = blocks if counted is None else counted.unionByName(blocks)
-        parents = blocks.drop("block_line")
-    if counted is not None:
-        counts = good.groupBy(doc, "parent_id", F.lower("key").alias("key_cf")).agg(F.count("*").alias("n"))
-        limits = rules.where("lo is not null or hi is not null").select("schema", F.lower("key").alias("key_cf"), "lo", "hi")
-        broken = counted.join(limits, "schema").join(counts, [doc, "parent_id", "key_cf"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        broken = broken.where((F.col("n") < F.coalesce("lo", F.lit(0))) | (F.col("n") > F.coalesce("hi", F.lit(2**31 - 1))))
-        findings = findings.unionByName(broken.select(doc, F.col("parent_id").alias("node_id"), F.col("block_line").alias("line"), F.col("key_cf").alias("identifier"), F.lit("UNKNOWN").alias("status"), F.lit("CARDINALITY_MISMATCH").alias("code")))
-    return findings
+    keys = lambda c: F.array_distinct(F.array(F.substring(F.lower(c), 1, 2), F.concat(F.lit("-"), F.lower(F.substring(c, -2, 2)))))
+    asked = missing.select("type", "value").distinct().select("type", "value", F.explode(keys("value")).alias("k"))
+    names = definitions.select("type", "name").distinct().select("type", "name", F.explode(keys("name")).alias("k"))
+    pairs = asked.join(names, ["type", "k"]).where(F.levenshtein(F.lower("value"), F.lower("name")) <= F.greatest(F.length("value"), F.length("name")) / 2).select("type", "value", "name").distinct()
+    gathered = pairs.groupBy("type", "value").agg(F.sort_array(F.collect_set("name")).alias("names"))  # names that differ in half their characters at most
+    return gathered.select("type", "value", close_matches("value", "names").alias("candidates"))
 
 
-def overall(findings: DataFrame, doc: str = "doc") -> DataFrame:
-    rank = F.create_map(*(F.lit(x) for i, s in enumerate(STATUSES) for x in (s, i)))
-    return findings.groupBy(doc).agg(F.min_by("status", rank[F.col("status")]).alias("overall"), F.count("*").alias("n_findings"))
+def answered(found: DataFrame, definitions: DataFrame, generated: DataFrame | None = None, doc: str = "doc") -> DataFrame:
+    """Findings with the questions answered by data. ``definitions``: type, name; ``generated``: name, supported_scopes."""
+    spark = found.sparkSession
+    known = definitions.select("type", F.lower("name").alias("name_cf"), F.lit(True).alias("known")).distinct()
+    loaded = definitions.select("type", F.lit(True).alias("loaded")).distinct()
+    if generated is None:
+        generated = spark.createDataFrame([], "name string, supported_scopes array<string>")
+    key = [doc, "node_id"]
+    shown = [doc, *(c.split(" ")[0] for c in SHOWN.split(", ")), "object_type"]
+    found = found.withColumn("object_type", F.lit(None).cast("string"))
+    blank = {c: F.lit(None).cast(found.schema[c].dataType).alias(c) for c in shown}
+
+    # Values that may be objects.
+    objects = _object_answers(found.where("ask_types is not null"), known, loaded, doc).where("confirmed or absent")
+    first = found.where("ask_types is not null").groupBy(*key).agg(F.min_by(F.struct("identifier", "line", "end_line", "sources", "scope"), "code").alias("n"), F.first("ask_value").alias("value"))
+    told = objects.join(first, key)
+    candidates = close_names(told.where("absent").select(F.explode(F.split("object_type", "/")).alias("type"), "value"), definitions)
+    told = told.join(candidates.groupBy("value").agg(F.slice(F.array_distinct(F.flatten(F.collect_list("candidates"))), 1, 5).alias("candidates")), "value", "left")
+    object_rows = told.select(*({**blank, doc: F.col(doc), "node_id": F.col("node_id"), **{c: F.col(f"n.{c}").alias(c) for c in ("identifier", "line", "end_line", "sources")}, "object_type": F.col("object_type"),
+        "status": F.when(F.col("confirmed"), "CONFIRMED_GAME_DATA").otherwise("UNKNOWN").alias("status"), "code": F.when(F.col("confirmed"), "OBJECT_REFERENCE").otherwise("UNKNOWN_OBJECT_REFERENCE").alias("code"),
+        "message": F.when(F.col("confirmed"), "the object exists").otherwise("no object of this name").alias("message"), "suggestions": F.when(F.col("absent"), F.col("candidates")).alias("suggestions")}[c] for c in shown))
+    rest = found.where("ask_types is null").unionByName(found.where("ask_types is not null").join(objects.select(*key), key, "left_anti"))
+
+    # Template names whose object does not exist.
+    holes = rest.where("ask_captures is not null").select(*key, F.explode("ask_captures").alias("c")).distinct().select(*key, F.split("c", "\0")[0].alias("type"), F.lower(F.split("c", "\0")[1]).alias("name_cf"))
+    broken = holes.join(loaded, "type").join(known, ["type", "name_cf"], "left_anti").select(*key).distinct()
+    torn = rest.where("ask_captures is not null and code = 'CWT_IDENTIFIER' and message = 'declared as a modifier'").join(broken, key, "left_semi")
+    torn_rows = torn.withColumns({"status": F.lit("UNKNOWN"), "code": F.lit("UNKNOWN_MODIFIER"), "message": F.lit("fits a template, but its object does not exist")}).select(*shown)
+    rest = rest.where("ask_captures is null").unionByName(rest.where("ask_captures is not null").join(broken, key, "left_anti"))
+
+    # Names that only data declares, and what stands inside their blocks.
+    kinds = F.create_map(*(F.lit(x) for pair in KIND_OF_TYPE.items() for x in pair))
+    names = definitions.select(kinds[F.col("type")].alias("kind"), F.lower("name").alias("name_cf"), "type").where("kind is not null")
+    names = names.groupBy("kind", "name_cf").agg(F.min("type").alias("declared_type"))
+    asks = rest.where("ask_names is not null")
+    made = generated.groupBy(F.lower("name").alias("name_cf")).agg(F.first("supported_scopes").alias("made_scopes"), F.lit(True).alias("made"))
+    asks = asks.withColumn("name_cf", F.lower("identifier")).join(made, "name_cf", "left")
+    each = asks.withColumn("kind", F.explode("ask_names")).join(names, ["kind", "name_cf"], "left")
+    is_made = F.coalesce(F.col("made"), F.lit(False)) & F.array_contains("ask_names", "modifier")
+    hits = each.groupBy(*key).agg(F.min("declared_type").alias("declared_type"), F.max(is_made).alias("is_made"), F.first("made_scopes").alias("made_scopes")).where("is_made or declared_type is not null")
+    resolved = rest.where("ask_names is not null").join(hits, key)
+    code = F.when(F.col("is_made"), "GENERATED_MODIFIER").otherwise("DEFINED_IN_GAME_DATA")
+    data_rows = resolved.withColumns({"status": F.lit("CONFIRMED_GAME_DATA"), "code": code, "message": F.lit("declared by data"), "object_type": F.col("declared_type"), "suggestions": F.lit(None).cast("array<string>")}).select(*shown)
+    unfit = F.col("is_made") & F.col("scope").isNotNull() & (F.size("made_scopes") > 0) & ~F.array_contains("made_scopes", F.lower("scope")) & ~F.arrays_overlap("made_scopes", F.array(*map(F.lit, sorted(ANY_SCOPE))))
+    scope_rows = resolved.where(unfit).withColumns({"status": F.lit("UNKNOWN"), "code": F.lit("SCOPE_MISMATCH"), "message": F.lit("no category of the modifier supports this scope"), "supported_scopes": F.array_sort("made_scopes")}).select(*shown)
+    owners = hits.select(F.col(doc).alias("owner_doc"), F.col("node_id").alias("owner"))
+    rest = rest.where("ask_names is null").unionByName(rest.where("ask_names is not null").join(hits.select(*key), key, "left_anti"))
+    rest = rest.join(owners, (F.col(doc) == F.col("owner_doc")) & (F.col("pending") == F.col("owner")), "left_anti")
+    return rest.select(*shown).unionByName(object_rows).unionByName(torn_rows).unionByName(data_rows).unionByName(scope_rows)
 
 
-def check_rule_text(rule: str) -> bool:
-    """Whether a rule is a well-formed range."""
-    return parse_range(rule) is not None
+def validate(scripts: DataFrame, book: RuleBook, definitions: DataFrame, generated: DataFrame | None = None, doc: str = "doc", **context) -> DataFrame:
+    """Findings of every script; they are written once, as every question and the answer read them."""
+    return answered(stored(checked(scripts, book, doc=doc, **context), "findings"), definitions, generated, doc)
+
+
+def overall(findings: DataFrame, doc: str = "doc") -> DataFrame:
+    """Findings of each script by status, and the status that outranks the others."""
+    rank = F.create_map(*(F.lit(x) for i, s in enumerate(STATUSES) for x in (s, i)))
+    counts = [F.count(F.when(F.col("status") == s, 1)).alias(f"n_{s.lower()}") for s in STATUSES]
+    return findings.groupBy(doc).agg(F.min_by("status", rank[F.col("status")]).alias("overall"), F.count("*").alias("n_findings"), *counts)
