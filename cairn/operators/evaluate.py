@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators.registry import line_names
@@ -59,6 +59,8 @@ def permuted(names: DataFrame) -> DataFrame:
     return names.where(F.size(t) >= 3).select("name", F.array_join(F.reverse(t), "_").alias("reverse"), F.array_join(F.concat(F.slice(t, 2, 100), F.slice(t, 1, 1)), "_").alias("rotate"))
 
 
-def rank_by_support(shortlist: DataFrame) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("support"), "priority", "name")
-    return shortlist.withColumn("rank", F.row_number().over(order).cast("bigint")).select("query_id", "name", "rank")
+def negative_cases(cases: DataFrame) -> DataFrame:
+    """query_id, mutation, query: each expected name with its tokens reversed, and a name that is like none."""
+    t = F.split("expected", "_")
+    reverse = cases.where(F.size(t) >= 3).select("query_id", F.lit("reverse").alias("mutation"), F.array_join(F.reverse(t), "_").alias("query"))
+    return reverse.unionByName(cases.select("query_id", F.lit("unrelated").alias("mutation"), F.concat(F.lit("zzq"), "query_id", F.lit("_xxk_vvw")).alias("query")))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -354,13 +352,28 @@ def status_fold(spark, d):
 def stream_refresh(spark, d):
     from cairn.streaming.refresh import event_totals
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cairn-stream-")
-    tag = uuid.uuid4().hex
-    events = table(spark, d, "events")
-    totals = event_totals(spark, d, "events.parquet", events.schema, f"{root}/stream-{tag}", f"totals_{tag}")
+    totals = event_totals(spark, d, "events.parquet", table(spark, d, "events").schema)
     return totals.select("event_type", "n", F.round(F.col("total"), 4).cast("double").alias("total"))
 
 
+ORDER_RULES = """
+types = { type[customer] = { path = "game/customers" } }
+enums = { enum[status] = { F O P } }
+orders = {
+    order = {
+        ## cardinality = 1..1
+        status = enum[status]
+        ## cardinality = 1..1
+        price = float[0..200000]
+        ## cardinality = 1..1
+        priority = scalar
+        ## cardinality = 1..1
+        owner = <customer>
+        ## cardinality = 1..2
+        note = scalar
+    }
+}
+"""
 _SCRIPT = "concat_ws('', 'order_', o_orderkey, ' = { status = ', o_orderstatus, ' price = ', cast(o_totalprice as decimal(18,2)), ' priority = \"', o_orderpriority, '\" owner = c', o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN ' oops = 1' ELSE '' END, ' }')"
 
 
@@ -383,24 +396,23 @@ UNION ALL SELECT o_orderkey, 'status', CASE WHEN o_orderstatus IN ('F', 'O', 'P'
 UNION ALL SELECT o_orderkey, 'price', CASE WHEN CAST(o_totalprice AS DECIMAL(18,2)) <= 200000 THEN 'CONFIRMED_CWT' ELSE 'UNKNOWN' END, CASE WHEN CAST(o_totalprice AS DECIMAL(18,2)) <= 200000 THEN 'CWT_IDENTIFIER' ELSE 'VALUE_MISMATCH' END FROM orders
 UNION ALL SELECT o_orderkey, 'priority', 'CONFIRMED_CWT', 'CWT_IDENTIFIER' FROM orders
 UNION ALL SELECT o_orderkey, 'owner', CASE WHEN c_custkey IS NULL THEN 'UNKNOWN' ELSE 'CONFIRMED_GAME_DATA' END, CASE WHEN c_custkey IS NULL THEN 'UNKNOWN_OBJECT_REFERENCE' ELSE 'OBJECT_REFERENCE' END FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_nationkey % 5 <> 0) ON c_custkey = o_custkey
-UNION ALL SELECT o_orderkey, 'oops', 'UNKNOWN', 'UNKNOWN_FIELD' FROM orders WHERE o_orderkey % 7 = 0
-UNION ALL SELECT o_orderkey, 'note', 'UNKNOWN', 'CARDINALITY_MISMATCH' FROM orders""")
+UNION ALL SELECT o_orderkey, 'oops', 'UNKNOWN', 'UNKNOWN_SCHEMA_FIELD' FROM orders WHERE o_orderkey % 7 = 0
+UNION ALL SELECT o_orderkey, 'order', 'UNKNOWN', 'CARDINALITY_MISMATCH' FROM orders""")
 def validate_scripts(spark, d):
-    from cairn.operators.parse import nodes
+    """Each order against the rules of an order; owners are the customers of nations not divisible by five."""
+    from cairn.operators.rulebook import RuleBook
     from cairn.operators.validate import validate
 
-    columns = "schema string, key string, value_rule string, child_schema string, lo int, hi int, scopes array<string>"
-    declared = spark.createDataFrame(
-        [("root", "order", None, "order", None, None, None), ("order", "status", "enum", None, 1, 1, None), ("order", "price", "float[0..200000]", None, 1, 1, None), ("order", "priority", "scalar", None, 1, 1, None),
-         ("order", "owner", "<customer>", None, 1, 1, None), ("order", "note", "scalar", None, 1, 2, None)], columns,
-    )
     known = table(spark, d, "customer").where(F.col("c_nationkey") % 5 != 0).select(F.lit("customer").alias("type"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("name"))
-    known = known.unionByName(spark.createDataFrame([("status", "F"), ("status", "O"), ("status", "P")], "type string, name string"))
-    tree = nodes(_scripts(spark, d)).withColumn("key", F.when(F.col("depth") == 0, "order").otherwise(F.col("key")))
-    found = validate(tree, declared.withColumn("value_rule", F.when(F.col("key") == "status", "scalar").otherwise(F.col("value_rule"))), known, "root")
+    scripts = _scripts(spark, d).select("doc", F.regexp_replace("text", "^order_[0-9]+", "order").alias("text"))
+    found = validate(scripts, RuleBook({"orders.cwt": ORDER_RULES}), known, schema="orders")
     return found.select("doc", "identifier", "status", "code")
 
 
+# Registered by importing it.
+from cairn.plans import rule_queries  # noqa: E402, F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 
