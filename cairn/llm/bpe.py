@@ -20,7 +20,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import sys
 from array import array
 from functools import lru_cache
 
@@ -30,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from cairn.llm.common import map_rows, text_or_empty
-from cairn.llm.segments import SegmentCache, segment_text
+from cairn.llm.segments import Bounded, SegmentTable, segment_text
 
 LEAF = 4
+#: Ids that are decoded at once at the leaves of the decoding tree.
+DECODED = 256
 #: Spans up to this length are remembered: leaves and windows of different words are often alike.
 SHORT, SHORT_KEPT = 14, 250_000
 _NONE = 1 << 40
@@ -164,40 +165,41 @@ class TreeBpe:
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of the ids: halves are decoded and concatenated, leaves at once."""
-        if len(ids) > 65_536:
+        if len(ids) > DECODED:
             middle = len(ids) // 2
             return self.decode(ids[:middle]) + self.decode(ids[middle:])
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
-def worker_bpe(ranks_path: str, pattern: str) -> tuple[TreeBpe, SegmentCache]:
+def worker_bpe(ranks_path: str, pattern: str) -> tuple[TreeBpe, SegmentTable]:
     """One per Python worker: it outlives a task."""
     import regex
 
     bpe = TreeBpe.from_file(ranks_path)
-    words, known = regex.compile(pattern).findall, {}
+    words, known = regex.compile(pattern).findall, Bounded()
 
-    def compute(keys: list[str]) -> list[bytes]:
-        out = []
+    def compute(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        runs, sizes = array("I"), []
         for key in keys:
-            ids: list[int] = []
+            before = len(runs)
             for word in words(segment_text(key)):
                 found = known.get(word)
                 if found is None:
-                    if len(known) > 200_000:
-                        known.clear()
-                    found = known[word] = bpe.encode(word.encode())
-                ids += found
-            out.append(array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes())
-        return out
+                    found = bpe.encode(word.encode())
+                    known.keep(word, found)
+                runs.extend(found)
+            sizes.append(len(runs) - before)
+        return np.array(runs, "<u4"), np.array(sizes, np.int64)
 
-    return bpe, SegmentCache(compute)
+    return bpe, SegmentTable(compute, np.dtype("<u4"))
 
 
-def encode_texts(cache: SegmentCache, texts: list[str]) -> list[bytes]:
+def encode_texts(table: SegmentTable, texts: list[str]) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers."""
-    return cache.joined(texts)
+    ids, at = table.gathered(texts)
+    packed, places = memoryview(ids.tobytes()), (at * 4).tolist()
+    return [bytes(packed[a:b]) for a, b in zip(places, places[1:], strict=False)]
 
 
 def bpe_round_trip(docs: DataFrame, *, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -209,10 +211,10 @@ def bpe_round_trip(docs: DataFrame, *, ranks: str | None = None, pattern: str |
     schema = T.StructType(fields + ([T.StructField("ids", T.ArrayType(T.LongType()))] if with_ids else []))
 
     def make():
-        bpe, cache = worker_bpe(ranks, pattern)
+        bpe, table = worker_bpe(ranks, pattern)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            packed = encode_texts(cache, batch.column(1).to_pylist())
+            packed = encode_texts(table, batch.column(1).to_pylist())
             lists = [np.frombuffer(p, "<u4").tolist() for p in packed]
             columns = [
                 batch.column(0), pa.array([len(x) for x in lists], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),

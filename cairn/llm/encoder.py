@@ -3,6 +3,8 @@
 New segments of an Arrow batch are encoded together, as one text: every part brings its own lone
 space or line feed, no pre-token crosses it, and the ids that open with one mark where parts begin. Where
 those marks do not fit the parts, and for parts with other white space inside, each is encoded alone.
+A part of Latin letters alone is one pre-token, so such parts are handed to the library's model as
+pre-tokens; it need not look for them.
 """
 
 from __future__ import annotations
@@ -12,50 +14,94 @@ from functools import lru_cache
 
 import numpy as np
 
-from cairn.llm.segments import SegmentCache, segment_text
+from cairn.llm.segments import SegmentTable, segment_text
 
-#: A key that is not a head, whose only white space may be a line feed in front.
-_PLAIN = re.compile(r"\n?\S+").fullmatch
+#: White space after the first character.
+_WHITE_INSIDE = re.compile(r".\s", re.S).search
+#: Letters of every version of Unicode: a segment of these is one pre-token with the space before it.
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+#: Segments that are encoded as one text.
+_TOGETHER = 20_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: bytes that print stand for themselves, the others for characters from 256 on."""
+    printing = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    rest = [b for b in range(256) if b not in set(printing)]
+    return {b: chr(b) for b in printing} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class SegmentEncoder:
-    """``encode(texts)`` gives the ids of each text as packed numbers of type ``dtype``."""
+    """``encode(texts)`` gives the ids of all texts as numbers of type ``dtype``, and their bounds."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = Tokenizer(self._tokenizer.model)
+        letters = _byte_letters()
+        self._letters = letters | {10: "\n" + letters[32]}  # line feeds part the words here, and each gets its space
         self._tokenizer.encode_special_tokens = True  # strings of special tokens are plain text
         vocabulary = self._tokenizer.get_vocab()
         self.dtype = np.dtype("<u2" if max(vocabulary.values(), default=0) < 65_536 else "<u4")
         self._opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         for piece, number in vocabulary.items():
             self._opens[number] = piece.startswith(("Ġ", "Ċ"))  # space and line feed in the byte-level alphabet
-        self._cache = SegmentCache(self._values)
-
-    def _alone(self, keys: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self._tokenizer.encode_batch_fast([segment_text(k) for k in keys], add_special_tokens=False)]
-
-    def _values(self, keys: list[str]) -> list[bytes]:
-        joint = [i for i, k in enumerate(keys) if _PLAIN(k)]
-        values: list[bytes | None] = [None] * len(keys)
-        for start in range(0, len(joint), 20_000):
-            some = joint[start : start + 20_000]
-            joined = "".join([k if (k := keys[i])[0] == "\n" else " " + k for i in some])
-            ids = np.array(self._tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
-            cuts = np.flatnonzero(self._opens[ids])
-            if len(cuts) != len(some) or (len(cuts) and cuts[0]):
-                continue
-            packed, places = ids.tobytes(), (cuts * self.dtype.itemsize).tolist()
-            for i, a, b in zip(some, places, [*places[1:], len(packed)], strict=True):
-                values[i] = packed[a:b]
-        rest = [i for i, v in enumerate(values) if v is None]
-        for i, v in zip(rest, self._alone([keys[i] for i in rest]), strict=True):
-            values[i] = v
-        return values
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return self._cache.joined(texts)
+        self._table = SegmentTable(self._runs, self.dtype)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same for words of letters, each after a space."""
+        mapped = ("\n" + "\n".join(words)).encode().decode("latin-1").translate(self._letters).split("\n")[1:]
+        return self._parted(self._model.encode_batch_fast([mapped], is_pretokenized=True, add_special_tokens=False)[0].ids, len(words))
+
+    def _together(self, joined: str, n: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids of all parts, size of each), or None if their opening ids do not tell the parts apart."""
+        return self._parted(self._tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, n)
+
+    def _parted(self, found: list[int], n: int) -> tuple[np.ndarray, np.ndarray] | None:
+        ids = np.array(found, self.dtype)
+        cuts = np.flatnonzero(self._opens[ids])
+        if len(cuts) != n or (n and cuts[0]):
+            return None
+        return ids, np.diff(np.append(cuts, len(ids)))
+
+    def _alone(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self._tokenizer.encode_batch_fast([segment_text(k) for k in keys], add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], self.dtype), np.array([len(ids) for ids in found], np.int64)
+
+    def _runs(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        groups: tuple[list[int], ...] = ([], [], [], [])  # after a space, after a line feed, others, words of letters
+        for i, key in enumerate(keys):
+            groups[3 if _LETTERS(key) else 2 if not key or " " in key or key[0] == "\x01" or (not key.isalnum() and _WHITE_INSIDE(key)) else 1 if key[0] == "\n" else 0].append(i)
+        runs, sizes, order = [], [], []
+        for kind, group in enumerate(groups):
+            for a in range(0, len(group), _TOGETHER):
+                some = group[a : a + _TOGETHER]
+                own = [keys[i] for i in some]
+                found = None if kind == 2 else self._words(own) if kind == 3 else self._together("".join(own) if kind else " " + " ".join(own), len(own))
+                found = found or self._alone(own)
+                runs.append(found[0])
+                sizes.append(found[1])
+                order += some
+        if not order:
+            return np.empty(0, self.dtype), np.empty(0, np.int64)
+        pool, size = np.concatenate(runs), np.concatenate(sizes)
+        begin, back = np.cumsum(size) - size, np.argsort(order)
+        size, begin = size[back], begin[back]
+        upto = np.cumsum(size) - size
+        return pool[np.repeat(begin - upto, size) + np.arange(len(pool))], size
+
+    def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each text's ids begin and end): the ids of text i are ``ids[at[i]:at[i + 1]]``.
+
+        With ``end_id``, each text's ids end with it.
+        """
+        ids, at = self._table.gathered(texts)
+        if end_id is None:
+            return ids, at
+        ended = np.full(len(ids) + len(texts), end_id, self.dtype)
+        ended[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), np.diff(at))] = ids
+        return ended, at + np.arange(len(at))
 
 
 @lru_cache(maxsize=2)

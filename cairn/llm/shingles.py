@@ -10,6 +10,8 @@ SHINGLE_WORDS = 5
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MASK = 0xFFFFFFFFFFFFFFFF
 _WORDS_KEPT = 300_000
+#: Longest word, in bytes, whose hash is remembered: memory is bounded by that and the number above.
+_LONGEST = 64
 #: A bitmap has 8 to 16 bits for each shingle, in these bounds: a larger set fills its bitmap more.
 LEAST_BITS, MOST_BITS = 64, 2**17
 
@@ -34,9 +36,11 @@ class WordHashes(dict):
     """Word to 64-bit hash; forgotten when full, so memory is bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > _WORDS_KEPT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= _LONGEST:
+            if len(self) > _WORDS_KEPT:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -56,8 +60,8 @@ def shingle_set(text: str) -> np.ndarray:
     if len(hashes) < SHINGLE_WORDS:
         # The number of words takes part, so a short sequence differs from any full shingle.
         total = np.array([len(hashes)], np.uint64)
-        for place, value in zip(_PLACES, hashes, strict=False):
-            total = mixed(total ^ value * place)
+        for k in range(len(hashes)):
+            total = mixed(total ^ hashes[k : k + 1] * _PLACES[k : k + 1])
         return total
     n = len(hashes) - SHINGLE_WORDS + 1
     total = np.zeros(n, np.uint64)

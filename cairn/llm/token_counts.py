@@ -17,12 +17,13 @@ import base64
 from collections.abc import Iterable
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from cairn.llm.common import map_rows, text_or_empty
-from cairn.llm.segments import SegmentCache, segment_keys, segment_text
+from cairn.llm.segments import Bounded, SegmentTable, keyed, segment_text
 
 
 class LongestMatch:
@@ -107,15 +108,16 @@ class LongestMatch:
 
 
 @lru_cache(maxsize=2)
-def _counter(vocabulary: str, pattern: str) -> SegmentCache:
+def _counter(vocabulary: str, pattern: str) -> SegmentTable:
     """One per Python worker: it outlives a task."""
     import regex
 
     with open(vocabulary, "rb") as lines:
         automaton = LongestMatch(base64.b64decode(line.split()[0]) for line in lines if line.strip())
-    words, pieces = regex.compile(pattern).findall, {}
+    words, pieces = regex.compile(pattern).findall, Bounded()
 
-    def compute(keys: list[str]) -> list[tuple[int, int]]:
+    def compute(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Two numbers a key: pieces and words."""
         out = []
         for key in keys:
             found = words(segment_text(key))
@@ -123,14 +125,13 @@ def _counter(vocabulary: str, pattern: str) -> SegmentCache:
             for word in found:
                 n = pieces.get(word)
                 if n is None:
-                    if len(pieces) > 200_000:
-                        pieces.clear()
-                    n = pieces[word] = automaton.count(word.encode())
+                    n = automaton.count(word.encode())
+                    pieces.keep(word, n)
                 total += n
-            out.append((total, len(found)))
-        return out
+            out += [total, len(found)]
+        return np.array(out, np.int64), np.full(len(keys), 2, np.int64)
 
-    return SegmentCache(compute)
+    return SegmentTable(compute, np.dtype(np.int64))
 
 
 def token_counts(
@@ -150,23 +151,17 @@ def token_counts(
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField("n_bytes", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def make():
-        cache = _counter(vocabulary, pattern)
+        table = _counter(vocabulary, pattern)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(1).to_pylist()
-            split = [segment_keys(t) for t in texts]
-            keys: set[str] = set()
-            for parts in split:
-                keys.update(parts)
-            values = cache.ensure(keys).__getitem__
-            n_tokens, n_words = [], []
-            for parts in split:
-                pairs = list(map(values, parts))
-                n_tokens.append(sum(p[0] for p in pairs))
-                n_words.append(sum(p[1] for p in pairs))
+            keys, at, ends = keyed(texts)
+            pool, begins, _ = table.runs(keys)
+            found = np.stack([pool[begins], pool[begins + 1]], axis=1)
+            upto = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(found[at], axis=0)])
+            sums = upto[ends[1:]] - upto[ends[:-1]]
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())],
-                names=[id_col, "n_bytes", "n_words", "n_tokens"],
+                [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(sums[:, 1]), pa.array(sums[:, 0])], names=[id_col, "n_bytes", "n_words", "n_tokens"]
             )
 
         return work
