@@ -4,48 +4,64 @@ Layout under one folder, all Parquet:
 
     chunks/    digest, payload   unique chunks, each stored once; payload: ids, little-endian,
                                  16 bits wide if the vocabulary allows, else 32
-    recipes/   doc_id, bucket, start, n_tokens, width, digests, root   in ascending doc_id order
-    manifest/  part, n_docs, n_tokens, root   a Merkle root over each recipe file's documents
+    recipes/   doc_id, part, before, n_tokens, crc, digests, root   in ascending doc_id order:
+                                 parts follow each other, and ``before`` counts the ids of the
+                                 documents before this one in its part
+    manifest/  part, first, n_docs, n_tokens, root   the ids before the part, and a Merkle root over
+                                 its documents
+    summary/   n_parts, n_docs, n_tokens, n_chunks, width, root   one row, written last; the root is
+                                 the Merkle root over the parts
 
 A document's stream (its ids and the end id) is cut where a rolling hash of the last ``WINDOW`` ids
 has ``CUT_BITS`` zero bits, at least ``LEAST`` and at most ``MOST`` ids apart, so equal passages give
 equal chunks wherever they stand. A chunk's address is the BLAKE2b digest of its payload; a
-document's root is the Merkle root of its chunks' digests.
-
-Reading checks every payload against its address and every document against its root, and gives the
-CRC-32 of a document's ids as 32-bit numbers from those of its chunks: CRCs combine along the recipe,
-so payloads are read once and never shuffled.
-
-Odd rows: a null or empty text is the end id alone; rows of one id follow each other in the order of
-their first chunk; a null id sorts first; repeated rows each have a recipe and share the chunks; an
-empty table gives an empty store and result. Ids must be numbers. Only the id and the text are read,
-so other columns cannot clash.
+document's root is the Merkle root of its chunks' digests, and its leaf in the part's tree covers its
+id, its number of ids, their CRC-32 and that root.
+
+Reading first holds the recipes against the manifest, and the manifest and the number of chunks
+against the summary. Then every payload is checked against its address, every document against its
+root, its number of ids and its CRC. A chunk, recipe, manifest or summary that is missing, added or
+changed raises an error; nothing is dropped. ``read_store`` gets a document's CRC-32 (of its ids as
+32-bit numbers) from those of its chunks' payloads, as CRCs combine along the recipe, so payloads
+are read once and never shuffled; ``read_ids`` rebuilds the ids themselves and checks them likewise.
+
+Odd rows: a null or empty text is the end id alone; rows of one id follow each other by their root; a
+null id sorts first; repeated rows each have a recipe and share the chunks; an empty table gives an
+empty store and result. Only the id and the text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from functools import lru_cache
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import bounded_batches, bucket_of, map_rows, range_bounds, shared_path, text_or_empty
+from cairn.llm.common import bounded_batches, map_rows, shared_path, text_or_empty
 from cairn.llm.encoder import worker_encoder
 from cairn.llm.shingles import mixed
 
-WINDOW, CUT_BITS, LEAST, MOST = 16, 9, 128, 4096
+WINDOW, CUT_BITS, LEAST, MOST = 16, 8, 64, 2048
 #: Digests that a writing task remembers in order not to stage a chunk twice.
 SEEN = 200_000
+#: A chunk that more than one in so many recipe entries names is joined by broadcast: fewer than
+#: HOT chunks can be.
+HOT = 500
 #: The CRC-32 polynomial, reflected (a fixed value of the format).
-POLYNOMIAL = 0xEDB88320
+POLYNOMIAL = np.uint32(0xEDB88320)
 _NUMBERS = mixed(np.arange(1 << 17, dtype=np.uint64) + np.uint64(77))
 
 
+class StoreError(ValueError):
+    """The files of a store do not belong together."""
+
+
 def address(payload: bytes) -> bytes:
     return hashlib.blake2b(payload, digest_size=16).digest()
 
@@ -80,48 +96,65 @@ class MerkleStack:
         return node or b""
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream; the last is its length."""
-    n = len(ids)
-    sums = np.cumsum(_NUMBERS[ids.astype(np.int64) & 0x1FFFF], dtype=np.uint64)
+def cuts(ids: np.ndarray, at: np.ndarray | None = None) -> list[list[int]]:
+    """Ends of the chunks of each stream: stream i is ``ids[at[i]:at[i + 1]]`` (one stream by default)."""
+    bounds = [0, len(ids)] if at is None else at.tolist()
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_NUMBERS[ids.astype(np.int64) & 0x1FFFF], dtype=np.uint64)])
     rolling = sums[WINDOW:] - sums[:-WINDOW]
-    marks = (np.flatnonzero((rolling * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CUT_BITS) == 0) + WINDOW + 1).tolist()
-    ends, last = [], 0
-    for mark in [*marks, n]:
-        while mark - last > MOST:
-            last += MOST
-            ends.append(last)
-        if mark == n or mark - last >= LEAST:
-            last = mark
-            ends.append(mark)
-    return ends if not ends or ends[-1] == n else [*ends, n]
-
-
-def _times(a: int, b: int) -> int:
-    """Product of two polynomials over GF(2), modulo the CRC's, both reflected."""
-    product = 0
-    while a:
-        if a & 0x80000000:
-            product ^= b
-        a = (a << 1) & 0xFFFFFFFF
-        b = (b >> 1) ^ POLYNOMIAL if b & 1 else b >> 1
+    marks = np.flatnonzero((rolling * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CUT_BITS) == 0) + WINDOW
+    first = np.searchsorted(marks, np.array(bounds[:-1]) + WINDOW).tolist()
+    upto = np.searchsorted(marks, bounds[1:]).tolist()
+    marks, out = marks.tolist(), []
+    for last, end, a, b in zip(bounds[:-1], bounds[1:], first, upto, strict=True):
+        ends = []
+        for mark in [*marks[a:b], end]:
+            while mark - last > MOST:
+                last += MOST
+                ends.append(last)
+            if mark > last and (mark == end or mark - last >= LEAST):
+                last = mark
+                ends.append(mark)
+        out.append(ends)
+    return out
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of polynomials over GF(2), modulo the CRC's, all reflected."""
+    product, one = np.zeros(np.broadcast_shapes(a.shape, b.shape), np.uint32), np.uint32(1)
+    for bit in range(31, -1, -1):
+        product ^= np.where(a >> np.uint32(bit) & one, b, np.uint32(0))
+        b = (b >> one) ^ np.where(b & one, POLYNOMIAL, np.uint32(0))
     return product
 
 
-@lru_cache(maxsize=65_536)
-def _shift(n_bytes: int) -> int:
-    """x to the power 8 * n_bytes."""
-    result, power, bits = 0x80000000, 0x40000000, 8 * n_bytes
-    while bits:
-        if bits & 1:
-            result = _times(power, result)
-        power, bits = _times(power, power), bits >> 1
-    return result
+def _powers(n: int) -> list[np.ndarray]:
+    """x to the powers 8, 16, 32 ..."""
+    power = np.array(1 << 23, np.uint32)
+    out = [power]
+    for _ in range(n - 1):
+        out.append(power := _times(power, power))
+    return out
+
+
+_POWERS = _powers(44)
+
 
+def shifted_crcs(crcs: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """What each CRC-32 comes to when so many bytes follow: XOR them to get the CRC of the whole."""
+    out, left, bit = crcs.astype(np.uint32), n_bytes.astype(np.int64), 0
+    while left.any():
+        odd = np.flatnonzero(left & 1)
+        out[odd] = _times(out[odd], _POWERS[bit])
+        left, bit = left >> 1, bit + 1
+    return out
 
-def combined_crc(first: int, second: int, second_bytes: int) -> int:
-    """CRC-32 of two byte strings one after the other, from their own."""
-    return _times(_shift(second_bytes), first) ^ second
+
+def _leaf(doc_id, n_tokens: int, crc: int, root: bytes) -> bytes:
+    return address(f"{doc_id}:{n_tokens}:{crc}:".encode() + root)
+
+
+def _lists(values: pa.Array, sizes: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
 
 
 def write_store(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -129,25 +162,23 @@ def write_store(docs: DataFrame, path: str, *, tokenizer: str | None = None, end
     import public_tokenizers
 
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    id_field = T.StructField("doc_id", docs.schema[id_col].dataType)
     chunk = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("payload", T.BinaryType())])
-    schema = T.StructType([
-        T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("width", T.IntegerType()),
-        T.StructField("digests", T.ArrayType(T.BinaryType())), T.StructField("root", T.BinaryType()), T.StructField("fresh", T.ArrayType(chunk)),
-    ])
+    recipe = [T.StructField("n_tokens", T.LongType()), T.StructField("crc", T.LongType()), T.StructField("digests", T.ArrayType(T.BinaryType())), T.StructField("root", T.BinaryType())]
+    schema = T.StructType([id_field, *recipe, T.StructField("width", T.IntegerType()), T.StructField("fresh", T.ArrayType(chunk))])
 
     def make():
         encoder, seen = worker_encoder(tokenizer), set()
         width = encoder.dtype.itemsize
-        end = np.array([end_id], encoder.dtype).tobytes()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n_tokens, digests, roots, fresh = [], [], [], []
-            for packed in encoder.encode(batch.column(1).to_pylist()):
-                packed += end
-                ids = np.frombuffer(packed, encoder.dtype)
-                own, new, start = [], [], 0
-                for stop in cuts(ids):
-                    payload = packed[start * width : stop * width]
+            ids, at = encoder.encode(batch.column(1).to_pylist(), end_id)
+            packed, wide = memoryview(ids.tobytes()), memoryview(ids.astype("<u4").tobytes())
+            digests, sizes, roots, crcs, new, new_sizes = [], [], [], [], [], []
+            for start, ends in zip(at.tolist(), cuts(ids, at), strict=False):
+                own, crc, before = [], zlib.crc32(wide[4 * start : 4 * ends[-1]]), len(new)
+                for end in ends:
+                    payload = packed[start * width : end * width]
                     digest = address(payload)
                     own.append(digest)
                     if digest not in seen:
@@ -155,14 +186,15 @@ def write_store(docs: DataFrame, path: str, *, tokenizer: str | None = None, end
                             seen.clear()
                         seen.add(digest)
                         new.append((digest, payload))
-                    start = stop
-                n_tokens.append(len(ids))
-                digests.append(own)
+                    start = end
+                digests += own
+                sizes.append(len(own))
                 roots.append(merkle_root(own))
-                fresh.append([{"digest": d, "payload": p} for d, p in new])
-            kinds = [pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.binary(), pa.list_(pa.struct([("digest", pa.binary()), ("payload", pa.binary())]))]
-            columns = [n_tokens, [width] * len(n_tokens), digests, roots, fresh]
-            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=schema.names)
+                crcs.append(crc)
+                new_sizes.append(len(new) - before)
+            fresh = pa.StructArray.from_arrays([pa.array([d for d, _ in new], pa.binary()), pa.array([bytes(p) for _, p in new], pa.binary())], names=["digest", "payload"])
+            columns = [pa.array(np.diff(at)), pa.array(crcs, pa.int64()), _lists(pa.array(digests, pa.binary()), sizes), pa.array(roots, pa.binary()), pa.array([width] * len(roots), pa.int32()), _lists(fresh, new_sizes)]
+            return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
 
         return work
 
@@ -172,64 +204,113 @@ def write_store(docs: DataFrame, path: str, *, tokenizer: str | None = None, end
     staged = spark.read.schema(schema).parquet(staged_at)
     staged.select(F.inline("fresh")).dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
+    placed = T.StructType([id_field, T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType()), *recipe])
+
+    def number(batches):
+        part, upto = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            if batch.num_rows:
+                sizes = batch.column(1).to_numpy()
+                before = upto + np.cumsum(sizes) - sizes
+                upto += int(sizes.sum())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([part] * batch.num_rows, pa.int32()), pa.array(before), *batch.columns[1:]], names=placed.names)
+
+    bounded_batches(spark)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = range_bounds(staged, "doc_id", min(512, parts))
-    recipes = staged.drop("fresh").withColumn("bucket", bucket_of("doc_id", bounds))
-    totals = {r["bucket"]: r["n"] for r in recipes.groupBy("bucket").agg(F.sum("n_tokens").alias("n")).collect()}  # 512 at most
-    base, before = [], 0
-    for bucket in range(len(bounds) + 1):
-        base.append(before)
-        before += totals.get(bucket, 0)
-    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "root", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    placed = recipes.withColumn("start", F.array(*(F.lit(b).cast("long") for b in base))[F.col("bucket")] + F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
-    placed = placed.select("doc_id", "bucket", "start", "n_tokens", "width", "digests", "root")
-    placed.repartitionByRange(parts, "start").sortWithinPartitions("start").write.parquet(f"{path}/recipes")
-    _write_manifest(spark, path)
+    # All keys are distinct, so rows of one id spread over parts, too.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("root"), F.col("row")]
+    ordered = staged.drop("fresh", "width").withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ordered.drop("row").mapInArrow(number, placed).write.parquet(f"{path}/recipes")
+    _write_manifest(spark, path, staged)
     # The store is whole and reads nothing from the staged rows any more.
     stale = spark._jvm.org.apache.hadoop.fs.Path(staged_at)
     stale.getFileSystem(spark._jsc.hadoopConfiguration()).delete(stale, True)
 
 
-def _write_manifest(spark: SparkSession, path: str) -> None:
-    schema = T.StructType([T.StructField("part", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("root", T.BinaryType())])
+_PART = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("root", T.BinaryType())])
+_SUMMARY = "n_parts int, n_docs long, n_tokens long, n_chunks long, width int, root binary"
+
+
+def _read(spark: SparkSession, path: str, what: str) -> DataFrame:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(f"{path}/{what}")
+    except AnalysisException as error:  # no such folder, or no file in it
+        raise StoreError(f"the store has no {what}: {error}") from error
+
+
+def _parts_of(spark: SparkSession, recipes: DataFrame) -> list:
+    """Number of documents and ids and the Merkle root of each part; a part is a range of the ids, so
+    there are as many as shuffle partitions when the store was written."""
 
     def run(batches):
-        files: dict[str, list] = {}
+        found: dict[int, list] = {}
         for batch in batches:
-            for part, n, root in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                held = files.setdefault(part, [0, 0, MerkleStack()])
+            for part, before, doc_id, n, crc, root in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                held = found.setdefault(part, [0, 0, MerkleStack()])
                 held[0] += 1
                 held[1] += n
-                held[2].add(root)
-        if files:
-            names = list(files)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array([files[f][0] for f in names], pa.int64()), pa.array([files[f][1] for f in names], pa.int64()), pa.array([files[f][2].root() for f in names], pa.binary())],
-                names=schema.names,
-            )
+                held[2].add(_leaf(doc_id, n, crc, root))
+        if found:
+            rows = sorted(found)
+            columns = [pa.array(rows, pa.int32()), *(pa.array([found[p][i] for p in rows], pa.int64()) for i in (0, 1)), pa.array([found[p][2].root() for p in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=_PART.names)
 
     bounded_batches(spark)
-    recipes = spark.read.parquet(f"{path}/recipes").select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("part"), "n_tokens", "root", "start")
-    recipes.repartition("part").sortWithinPartitions("part", "start").select("part", "n_tokens", "root").mapInArrow(run, schema).write.parquet(f"{path}/manifest")
-
-
-def _read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """digest, n ids and crc (of 32-bit ids) of every stored chunk, its payload checked."""
+    columns = recipes.select("part", "before", "doc_id", "n_tokens", "crc", "root")
+    return sorted(columns.repartition("part").sortWithinPartitions("part", "before").mapInArrow(run, _PART).collect(), key=lambda r: r["part"])
+
+
+def _write_manifest(spark: SparkSession, path: str, staged: DataFrame) -> None:
+    parts, rows, first = _parts_of(spark, spark.read.parquet(f"{path}/recipes")), [], 0
+    for r in parts:
+        rows.append((r["part"], first, r["n_docs"], r["n_tokens"], bytes(r["root"])))
+        first += r["n_tokens"]
+    spark.createDataFrame(rows, "part int, first long, n_docs long, n_tokens long, root binary").coalesce(1).write.parquet(f"{path}/manifest")
+    some = staged.select("width").first()
+    summary = (len(rows), sum(r["n_docs"] for r in parts), first, spark.read.parquet(f"{path}/chunks").count(), some["width"] if some else 2, merkle_root([r[4] for r in rows]))
+    spark.createDataFrame([summary], _SUMMARY).coalesce(1).write.parquet(f"{path}/summary")
+
+
+def verify_store(spark: SparkSession, path: str):
+    """(summary, ids before each part) if recipes, manifest, chunk count and summary agree; else StoreError."""
+    summaries = _read(spark, path, "summary").collect()
+    if len(summaries) != 1:
+        raise StoreError(f"the store has {len(summaries)} summaries")
+    (summary,) = summaries
+    manifest = sorted(_read(spark, path, "manifest").collect(), key=lambda r: r["part"])  # one row a part
+    if (len(manifest), sum(r["n_docs"] for r in manifest), sum(r["n_tokens"] for r in manifest)) != (summary["n_parts"], summary["n_docs"], summary["n_tokens"]):
+        raise StoreError("the manifest does not match the summary")
+    if merkle_root([bytes(r["root"]) for r in manifest]) != bytes(summary["root"]):
+        raise StoreError("the manifest does not match its Merkle root")
+    if _read(spark, path, "chunks").count() != summary["n_chunks"]:
+        raise StoreError(f"the store does not have its {summary['n_chunks']} chunks")
+    found = [(r["part"], r["n_docs"], r["n_tokens"], bytes(r["root"])) for r in _parts_of(spark, _read(spark, path, "recipes"))]
+    wanted = [(r["part"], r["n_docs"], r["n_tokens"], bytes(r["root"])) for r in manifest]
+    if found != wanted:
+        raise StoreError(f"recipes of parts {sorted({p[0] for p in set(found) ^ set(wanted)})} do not match the manifest")
+    return summary, {r["part"]: r["first"] for r in manifest}
+
+
+def _recipes(spark: SparkSession, path: str, firsts: dict[int, int]) -> DataFrame:
+    """The recipes with the absolute start of each document; one broadcast row a part."""
+    starts = spark.createDataFrame(list(firsts.items()), "part int, first long")
+    return _read(spark, path, "recipes").join(F.broadcast(starts), "part").withColumn("start", F.col("first") + F.col("before")).drop("first", "before")
+
+
+def _checked(chunks: DataFrame, width: int) -> DataFrame:
+    """digest, n ids and crc (of 32-bit ids) of chunks, their payloads checked."""
     schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("crc", T.LongType())])
-    chunks = spark.read.parquet(f"{path}/chunks")
-    recipes = spark.read.parquet(f"{path}/recipes")
-    widths = [r["width"] for r in recipes.select("width").distinct().collect()]  # one, by construction
-    kind = np.dtype(f"<u{widths[0] if widths else 2}")
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             sizes, crcs = [], []
             for digest, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if address(payload) != digest:
-                    raise ValueError(f"chunk {digest.hex()} does not match its address")
-                ids = np.frombuffer(payload, kind)
-                sizes.append(len(ids))
-                crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                    raise StoreError(f"chunk {digest.hex()} does not match its address")
+                sizes.append(len(payload) // width)
+                crcs.append(zlib.crc32(payload if width == 4 else np.frombuffer(payload, "<u2").astype("<u4")))
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], names=schema.names)
 
         return work
@@ -237,46 +318,80 @@ def _read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return map_rows(chunks, ["digest", "payload"], make, schema)
 
 
+def _with_chunks(pieces: DataFrame, chunks: DataFrame, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Every recipe entry with what ``read`` makes of its chunk (nulls if there is none); chunks named by
+    a large share of all entries, such as that of the empty text, are joined by broadcast."""
+    # All that are named by more than one in HOT entries are among the most frequent ones of the sketch.
+    found = pieces.select(F.xxhash64("digest").alias("h")).agg(F.expr(f"approx_top_k(h, {2 * HOT}, {100 * HOT})").alias("top"), F.count("*").alias("n")).first()
+    hot = [r["item"] for r in found["top"] or [] if r["count"] > max(1000, found["n"] // HOT)]  # fewer than HOT
+    if not hot:
+        return pieces.join(read(chunks), "digest", "left")
+    is_hot = F.xxhash64("digest").isin(hot)
+    few = F.broadcast(read(chunks.where(is_hot)))
+    return pieces.where(is_hot).join(few, "digest", "left").unionByName(pieces.where(~is_hot).join(read(chunks.where(~is_hot)), "digest", "left"))
+
+
+def _missing(found: list, n_tokens: int) -> bool:
+    return not found or any(p is None for p in found) or sum(found) != n_tokens
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files, checked."""
-    recipes = spark.read.parquet(f"{path}/recipes")
+    summary, firsts = verify_store(spark, path)
+    recipes = _recipes(spark, path, firsts)
     schema = T.StructType([recipes.schema["doc_id"], T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
-    pieces = recipes.select("start", F.posexplode("digests").alias("at", "digest")).join(_read_chunks(spark, path), "digest")
+    pieces = recipes.select("start", F.posexplode("digests").alias("at", "digest"))
     # n_tokens is at least 1, so a start belongs to one recipe.
-    gathered = pieces.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("at", "digest", "n", "crc"))).alias("pieces"))
-    both = recipes.select("doc_id", "start", "n_tokens", "root").join(gathered, "start")
+    joined = _with_chunks(pieces, _read(spark, path, "chunks"), lambda chunks: _checked(chunks, summary["width"]))
+    gathered = joined.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("at", "digest", "n", "crc"))).alias("pieces"))
+    both = recipes.select("doc_id", "start", "n_tokens", "crc", "root").join(gathered, "start", "left")
+    both = both.select("doc_id", "start", "n_tokens", "crc", "root", F.col("pieces.digest").alias("digests"), F.col("pieces.n").alias("sizes"), F.col("pieces.crc").alias("crcs"))
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            crcs = []
-            for n_tokens, root, found in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                if merkle_root([p["digest"] for p in found]) != root or sum(p["n"] for p in found) != n_tokens:
-                    raise ValueError("a recipe does not match its Merkle root")
-                crc = found[0]["crc"]
-                for p in found[1:]:
-                    crc = combined_crc(crc, p["crc"], 4 * p["n"])
-                crcs.append(crc)
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crcs, pa.int64())], names=schema.names)
+            tokens, roots, digests, sizes = (batch.column(i).to_pylist() for i in (2, 4, 5, 6))
+            for n_tokens, root, own, found in zip(tokens, roots, digests, sizes, strict=True):
+                if _missing(found, n_tokens):
+                    raise StoreError("a document has chunks that the store lacks")
+                if merkle_root(own) != root:
+                    raise StoreError("a recipe does not match its Merkle root")
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in sizes])])
+            counts, crcs = batch.column(6).flatten().to_numpy(), batch.column(7).flatten().to_numpy()
+            ends = np.repeat(np.cumsum(counts)[bounds[1:] - 1], np.diff(bounds))
+            whole = np.bitwise_xor.reduceat(shifted_crcs(crcs, 4 * (ends - np.cumsum(counts))), bounds[:-1]).astype(np.int64)
+            if (whole != batch.column(3).to_numpy()).any():
+                raise StoreError("the chunks of a document do not make up its ids")
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(whole)], names=schema.names)
 
         return work
 
-    return map_rows(both, ["doc_id", "start", "n_tokens", "root", "pieces"], make, schema)
+    return map_rows(both, both.columns, make, schema)
 
 
 def read_ids(spark: SparkSession, path: str, doc_ids: list | None = None) -> DataFrame:
-    """doc_id, start and the ids of whole documents (of all, or of those named), rebuilt from chunks."""
-    recipes = spark.read.parquet(f"{path}/recipes")
+    """doc_id, start and the ids of whole documents (of all, or of those named), rebuilt and checked."""
+    summary, firsts = verify_store(spark, path)
+    recipes = _recipes(spark, path, firsts)
     if doc_ids is not None:
         recipes = recipes.where(F.col("doc_id").isin(doc_ids))
-    pieces = recipes.select("doc_id", "start", "width", F.posexplode("digests").alias("at", "digest")).join(spark.read.parquet(f"{path}/chunks"), "digest")
-    whole = pieces.groupBy("doc_id", "start", "width").agg(F.array_sort(F.collect_list(F.struct("at", "payload"))).alias("pieces"))
+    pieces = _with_chunks(recipes.select("start", F.posexplode("digests").alias("at", "digest")), _read(spark, path, "chunks"), lambda chunks: chunks)
+    whole = pieces.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("at", "payload"))).alias("pieces"))
+    both = recipes.select("doc_id", "start", "n_tokens", "crc", "digests", "root").join(whole, "start", "left").withColumn("payloads", F.col("pieces.payload")).drop("pieces")
     schema = T.StructType([recipes.schema["doc_id"], T.StructField("start", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType()))])
+    width = summary["width"]
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [np.frombuffer(b"".join(p["payload"] for p in found), f"<u{width}").tolist() for width, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int64()))], names=schema.names)
+            out = []
+            for n_tokens, crc, digests, root, found in zip(*(batch.column(i).to_pylist() for i in range(2, 7)), strict=True):
+                if _missing([p and len(p) // width for p in found or []], n_tokens) or [address(p) for p in found] != digests or merkle_root(digests) != root:
+                    raise StoreError("a document's chunks are missing or changed")
+                ids = np.frombuffer(b"".join(found), f"<u{width}").astype("<u4")
+                if zlib.crc32(ids) != crc:
+                    raise StoreError("the chunks of a document do not make up its ids")
+                out.append(ids.tolist())
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=schema.names)
 
         return work
 
-    return map_rows(whole, ["doc_id", "start", "width", "pieces"], make, schema)
+    return map_rows(both.select("doc_id", "start", "n_tokens", "crc", "digests", "root", "payloads"), ["doc_id", "start", "n_tokens", "crc", "digests", "root", "payloads"], make, schema)
