@@ -1,22 +1,26 @@
 """Operator 9, mixture-controlled packing: deficit round-robin over source queues.
 
-Every source is a queue of its documents' ids. In each window a queue may send its quantum, the share
-of ``window`` tokens that the target mixture gives it; what it could not send because a quantum is no
-whole number of tokens stays as its deficit and is added to the next window's. An empty queue is
-passed over. Windows follow each other without a gap, and the stream they make is cut into sequences
-of ``length`` tokens; only the very last one is not full. It is padded, unless its size is a power
-of two.
+Every source is a queue of its documents' ids, in ascending order of the documents' ids. In each
+window, which is as long as a sequence, a queue may send its quantum, the share of ``window`` tokens
+that the target mixture gives it; what it could not send because a quantum is no whole number of
+tokens stays as its deficit and is added to the next window's. An empty queue is passed over. Windows
+follow each other without a gap, and the stream they make is cut into sequences of ``length`` tokens;
+only the very last one is not full. It is padded, unless its size is a power of two. So a sequence,
+even where it takes the end of one window and the start of the next, holds every source in its share,
+give or take the whole tokens that deficits move.
 
 As quanta are fixed, the state before any window has a closed form: after w windows a queue of T
 tokens and quantum q has sent min(T, floor(w * q)); the fraction is the deficit carried over. Hence
 a document's place follows from its place in its queue, deficits carry across windows and across
 partitions exactly, and no task walks through the queue of a hot source.
 
-The target mixture is each source's share of all tokens, or the weights given.
+The target mixture is each source's share of all tokens, or the weights given. A larger ``window``
+gives longer runs of one source and holds the mixture over that many tokens only.
 
-Odd rows: a null or empty text is the end id alone; a null source is a queue of its own; repeated
-rows are packed once each; an empty table gives an empty result. Columns other than the id, the text
-and the source are not read and cannot clash.
+Odd rows: a null or empty text is the end id alone; a null source is a queue of its own; documents
+of one id follow each other by a hash of their text; repeated rows are packed once each; an empty
+table gives an empty result. Columns other than the id, the text and the source are not read and
+cannot clash.
 
 Every source has a queue of its own at any number of them. Up to ``QUEUES``, the driver and every
 task hold totals and quanta. With more, these are a Spark table, and a document's runs get their
@@ -38,12 +42,14 @@ from pyspark.sql import types as T
 from cairn.llm.common import bounded_batches, stored, text_or_empty
 from cairn.llm.encoder import worker_encoder
 
-LENGTH, WINDOW, QUEUES = 1024, 65_536, 1024
+LENGTH, WINDOW, QUEUES = 1024, 1024, 1024
 BASES = 200_000
 #: Rows of an output batch, about: a run of a queue with a small quantum may be a single token.
 ROWS = 20_000
 #: Binary places of a quantum; deficits are exact to this fraction of a token.
 PLACES = 16
+#: States of queues (windows times queues) that are worked out at a time.
+STATES = 1 << 20
 
 
 class RoundRobin:
@@ -58,39 +64,45 @@ class RoundRobin:
         shares = shares / max(shares.sum(), 1)
         # A queue with tokens sends something in every window, or it would never end.
         self.quanta = np.where(self.totals > 0, np.maximum(1, np.ceil(shares * window * 2**PLACES)), 1).astype(np.int64)
-        self._sent: dict[int, np.ndarray] = {}
 
     def sent(self, w: int) -> np.ndarray:
         """Tokens that each queue has sent before window ``w``."""
-        if w not in self._sent:
-            if len(self._sent) > 1024:
-                self._sent.clear()
-            self._sent[w] = np.minimum(self.totals, (w * self.quanta) >> PLACES)
-        return self._sent[w]
-
-    def window_of(self, queue: int, at: int) -> int:
-        """The window in which a queue sends its token number ``at``."""
-        quantum = int(self.quanta[queue])
-        w = max(0, (at << PLACES) // quantum - 1)
-        while ((w + 1) * quantum) >> PLACES <= at:
-            w += 1
-        return w
-
-    def pieces(self, queue: int, first: int, n: int):
-        """(start, length, place in the stream) of the runs of ``n`` tokens from position ``first``."""
-        done = 0
-        while done < n:
-            w = self.window_of(queue, first + done)
-            before, after = self.sent(w), self.sent(w + 1)
-            place = int(before.sum() + (after[:queue] - before[:queue]).sum()) + first + done - int(before[queue])
-            length = min(n - done, int(after[queue]) - first - done)
-            yield done, length, place
-            done += length
+        return np.minimum(self.totals, (w * self.quanta) >> PLACES)
+
+    def runs(self, queue: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The runs, each within one window, of spans of ``n`` tokens from position ``first`` of a queue:
+        (number of the span, position in the queue, length, place in the stream), span by span."""
+        quantum = self.quanta[queue]
+        window = lambda at, q: (((at + 1) << PLACES) - 1) // q  # noqa: E731  in which token ``at`` is sent
+        # Below a token a window, each token is a run of its own; else there is one for each window.
+        single = quantum < 1 << PLACES
+        low, high = window(first, quantum), window(first + np.maximum(n, 1) - 1, quantum)
+        counts = np.where(n <= 0, 0, np.where(single, n, high - low + 1))
+        span = np.repeat(np.arange(len(n)), counts)
+        step = np.arange(len(span)) - np.repeat(np.cumsum(counts) - counts, counts)
+        q, begin, end = quantum[span], first[span], first[span] + n[span]
+        w = np.where(single[span], window(begin + np.where(single[span], step, 0), q), low[span] + step)
+        at = np.where(single[span], begin + step, np.maximum(begin, (w * q) >> PLACES))
+        length = np.where(single[span], 1, np.minimum(end, ((w + 1) * q) >> PLACES) - at)
+        own = queue[span]
+        windows, which = np.unique(w, return_inverse=True)
+        place, block = np.empty(len(span), np.int64), max(1, STATES // max(1, len(self.totals)))
+        order = np.argsort(which, kind="stable")
+        bounds = np.searchsorted(which[order], np.arange(0, len(windows) + block, block))
+        for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            some = order[a:b]
+            here = windows[i * block : (i + 1) * block, None]
+            before, after = self.sent(here), self.sent(here + 1)
+            earlier = np.cumsum(after - before, axis=1) - (after - before)  # by the queues before, in this window
+            k = which[some] - i * block
+            place[some] = before.sum(axis=1)[k] + earlier[k, own[some]] + at[some] - before[k, own[some]]
+        return span, at, length, place
 
 
 def encoded_queues(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """One row a document: its packed ids, its queue, and its place in the part of that queue that
-    its own task read."""
+    its own task read. Parts are ranges of (queue, document id), so a hot source spreads over tasks
+    and places do not depend on how the input was cut into files."""
     schema = T.StructType([
         T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("queue", T.StringType()), T.StructField("part", T.IntegerType()),
         T.StructField("at", T.LongType()), T.StructField("n", T.LongType()), T.StructField("width", T.IntegerType()), T.StructField("ids", T.BinaryType()),
@@ -98,24 +110,29 @@ def encoded_queues(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, te
 
     def run(batches):
         encoder, part, ends = worker_encoder(tokenizer), TaskContext.get().partitionId(), {}
-        end, width = np.array([end_id], encoder.dtype).tobytes(), encoder.dtype.itemsize
+        width = encoder.dtype.itemsize
         for batch in batches:
             if not batch.num_rows:
                 continue
-            packed = [p + end for p in encoder.encode(batch.column(2).to_pylist())]
-            queues, sizes, places = batch.column(1).to_pylist(), [len(p) // width for p in packed], []
-            for queue, n in zip(queues, sizes, strict=True):
+            ids, bounds = encoder.encode(batch.column(2).to_pylist(), end_id)
+            queues, sizes, places = batch.column(1).to_pylist(), np.diff(bounds), []
+            for queue, n in zip(queues, sizes.tolist(), strict=True):
                 places.append(ends.get(queue, 0))
                 ends[queue] = places[-1] + n
-            rows = len(packed)
+            rows = len(sizes)
+            packed = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((bounds * width).astype(np.int32)), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([part] * rows, pa.int32()), pa.array(places, pa.int64()), pa.array(sizes, pa.int64()), pa.array([width] * rows, pa.int32()), pa.array(packed, pa.binary())],
-                names=schema.names,
+                [batch.column(0), batch.column(1), pa.array([part] * rows, pa.int32()), pa.array(places, pa.int64()), pa.array(sizes), pa.array([width] * rows, pa.int32()), packed], names=schema.names
             )
 
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     frame = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("\0none")).alias("queue"), text_or_empty(text_col).alias("text"))
-    return frame.mapInArrow(run, schema)
+    # The row number only keeps repeated rows from meeting in one part.
+    order = [F.col("queue"), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("row")]
+    ranged = frame.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return ranged.select("doc_id", "queue", "text").mapInArrow(run, schema)
 
 
 def _quanta(by_queue: DataFrame, weights: dict[str, float] | None, window: int) -> DataFrame:
@@ -220,30 +237,36 @@ def pack_documents(
     rest = everything - last * length
     last_size = rest if rest & (rest - 1) == 0 else length
 
-    def cut(runs, id_type):
-        """Batches of the pieces of runs: doc_id, doc_tokens, start in the document, place, ids."""
-        out = [[] for _ in schema.names]
-
-        def batch():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(out[0], id_type), *(pa.array(c, pa.int64()) for c in out[1:8]), *(pa.array(c, pa.list_(pa.int64())) for c in out[8:])], names=schema.names
-            )
-
-        for doc_id, n, start, place, ids in runs:
-            done = 0
-            while done < len(ids):
-                sequence, offset = divmod(place + done, length)
-                piece = ids[done : done + length - offset]
-                own = len(piece)
-                values = [doc_id, start + done, own, zlib.crc32(piece.tobytes()), n, sequence, offset, last_size if sequence == last else length]
-                for column, value in zip(out, values + ([piece.tolist()] if with_ids else []), strict=True):
-                    column.append(value)
-                done += own
-            if len(out[0]) >= ROWS:
-                yield batch()
-                out = [[] for _ in schema.names]
-        if out[0]:
-            yield batch()
+    def pieces(doc_ids, doc_tokens, starts, sizes, places, ids, at):
+        """Batches of the pieces of runs: their document (id and tokens), start in it, size and place,
+        and where in ``ids`` each begins."""
+        counts = (places + np.maximum(sizes, 1) - 1) // length - places // length + 1
+        counts[sizes <= 0] = 0
+        run = np.repeat(np.arange(len(sizes)), counts)
+        step = np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
+        sequence = places[run] // length + step
+        begin = np.maximum(places[run], sequence * length)
+        size = np.minimum(places[run] + sizes[run], (sequence + 1) * length) - begin
+        done = begin - places[run]
+        at, raw = at[run] + done, memoryview(ids.view(np.uint8))
+        for a in range(0, len(run), ROWS):
+            some = slice(a, a + ROWS)
+            crcs = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(at[some].tolist(), (at[some] + size[some]).tolist(), strict=True)]
+            columns = [doc_ids.take(pa.array(run[some])), starts[run[some]] + done[some], size[some], np.array(crcs, np.int64), doc_tokens[run[some]], sequence[some], begin[some] % length]
+            columns.append(np.where(sequence[some] == last, last_size, length))
+            columns = [c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns]
+            if with_ids:
+                upto = np.concatenate([[0], np.cumsum(size[some])])
+                gathered = ids[np.repeat(at[some] - upto[:-1], size[some]) + np.arange(upto[-1])]
+                columns.append(pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(gathered.astype(np.int64))))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    def unpacked(packed: pa.Array, widths: pa.Array):
+        """(all ids of the rows, where each row's begin): one width in a batch, the vocabulary's."""
+        rows = packed.to_pylist()
+        width = widths[0].as_py()
+        sizes = np.array([len(x) // width for x in rows], np.int64)
+        return np.ascontiguousarray(np.frombuffer(b"".join(rows), f"<u{width}").astype("<u4")), np.cumsum(sizes) - sizes
 
     bounded_batches(spark)
     # One small row for each queue and reading task: broadcast while that is at most BASES rows.
@@ -255,8 +278,10 @@ def pack_documents(
 
         def run_placed(batches):
             for batch in batches:
-                rows_ = zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
-                yield from cut(((i, n, start, place, np.frombuffer(packed, f"<u{width}").astype("<u4")) for i, n, start, place, width, packed in rows_), batch.schema.field(0).type)
+                if batch.num_rows:
+                    ids, at = unpacked(batch.column(5), batch.column(4))
+                    sizes = np.diff(np.append(at, len(ids)))
+                    yield from pieces(batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy(), sizes, batch.column(3).to_numpy(), ids, at)
 
         return runs.mapInArrow(run_placed, schema)
 
@@ -265,13 +290,15 @@ def pack_documents(
     number = {q: i for i, q in enumerate(queues)}
 
     def run(batches):
-        def runs(batch):
-            for doc_id, queue, at, n, width, packed, base in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                ids = np.frombuffer(packed, f"<u{width}").astype("<u4")
-                for start, size, place in robin.pieces(number[queue], base + at, n):
-                    yield doc_id, n, start, place, ids[start : start + size]
-
         for batch in batches:
-            yield from cut(runs(batch), batch.schema.field(0).type)
+            if not batch.num_rows:
+                continue
+            ids, begins = unpacked(batch.column(5), batch.column(4))
+            queue = np.array([number[q] for q in batch.column(1).to_pylist()], np.int64)
+            n = batch.column(3).to_numpy()
+            first = batch.column(6).to_numpy() + batch.column(2).to_numpy()
+            span, at, size, place = robin.runs(queue, first, n)
+            start = at - first[span]
+            yield from pieces(batch.column(0).take(pa.array(span)), n[span], start, size, place, ids, begins[span] + start)
 
     return joined.mapInArrow(run, schema)
