@@ -96,8 +96,9 @@ def as_text(hashes: Column) -> Column:
 
 
 def with_next(rows: DataFrame, buckets: int) -> DataFrame:
-    """Rows of (doc_id, text, sketch) with next_text and next_sketch in ascending id; the last row's
-    next is the first. A bucket's sentinel is the first row of the next bucket that has any."""
+    """Rows of (doc_id, text) with sketch, next_text and next_sketch in ascending id; the last row's
+    next is the first. A bucket's sentinel is the first row of the next bucket that has any; it comes
+    in before the sketches are made, so that each row's is made once."""
     placed = rows.withColumn("bucket", bucket_of("doc_id", range_bounds(rows, "doc_id", buckets)))
     firsts = placed.groupBy("bucket").agg(F.max(F.col("doc_id").isNull()).alias("has_null"), F.min("doc_id").alias("low")).orderBy("bucket").collect()  # `buckets` rows at most
     # The first id of each bucket, a null if it has one, and the bucket before it (the last one before the first).
@@ -106,7 +107,7 @@ def with_next(rows: DataFrame, buckets: int) -> DataFrame:
     found = rows.join(F.broadcast(heads), rows["doc_id"].eqNullSafe(heads["head"]))  # one row a bucket
     one = Window.partitionBy("doc_id").orderBy("text")  # of rows of one id the first by text
     found = found.withColumn("rank", F.row_number().over(one)).where("rank = 1").drop("rank", "head").withColumn("sentinel", F.lit(1))
-    placed = placed.withColumn("sentinel", F.lit(0)).unionByName(found)
+    placed = fingerprint(placed.withColumn("sentinel", F.lit(0)).unionByName(found))
     order = Window.partitionBy("bucket").orderBy("sentinel", F.col("doc_id").asc_nulls_first(), "text")
     return (
         placed.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order))
@@ -123,8 +124,7 @@ def fingerprints_with_neighbours(docs: DataFrame, *, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     buckets = max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
-    rows = fingerprint(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")))
-    paired = with_next(rows, buckets)
+    paired = with_next(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")), buckets)
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     edited = paired.select(
         "doc_id", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"), "sketch", "next_sketch"
