@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Upper bound of one Arrow batch sent to a Python worker, so that very long texts cannot fill it.
-BATCH_BYTES = 4 * 1024 * 1024
+#: Upper bound of one Arrow batch sent to a Python worker, so that very long texts cannot fill it; small,
+#: as a worker shares an executor's memory with sorts and shuffles.
+BATCH_BYTES = 2 * 1024 * 1024
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
