@@ -81,7 +81,7 @@ def definition_texts(node_rows: DataFrame, docs: DataFrame, doc: str = "doc", te
     (doc, node_id, key, start_line, end_line, source)."""
     tops = node_rows.where("error is null and depth = 0").select(doc, "node_id", "key", "start", "end", "line", "end_line").join(docs.select(doc, text), doc)
     before = F.substring(text, F.lit(1), F.col("start"))
-    lead = F.regexp_extract(before, r"((?:(?<=\n|^)[ \t]*#[^\n]*\n)*[^\n]*)$", 1)
+    lead = F.regexp_extract(before, r"((?:(?<=\n|^)[ \t]*#[^\n]*\n)*[^\n]*)\z", 1)
     behind = F.regexp_extract(F.substring(text, F.col("end") + 1, F.length(text)), r"^([ \t]*#[^\r\n]*)", 1)
     body = F.substring(text, F.col("start") + 1, F.col("end") - F.col("start"))
     return tops.select(doc, "node_id", "key", (F.col("line") - F.regexp_count(lead, F.lit("\n"))).cast("int").alias("start_line"), "end_line", F.concat(lead, body, behind).alias("source"))
@@ -97,7 +97,7 @@ def get_definitions(targets: DataFrame, symbols: DataFrame, calls: DataFrame | N
     """Everything that a target names, by id if it is one, else by name; a target that is nothing gives
     NOT_FOUND, and one that is no path inside the tree gives BAD_TARGET. With ``calls`` (token, path, line) the
     first call sites and how many more there are. ``targets``: target_id, target; ``symbols``: id, name, ..."""
-    unsafe = F.col("target").rlike(r"(^/)|(^[A-Za-z]:)|(^|/)\.\.(/|$)")
+    unsafe = F.col("target").rlike(r"(^/)|(^[A-Za-z]:[\\/])|(^|/)\.\.(/|$)")
     asked = targets.withColumn("bad", unsafe)
     by_id = asked.where("not bad").join(symbols, F.col("target") == F.col("id").cast("string")).withColumn("found_by", F.lit("id"))
     by_name = asked.where("not bad").join(by_id.select("target_id").distinct(), "target_id", "left_anti").join(symbols, F.lower("target") == F.lower("name")).withColumn("found_by", F.lit("name"))

@@ -54,20 +54,47 @@ def verified(captures: DataFrame, definitions: DataFrame) -> DataFrame:
     return joined.select("type", "value", state.alias("state"))
 
 
+#: Rows of declarations that are sent to every task; above that they are joined like any table.
+DECLARATIONS = 100_000
+
+
+def _small(declarations: DataFrame) -> DataFrame:
+    """A hint to broadcast declarations, given only where they are counted and few."""
+    return F.broadcast(declarations) if declarations.limit(DECLARATIONS + 1).count() <= DECLARATIONS else declarations
+
+
 def generated_names(categories: DataFrame, resources: DataFrame, kinds: DataFrame) -> DataFrame:
     """category x (resources and none) x kinds that the category generates; without a resource only mult.
 
-    Categories, resources and kinds are declarations, small by nature; the first of equal names wins.
+    The product is what is declared: each category has a name for each resource. The first of equal
+    names wins.
     """
     some = resources.select("resource").unionByName(resources.sparkSession.createDataFrame([(None,)], "resource string"))
     pairs = categories.select("category", "ord", F.explode("generates").alias("generated")).join(kinds, F.col("generated") == F.col("kind"))
-    rows = pairs.crossJoin(F.broadcast(some)).where("resource is not null or kind like '%mult'")
+    rows = pairs.crossJoin(_small(some)).where("resource is not null or kind like '%mult'")
     name = F.concat_ws("_", "category", "resource", "kind")
     order = Window.partitionBy("name").orderBy("ord", "resource", "kind")
     named = rows.select(name.alias("name"), "category", "resource", "kind", "ord").withColumn("rank", F.row_number().over(order))
     return named.where("rank = 1").select("name", "category", "resource", "kind")
 
 
+def economic_names(categories: DataFrame, resources: DataFrame) -> DataFrame:
+    """(name, economic_category, resource, category, modifier_type, triggered): all names that economic categories
+    give rise to, the first of equal names in the order of categories and resources.
+
+    ``categories``: economic_category, ord, add and mult (arrays of enum categories), triggered (array of
+    struct<key, category, modifier_types>): a triggered block has a fixed category and a key of its own. A name
+    without a resource is there for mult only.
+    """
+    own = lambda column, kind: F.transform(column, lambda c: F.struct(F.col("economic_category").alias("key"), c.alias("category"), F.lit(kind).alias("modifier_type"), F.lit(False).alias("triggered")))
+    blocks = F.flatten(F.transform("triggered", lambda t: F.transform(F.array_distinct(t["modifier_types"]), lambda m: F.struct(t["key"].alias("key"), t["category"].alias("category"), m.alias("modifier_type"), F.lit(True).alias("triggered")))))
+    forms = categories.select("economic_category", "ord", F.posexplode(F.concat(own("add", "add"), own("mult", "mult"), blocks)).alias("at", "f")).select("economic_category", "ord", "at", "f.*").where("key is not null")
+    some = resources.select("resource").distinct().unionByName(resources.sparkSession.createDataFrame([(None,)], "resource string"))
+    rows = forms.crossJoin(_small(some)).where("resource is not null or modifier_type = 'mult'").withColumn("name", F.concat_ws("_", "key", "resource", "category", "modifier_type"))
+    first = F.min_by(F.struct("economic_category", "resource", "category", "modifier_type", "triggered"), F.struct("ord", F.col("resource").isNull(), "resource", "at"))
+    return rows.groupBy("name").agg(first.alias("r")).select("name", "r.*")
+
+
 def overridden(definitions: DataFrame, keys: list[str], order: list[str], last: bool = True) -> DataFrame:
     """The last (or first) definition of each key in source order; partial aggregation, no sort."""
     rest = [c for c in definitions.columns if c not in keys]
@@ -108,12 +135,18 @@ def expanded(spark: SparkSession, rules: DataFrame, view: str = "cairn_rules") -
 def cardinality(parents: DataFrame, children: DataFrame, rules: DataFrame) -> DataFrame:
     """Parents whose number of children breaks lo..hi of a rule; a parent without any counts as 0.
 
-    ``rules`` is a short list of declarations and is broadcast; counts are partial aggregates.
+    Rules are declarations: they come to the driver (more than DECLARATIONS are refused) and are held against a
+    parent's counts as one expression, so only violations become rows.
     """
+    declared = rules.select("key", "lo", "hi").limit(DECLARATIONS + 1).collect()
+    if len(declared) > DECLARATIONS:
+        raise ValueError(f"more than {DECLARATIONS} rules")
     counts = children.groupBy("parent", "key").agg(F.count("*").alias("n"))
-    wanted = parents.select("parent").distinct().crossJoin(F.broadcast(rules))
-    checked = wanted.join(counts, ["parent", "key"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return checked.where((F.col("n") < F.col("lo")) | (F.col("n") > F.col("hi"))).select("parent", "key", "n", F.lit("CARDINALITY_MISMATCH").alias("code"))
+    counts = counts.join(_small(rules.select("key").distinct()), "key", "left_semi").groupBy("parent").agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("have"))  # a key of a rule each
+    have = lambda key: F.coalesce(F.try_element_at("have", F.lit(key)), F.lit(0))
+    broken = [F.when((have(r["key"]) < r["lo"]) | (have(r["key"]) > r["hi"]), F.struct(F.lit(r["key"]).alias("key"), have(r["key"]).cast("bigint").alias("n"))) for r in declared]
+    checked = parents.select("parent").distinct().join(counts, "parent", "left").select("parent", F.explode(F.array_compact(F.array(*broken))).alias("v"))
+    return checked.select("parent", "v.key", "v.n", F.lit("CARDINALITY_MISMATCH").alias("code"))
 
 
 def parse_range(rule: str) -> tuple[float, float, bool, bool] | None:

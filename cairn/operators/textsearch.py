@@ -19,10 +19,12 @@ def text_search(docs: DataFrame, term: str, limit: int = 20, group: tuple[str, .
     files = rows.groupBy(*group, file).agg(F.sum("hit").alias("hits"), F.count("*").alias("n_lines"))
     groups = files.groupBy(*group).agg(F.sum("hits").alias("g_hits"), F.sum("n_lines").alias("g_lines")).where("g_hits > 0")
     total = groups.agg(F.sum("g_hits").alias("total"))
-    g = Window.orderBy(F.desc(F.col("g_hits") / F.sqrt("g_lines")), F.desc("g_hits"), *group)
+    best = [F.desc(F.col("g_hits") / F.sqrt("g_lines")), F.desc("g_hits"), *group]
+    # Only as many groups as there are rows to give can take part; they are found before they are numbered.
+    groups = groups.orderBy(*best).limit(limit).withColumn("g", F.row_number().over(Window.orderBy(*best)))
     f = Window.partitionBy(*group).orderBy(F.desc(F.col("hits") / F.sqrt("n_lines")), F.desc("hits"), file)
     ranked = files.where("hits > 0").withColumn("f", F.row_number().over(f)).where(F.col("f") <= limit)
-    ranked = ranked.join(F.broadcast(groups.withColumn("g", F.row_number().over(g)).where(F.col("g") <= limit)), list(group))  # limit rows
+    ranked = ranked.join(F.broadcast(groups), list(group))  # limit rows
     chosen = ranked.orderBy("f", "g").limit(limit).withColumn("fo", F.row_number().over(Window.orderBy("f", "g")))
     hits = rows.where("hit = 1").join(F.broadcast(chosen.select(file, "fo")), file)
     hits = hits.withColumn("r", F.row_number().over(Window.partitionBy(file).orderBy("line"))).where(F.col("r") <= limit).orderBy("r", "fo").limit(limit)
@@ -36,9 +38,11 @@ def call_sites(docs: DataFrame, first: int = 3) -> DataFrame:
     """Word-like tokens on lines with an assignment mark: the first places and how many more."""
     marked = lines(docs).where(F.contains("txt", F.lit(":")) | F.contains("txt", F.lit("="))).withColumn("code", F.regexp_replace("txt", "#.*$", ""))
     tokens = marked.select("doc_id", "line", F.posexplode(F.regexp_extract_all(F.lower("code"), F.lit("[a-z_]{3,}"), F.lit(0))).alias("ord", "token"))
-    whole = Window.partitionBy("token")
-    ranked = tokens.withColumn("rank", F.row_number().over(whole.orderBy("doc_id", "line", "ord")).cast("bigint")).withColumn("n", F.count("*").over(whole))
-    return ranked.where(F.col("rank") <= first).select("token", "rank", "doc_id", "line", F.greatest(F.col("n") - first, F.lit(0)).cast("bigint").alias("calls_more"))
+    # Counts are partial aggregates, and the window keeps only the first places of a token in each task.
+    counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("token").orderBy("doc_id", "line", "ord")
+    ranked = tokens.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= first)
+    return ranked.join(counts, "token").select("token", "rank", "doc_id", "line", F.greatest(F.col("n") - first, F.lit(0)).cast("bigint").alias("calls_more"))
 
 
 def display_names(pages: DataFrame) -> DataFrame:

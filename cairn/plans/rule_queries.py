@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.operators import evaluate, harvest, lookup, parse, registry, snapshots, textsearch
+from cairn.operators import evaluate, harvest, lookup, parse, registry, rules, snapshots, textsearch
 from cairn.operators.rulebook import RuleBook
 from cairn.operators.validate import overall, validate
 from cairn.plans.catalogue import _BEST, _CASES, _docs, _index, query
@@ -329,6 +329,18 @@ def display_name_search(spark, d):
 # Economic names, categories and versions.
 
 
+@query("""WITH c AS (SELECT lower(r_name) AS key, lower(r_name) AS ec, r_regionkey AS ord, unnest([{'c': 'cost', 't': 'add', 'a': 0}, {'c': 'upkeep', 't': 'mult', 'a': 1}]) AS f, FALSE AS triggered FROM region
+ UNION ALL SELECT 'trig_' || (r_regionkey % 2), lower(r_name), r_regionkey, {'c': 'produces', 't': 'mult', 'a': 2}, TRUE FROM region),
+r AS (SELECT lower(n_name) AS resource FROM nation UNION ALL SELECT NULL),
+g AS (SELECT concat_ws('_', key, resource, f.c, f.t) AS name, ec AS economic_category, resource, f.c AS category, f.t AS modifier_type, triggered, ord, f.a AS at FROM c CROSS JOIN r WHERE resource IS NOT NULL OR f.t = 'mult')
+SELECT name, economic_category, resource, category, modifier_type, triggered FROM g QUALIFY row_number() OVER (PARTITION BY name ORDER BY ord, resource IS NULL, resource, g.at) = 1""")
+def economic_names(spark, d):
+    """Names that regions give rise to with nations as resources, triggered blocks among them."""
+    block = F.struct(F.concat(F.lit("trig_"), F.col("r_regionkey") % 2).alias("key"), F.lit("produces").alias("category"), F.array(F.lit("mult")).alias("modifier_types"))
+    cats = table(spark, d, "region").select(F.lower("r_name").alias("economic_category"), F.col("r_regionkey").alias("ord"), F.array(F.lit("cost")).alias("add"), F.array(F.lit("upkeep")).alias("mult"), F.array(block).alias("triggered"))
+    return rules.economic_names(cats, table(spark, d, "nation").select(F.lower("n_name").alias("resource")))
+
+
 @query("""WITH n AS (SELECT lower(r_name) || '_' || replace(replace(lower(n_name), ' ', ''), '_', '') || '_upkeep_mult' AS name, r_name, n_name FROM region, nation UNION ALL SELECT lower(r_name) || '_cost_add', r_name, NULL FROM region UNION ALL SELECT 'nowhere_food_produces_add', NULL, NULL UNION ALL SELECT 'no_economic_name', NULL, NULL)
 SELECT name, coalesce(replace(lower(r_name), '', ''), 'nowhere') AS category, CASE WHEN r_name IS NULL THEN 'food' WHEN n_name IS NULL THEN NULL ELSE replace(replace(lower(n_name), ' ', ''), '_', '') END AS resource,
  CASE WHEN r_name IS NULL THEN 'produces' WHEN n_name IS NULL THEN 'cost' ELSE 'upkeep' END AS category_type, CASE WHEN r_name IS NOT NULL AND n_name IS NOT NULL THEN 'mult' ELSE 'add' END AS modifier_type,
