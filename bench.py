@@ -11,6 +11,7 @@ from cairn.plans import catalogue
 HEADLINE = [
     "identifier_registry", "token_stats", "postings_top", "exact_lookup", "typo_candidates", "prefix_readings", "shortlist_topk", "fuzzy_search",
     "template_match", "text_search_roundrobin", "call_sites", "display_names", "definition_override", "snapshot_diff", "cardinality_check", "fk_references", "parse_nodes", "validate_scripts",
+    "validate_codes", "node_paths", "definition_texts", "economic_names",
 ]
 
 
