@@ -154,8 +154,9 @@ def containing(queries: DataFrame, registry: DataFrame) -> DataFrame:
     short = queries.withColumn("needle", F.lower(F.coalesce("needle", "query"))).where((F.size(tokens_of("query")) <= BROWSE_TOKENS) & (F.length("needle") <= BROWSE_CHARS) & (F.length("needle") > 0))
     asked = short.select("query_id", "needle", F.substring("needle", 1, RUN).alias("start"))
     cf = F.lower("name")
-    # All runs of one to RUN characters: a query shorter than RUN is its own start.
-    starts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(cf)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(RUN)), lambda n: cf.substr(i, n)))))
+    # Runs of the lengths that starts have, RUN at most: a query shorter than RUN is its own start.
+    sizes = F.array(*(F.lit(r["n"]) for r in asked.select(F.length("start").alias("n")).distinct().collect())).cast("array<int>")
+    starts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(cf)), lambda i: F.transform(sizes, lambda n: cf.substr(i, n)))))
     return registry.select("name", F.explode(starts).alias("start")).join(asked, "start").where(F.contains(cf, F.col("needle"))).select("query_id", "name").distinct()
 
 
@@ -184,9 +185,9 @@ def shortlist_topk(queries: DataFrame, registry: DataFrame, stats: DataFrame, k:
     fits = (F.size(tokens_of()) <= MOST_TOKENS) & (F.length("name") >= LEAST_CHARS)
     registry = registry.where(fits)
     read = query_tokens(queries).join(readings(queries, stats), "qtoken")
-    hits = read.join(postings(registry), "token").groupBy("query_id", "name").agg(F.count("*").alias("support"), F.min("priority").cast("bigint").alias("priority"))
+    hits = read.join(postings(registry), "token").select("query_id", "name", F.lit(1).alias("support"), "priority")
     other = templates_for(queries, registry).withColumn("priority", F.lit(0)).unionByName(containing(queries, registry).withColumn("priority", F.lit(4)))
-    other = other.select("query_id", "name", F.lit(0).cast("bigint").alias("support"), F.col("priority").cast("bigint"))
-    ranked = hits.unionByName(other).groupBy("query_id", "name").agg(F.sum("support").alias("support"), F.min("priority").alias("priority"))
+    rows = hits.unionByName(other.select("query_id", "name", F.lit(0).alias("support"), "priority"))
+    ranked = rows.withColumn("priority", F.col("priority").cast("bigint")).groupBy("query_id", "name").agg(F.sum("support").alias("support"), F.min("priority").alias("priority"))
     order = Window.partitionBy("query_id").orderBy(F.desc("support"), "priority", "name")
     return ranked.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k).select("query_id", "name", "support", "priority", "rank")

@@ -16,7 +16,7 @@ from cairn.functions.distance import close_matches
 from cairn.operators.checker import ANY_SCOPE, Checker
 from cairn.operators.parse import ROWS, ScriptError, parse
 from cairn.operators.rulebook import RuleBook
-from cairn.sources.tables import bounded_batches, stored
+from cairn.sources.tables import bounded_batches, spread, stored
 
 #: Rank of the statuses, most telling first.
 STATUSES = ("UNKNOWN", "UNRESOLVED", "TEMPLATE_MATCH", "CONFIRMED_GAME_DATA", "CONFIRMED_CWT")
@@ -58,7 +58,7 @@ def checked(scripts: DataFrame, book: RuleBook, schema: str | None = None, kind:
         if rows:
             yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    return scripts.select(doc, text, *context).mapInArrow(run, out)
+    return spread(scripts.select(doc, text, *context)).mapInArrow(run, out)
 
 
 def _object_answers(asked: DataFrame, known: DataFrame, loaded: DataFrame, doc: str) -> DataFrame:

@@ -21,6 +21,13 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out over the session's cores where they come in fewer parts: work in Python on a row costs
+    far more than moving it."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder that the session names for what driver and executors share; a session of
     one JVM that names none gets a temporary one, a cluster its warehouse."""
