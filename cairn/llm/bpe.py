@@ -179,9 +179,9 @@ def worker_bpe(ranks_path: str, pattern: str) -> tuple[TreeBpe, SegmentTable]:
     bpe = TreeBpe.from_file(ranks_path)
     words, known = regex.compile(pattern).findall, Bounded()
 
-    def compute(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def compute(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         runs, sizes = array("I"), []
-        for key in keys:
+        for key in keys.to_pylist():
             before = len(runs)
             for word in words(segment_text(key)):
                 found = known.get(word)

@@ -9,17 +9,18 @@ pre-tokens; it need not look for them.
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from cairn.llm.segments import SegmentTable, segment_text
+from cairn.llm.segments import WHITE, SegmentTable, segment_text
 
-#: White space after the first character.
-_WHITE_INSIDE = re.compile(r".\s", re.S).search
+#: Nothing, a head, a mark, or white space after the first character.
+_ALONE = rf"(?s)^$|^[ \x01]|^.+{WHITE}"
 #: Letters of every version of Unicode: a segment of these is one pre-token with the space before it.
-_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+_LETTERS = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+$"
 #: Segments that are encoded as one text.
 _TOGETHER = 20_000
 
@@ -69,24 +70,24 @@ class SegmentEncoder:
         found = [e.ids for e in self._tokenizer.encode_batch_fast([segment_text(k) for k in keys], add_special_tokens=False)]
         return np.array([i for ids in found for i in ids], self.dtype), np.array([len(ids) for ids in found], np.int64)
 
-    def _runs(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        groups: tuple[list[int], ...] = ([], [], [], [])  # after a space, after a line feed, others, words of letters
-        for i, key in enumerate(keys):
-            groups[3 if _LETTERS(key) else 2 if not key or " " in key or key[0] == "\x01" or (not key.isalnum() and _WHITE_INSIDE(key)) else 1 if key[0] == "\n" else 0].append(i)
+    def _runs(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        fits = lambda pattern: pc.match_substring_regex(keys, pattern).to_numpy(zero_copy_only=False)
+        alone, letters, line = fits(_ALONE), fits(_LETTERS), fits("^\n")
         runs, sizes, order = [], [], []
-        for kind, group in enumerate(groups):
-            for a in range(0, len(group), _TOGETHER):
-                some = group[a : a + _TOGETHER]
-                own = [keys[i] for i in some]
+        for kind, group in enumerate((~alone & ~letters & ~line, line & ~alone, alone, letters & ~alone)):
+            at = np.flatnonzero(group)
+            for a in range(0, len(at), _TOGETHER):
+                some = at[a : a + _TOGETHER]
+                own = keys.take(pa.array(some)).to_pylist()
                 found = None if kind == 2 else self._words(own) if kind == 3 else self._together("".join(own) if kind else " " + " ".join(own), len(own))
                 found = found or self._alone(own)
                 runs.append(found[0])
                 sizes.append(found[1])
-                order += some
+                order.append(some)
         if not order:
             return np.empty(0, self.dtype), np.empty(0, np.int64)
         pool, size = np.concatenate(runs), np.concatenate(sizes)
-        begin, back = np.cumsum(size) - size, np.argsort(order)
+        begin, back = np.cumsum(size) - size, np.argsort(np.concatenate(order))
         size, begin = size[back], begin[back]
         upto = np.cumsum(size) - size
         return pool[np.repeat(begin - upto, size) + np.arange(len(pool))], size

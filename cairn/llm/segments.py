@@ -32,12 +32,12 @@ import pyarrow.compute as pc
 
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: All that Python or a tokenizer's pattern takes for white space.
-_WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: Texts that are cut at lone spaces only, for white space at either end or side by side, or not at all, for the character
 #: that keys of marks begin with.
-_OTHER = rf"{_WHITE}{_WHITE}|^{_WHITE}|{_WHITE}$|\x01"
-#: A letter (of those that every version of Unicode has as such) or digit, then a mark.
-_MARKED = r"([0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}])([.,;:!?])"
+_OTHER = rf"{WHITE}{WHITE}|^{WHITE}|{WHITE}$|\x01"
+#: A letter (of those that every version of Unicode has as such) or digit, then an ASCII mark that opens no contraction.
+_MARKED = r"([0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}])([!-&(-/:-@\[-\x60{-~])"
 
 #: Keys that are remembered; when there are more, the half that was used most stays.
 KEPT = 500_000
@@ -102,10 +102,10 @@ class Bounded(dict):
 class SegmentTable:
     """What keys turn into: a run of numbers each, held as one array of all runs.
 
-    ``compute(keys)`` gives (the runs of many keys one after the other, the size of each).
+    ``compute(keys)`` gives (the runs of an array of keys one after the other, the size of each).
     """
 
-    def __init__(self, compute: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype: np.dtype, kept: int = KEPT):
+    def __init__(self, compute: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], dtype: np.dtype, kept: int = KEPT):
         # What is held here has no cycles, so the collector may look seldom.
         gc.set_threshold(200_000, 50, 100)
         self._compute, self._kept = compute, kept
@@ -125,7 +125,7 @@ class SegmentTable:
         if not missing.any():
             return self._pool, self._begins[where], self._sizes[where]
         new = keys.filter(pa.array(missing))
-        runs, sizes = self._compute(new.to_pylist())
+        runs, sizes = self._compute(new)
         begins = np.cumsum(sizes) - sizes + len(self._pool)
         pool = np.concatenate([self._pool, runs])
         all_begins, all_sizes = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)

@@ -116,10 +116,10 @@ def _counter(vocabulary: str, pattern: str) -> SegmentTable:
         automaton = LongestMatch(base64.b64decode(line.split()[0]) for line in lines if line.strip())
     words, pieces = regex.compile(pattern).findall, Bounded()
 
-    def compute(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def compute(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Two numbers a key: pieces and words."""
         out = []
-        for key in keys:
+        for key in keys.to_pylist():
             found = words(segment_text(key))
             total = 0
             for word in found:

@@ -47,7 +47,7 @@ from cairn.llm.common import bounded_batches, map_rows, shared_path, text_or_emp
 from cairn.llm.encoder import worker_encoder
 from cairn.llm.shingles import mixed
 
-WINDOW, CUT_BITS, LEAST, MOST = 16, 8, 64, 2048
+WINDOW, CUT_BITS, LEAST, MOST = 16, 8, 128, 4096
 #: Digests that a writing task remembers in order not to stage a chunk twice.
 SEEN = 200_000
 #: A chunk that more than one in so many recipe entries names is joined by broadcast: fewer than
