@@ -68,3 +68,77 @@ SELECT any_value(doc_id) AS doc_id, count(*) FILTER (kind = 'assign') AS n_assig
     sha256({joined.format(f" FILTER (ord <= {secrets.BASE})")}) AS base_sha256, {joined.format("")} AS spans, count(*) FILTER (ord > {secrets.BASE}) AS n_weak
 FROM texts LEFT JOIN kept USING (r) GROUP BY r
 """
+
+#: CRC-32 in SQL: the table by the polynomial's rule, then byte by byte over the hex digits of the UTF-8 bytes.
+CRC_TABLE = """crc_rows AS (
+    SELECT b, list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b::BIGINT) AS c FROM range(0, 256) AS u(b)
+), crc_table AS MATERIALIZED (
+    SELECT list(c ORDER BY b) AS crcs FROM crc_rows
+)"""
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes; needs ``crcs`` of CRC_TABLE in scope."""
+    byte = f"('0x' || substr(hex(encode({text})), 2 * i::INTEGER + 1, 2))::BIGINT"
+    return f"xor(list_reduce(range(0, octet_length(encode({text}))), lambda c, i: xor(crcs[1 + (xor(c, {byte}) & 255)], c >> 8), 4294967295), 4294967295)"
+
+
+def vector_codes_sql(scale: int = 4096, parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Every round of the weighted Lloyd algorithm as two queries over all parts (vectors of one length that ``parts`` divides)."""
+    out = [f"""kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor({scale}::DOUBLE * x)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), each AS MATERIALIZED (
+    SELECT r, vec_id, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS part FROM kept, range(0, {parts}) AS u(p)
+), book0 AS MATERIALIZED (
+    SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, part AS entry FROM each WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries})
+)"""]
+    near = "(SELECT r, p, any_value(part) AS part, arg_min(k, [d, k]) AS k, min(d) AS d FROM (SELECT r, p, part, k, list_sum(list_transform(range(1, len(part) + 1), lambda i: (part[i] - entry[i]) * (part[i] - entry[i])))::BIGINT AS d FROM each JOIN book{n} USING (p)) x GROUP BY r, p)"
+    for n in range(rounds):
+        out.append(f"""book{n + 1} AS MATERIALIZED (
+    SELECT b.p, b.k, coalesce(m.entry, b.entry) AS entry FROM book{n} b LEFT JOIN (
+        SELECT p, k, list(x ORDER BY i) AS entry FROM (
+            SELECT p, k, i, ((sum(part[i])::BIGINT - (sum(part[i])::BIGINT % count(*) + count(*)) % count(*)) // count(*)) AS x FROM {near.format(n=n)} a, (SELECT unnest(range(1, max(len(part)) + 1)) AS i FROM each) w GROUP BY p, k, i
+        ) y GROUP BY p, k
+    ) m ON m.p = b.p AND m.k = b.k
+)""")
+    return f"""
+WITH {', '.join(out)}, coded AS MATERIALIZED {near.format(n=rounds)}, summed AS (
+    SELECT r, string_agg(lpad(lower(to_hex(k)), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM coded GROUP BY r
+), books AS (
+    SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY p, k)) AS digest FROM book{rounds}
+), labels AS (
+    SELECT label, sum(error)::BIGINT AS label_error FROM summed JOIN kept USING (r) GROUP BY label
+)
+SELECT vec_id, code, error, label_error, digest AS codebooks_sha256 FROM kept JOIN summed USING (r) JOIN labels ON kept.label IS NOT DISTINCT FROM labels.label, books
+"""
+
+
+def resampling_sql(buckets: int = 10_000, least_words: int = 20, percent: int = 10, seed: str = "2024") -> str:
+    """Single words as features: counts, dictionary, gains, weights and the draw."""
+    words = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x{00}-\\x{2F}\\x{3A}-\\x{60}\\x{7B}-\\x{7F}]+'), lambda x: x <> '')"
+    return f"""
+WITH {CRC_TABLE}, texts AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents
+), counts AS MATERIALIZED (
+    SELECT r, feature, count(*) AS n FROM (SELECT r, unnest(w) AS feature FROM texts) x GROUP BY r, feature
+), target AS (
+    SELECT unnest({words}) AS feature FROM benchmark
+), dictionary AS MATERIALIZED (
+    SELECT feature, s, t, {crc32_sql('feature')} % {buckets} AS bucket FROM (
+        SELECT feature, sum(s) AS s, sum(t) AS t FROM (SELECT feature, n AS s, 0 AS t FROM counts UNION ALL SELECT feature, 0, 1 FROM target) u GROUP BY feature
+    ) y, crc_table
+), gains AS MATERIALIZED (
+    SELECT bucket, floor(1000 * ln((sum(t) + 1)::DOUBLE * (SELECT coalesce(sum(s), 0) + {buckets} FROM dictionary) / ((sum(s) + 1)::DOUBLE * (SELECT coalesce(sum(t), 0) + {buckets} FROM dictionary))))::BIGINT AS gain
+    FROM dictionary GROUP BY bucket
+), weights AS (
+    SELECT r, sum(n * gain)::BIGINT AS weight FROM counts JOIN dictionary USING (feature) JOIN gains USING (bucket) GROUP BY r
+), scored AS (
+    SELECT doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight, len(w) >= {least_words} AS eligible,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5)::DOUBLE / 4294967296)))::BIGINT AS score
+    FROM texts LEFT JOIN weights USING (r)
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY eligible ORDER BY score DESC, doc_id) AS place FROM scored
+)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN eligible AND place <= (SELECT {percent} * count(*) // 100 FROM scored WHERE eligible) THEN place END AS rank FROM ranked
+"""

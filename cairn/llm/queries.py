@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm.bpe import bpe_round_trip
+from cairn.llm.codes import compress
 from cairn.llm.common import read_table, shared_path
 from cairn.llm.fingerprints import fingerprints_with_neighbours
+from cairn.llm.importance import resample
 from cairn.llm.media import media_features, write_media_column
+from cairn.llm.multi_index import nearest_rows
 from cairn.llm.near_dedup import near_duplicates
-from cairn.llm.oracle import near_dedup_sql, secret_scan_sql
+from cairn.llm.oracle import near_dedup_sql, resampling_sql, secret_scan_sql, vector_codes_sql
 from cairn.llm.packing import pack_documents
 from cairn.llm.quality import held_out, score_quality, train_quality
 from cairn.llm.secrets import digest, scan_secrets
@@ -75,6 +78,21 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(write_media_column(read_table(spark, sf_dir, "documents")))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every kept vector, the errors of its label and the digest of the codebooks."""
+    return compress(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features, weight, score and rank of every document, drawn towards the texts of ``benchmark``; rank is null for those not drawn."""
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors found nearest, by inner product, to each one whose id is divisible by 20."""
+    return nearest_rows(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -87,10 +105,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": op8_fingerprints,
         "op9_packing": op9_packing,
         "op10_media": op10_media,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_resampling": op12_resampling,
+        "op13_neighbours": op13_neighbours,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """The others need a trained net, a tokenizer, a 64-bit hash or a greedy placement; tests hold them
-    against brute force, exact round trips or held-out labels."""
-    return {"op3_secret_scan": secret_scan_sql(), "op5_near_dedup": near_dedup_sql()}
+    """The others need a trained net, a tokenizer, a 64-bit hash, a greedy placement or an index that may
+    miss; tests hold them against brute force, exact round trips, held-out labels or measured recall."""
+    return {"op3_secret_scan": secret_scan_sql(), "op5_near_dedup": near_dedup_sql(), "op11_vector_codes": vector_codes_sql(), "op12_resampling": resampling_sql()}
