@@ -6,6 +6,7 @@ import difflib
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,7 +49,35 @@ def osa_distance(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(osa_many(left.fillna("").tolist(), right.fillna("").tolist()), dtype="int32")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def close_matches(word: pd.Series, choices: pd.Series) -> pd.Series:
-    """At most five choices whose difflib ratio to the word is 0.55 or more, best first."""
-    return pd.Series([difflib.get_close_matches(w, list(c), n=5, cutoff=0.55) for w, c in zip(word, choices, strict=True)])
+#: How alike names must be to be offered for one another (difflib's ratio).
+ALIKE = 0.55
+#: Letters, rare ones first; only the order's being fixed matters to what is found, rareness saves pairs.
+RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate"
+
+
+@F.pandas_udf(T.DoubleType())
+def alike(left: pd.Series, right: pd.Series) -> pd.Series:
+    """difflib's ratio of each pair."""
+    matcher, out = difflib.SequenceMatcher(), []
+    for a, b in zip(left, right, strict=True):
+        if matcher.b != b:
+            matcher.set_seq2(b)
+        matcher.set_seq1(a)
+        out.append(matcher.ratio())
+    return pd.Series(out, dtype="float64")
+
+
+def characters(column: str) -> Column:
+    """Every character of a text with the number of its copies before it: equal for the multisets that texts share."""
+    sorted_ = F.array_sort(F.filter(F.split(column, ""), lambda c: c != ""))
+    return F.transform(sorted_, lambda c, i: F.struct((F.array_position(sorted_, c) - 1 - i).alias("copies"), c.alias("c")))
+
+
+def character_order(column: str) -> Column:
+    """The same as texts, later copies and rare letters first."""
+    return F.transform(F.array_sort(F.transform(characters(column), lambda x: F.struct(x["copies"].alias("n"), F.instr(F.lit(RARE_FIRST), x["c"]).alias("rank"), x["c"].alias("c")))), lambda x: F.concat_ws(" ", x["n"].cast("string"), x["c"]))
+
+
+def shared_characters(left: str, right: str) -> Column:
+    """How many characters two texts have in common, copies counted."""
+    return F.size(F.array_intersect(characters(left), characters(right)))
