@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from cairn.operators import harvest, lookup, snapshots, textsearch
 from cairn.operators.registry import token_stats
 from cairn.operators.rulebook import RuleBook
-from cairn.operators.rules import LEAST_FIXED, template_rows
+from cairn.operators.rules import overridden, LEAST_FIXED, template_rows
 from cairn.operators.validate import validate
 from cairn.sources.tables import text_tree
 
@@ -44,7 +44,9 @@ class Workspace:
         self.scripts = reduce(DataFrame.unionByName, trees, none)
         self.declared = harvest.directory_rules(spark, self.book)
         self.files = harvest.parsed_files(self.scripts, self.declared)
-        self.definitions = harvest.definitions_of(self.files, self.declared, harvest.subtype_rules(spark, self.book))
+        found = harvest.definitions_of(self.files, self.declared, harvest.subtype_rules(spark, self.book))
+        # Of several sources that define an object the last one counts.
+        self.definitions = overridden(found, ["type", "name"], ["priority", "rel_path", "line"])
 
     def symbols(self) -> DataFrame:
         rows = [(n, k, k, "rules", d.removesuffix(".cwt"), a, b, f"{d}:{a}", text) for n, k, d, a, b, text in self.book.public_names()]
@@ -84,7 +86,8 @@ def _text(work: Workspace, args) -> DataFrame:
 def _validate(work: Workspace, args) -> DataFrame:
     with open(args.file, encoding="utf-8") as script:
         scripts = work.spark.createDataFrame([(args.file, script.read())], "doc string, text string")
-    return validate(scripts, work.book, work.definitions.select("type", "name"), schema=args.schema, kind=args.kind, scope=args.scope, mode=args.mode).orderBy("line", "node_id")
+    members = harvest.enum_members(work.files, work.declared, harvest.complex_enum_sources(work.book))
+    return validate(scripts, work.book, work.definitions.select("type", "name"), members=members, schema=args.schema, kind=args.kind, scope=args.scope, mode=args.mode).orderBy("line", "node_id")
 
 
 VERBS = {

@@ -6,7 +6,7 @@ import difflib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,17 +67,9 @@ def alike(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def characters(column: str) -> Column:
-    """Every character of a text with the number of its copies before it: equal for the multisets that texts share."""
-    sorted_ = F.array_sort(F.filter(F.split(column, ""), lambda c: c != ""))
-    return F.transform(sorted_, lambda c, i: F.struct((F.array_position(sorted_, c) - 1 - i).alias("copies"), c.alias("c")))
-
-
-def character_order(column: str) -> Column:
-    """The same as texts, later copies and rare letters first."""
-    return F.transform(F.array_sort(F.transform(characters(column), lambda x: F.struct(x["copies"].alias("n"), F.instr(F.lit(RARE_FIRST), x["c"]).alias("rank"), x["c"].alias("c")))), lambda x: F.concat_ws(" ", x["n"].cast("string"), x["c"]))
-
-
-def shared_characters(left: str, right: str) -> Column:
-    """How many characters two texts have in common, copies counted."""
-    return F.size(F.array_intersect(characters(left), characters(right)))
+def with_characters(rows: DataFrame, column: str, out: str) -> DataFrame:
+    """``out``: the characters of a text as an array, each with the number of its copies before it, in one fixed
+    order, later copies and rare letters first. What two texts share of these is what they share as multisets."""
+    rows = rows.withColumn(out, F.array_sort(F.filter(F.split(column, ""), lambda c: c != "")))
+    rows = rows.withColumn(out, F.transform(out, lambda c, i: F.struct((F.array_position(out, c) - 1 - i).alias("copies"), F.instr(F.lit(RARE_FIRST), c).alias("rank"), c.alias("c"))))
+    return rows.withColumn(out, F.transform(F.array_sort(out), lambda x: F.concat_ws(" ", x["copies"].cast("string"), x["c"])))

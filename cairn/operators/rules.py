@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.sources.tables import stored
+
 _PART = re.compile(r"<[^<>\s]+>|enum\[[^\[\]]+\]")
 #: The longest capture, and the fewest fixed characters of a usable template.
 LONGEST_CAPTURE, LEAST_FIXED = 128, 3
@@ -108,45 +111,56 @@ def ordered_union(rows: DataFrame, key: str, ord_col: str, list_col: str) -> Dat
     return rows.groupBy(key).agg(F.array_distinct(F.flatten(F.transform(gathered, lambda x: x[list_col]))).alias("items"))
 
 
-def closure(spark: SparkSession, edges: DataFrame, view: str = "cairn_edges") -> DataFrame:
-    """Every (node, ancestor, depth) over parent links, cycles cut, by a recursive query."""
-    edges.select("node", "parent").createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE up(node, ancestor, depth, trail) AS (
-          SELECT node, parent, 1, array(node, parent) FROM {view}
-          UNION ALL
-          SELECT up.node, e.parent, up.depth + 1, concat(up.trail, array(e.parent))
-          FROM up JOIN {view} e ON up.ancestor = e.node WHERE NOT array_contains(up.trail, e.parent)
-        ) SELECT node, ancestor, CAST(min(depth) AS BIGINT) AS depth FROM up GROUP BY node, ancestor""")
+def reachable(edges: DataFrame) -> DataFrame:
+    """Every (node, ancestor, depth) over parent links, ``depth`` the shortest way, by doubling.
+
+    A shortest way of more than n and at most 2 n steps begins with one of n, so each round joins the pairs
+    that are exactly n apart with all that are known and keeps those never met, with their least sum. A pair is found once however
+    many ways there are, cycles end by themselves, and rounds grow with the logarithm of the longest
+    shortest way. Each round's pairs are written and read back, so plans stay short. A node on a cycle is its own ancestor.
+    """
+    links = edges.select("node", F.col("parent").alias("ancestor")).where("node is not null and parent is not null").distinct()
+    rounds, far = [stored(links.withColumn("depth", F.lit(1).cast("bigint")), "reachable-1")], 1
+    while True:
+        met = reduce(DataFrame.unionByName, rounds)
+        ends = rounds[-1].where(F.col("depth") == far).select("node", F.col("ancestor").alias("middle"))
+        goes_on = met.select(F.col("node").alias("middle"), "ancestor", "depth")
+        longer = ends.join(goes_on, "middle").groupBy("node", "ancestor").agg((F.min("depth") + far).alias("depth"))
+        new = stored(longer.join(met, ["node", "ancestor"], "left_anti"), f"reachable-{2 * far}")
+        if new.isEmpty():
+            return met
+        rounds.append(new)
+        far *= 2
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """The same without what leads from a node back to itself."""
+    return reachable(edges).where("node <> ancestor")
 
 
-def expanded(spark: SparkSession, rules: DataFrame, view: str = "cairn_rules") -> DataFrame:
-    """Rules reachable over references, with a flag where a reference closes a cycle."""
-    rules.select("rule", "refers_to").createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE walk(root, rule, trail, cyclic) AS (
-          SELECT rule, refers_to, array(rule, refers_to), rule = refers_to FROM {view} WHERE refers_to IS NOT NULL
-          UNION ALL
-          SELECT w.root, r.refers_to, concat(w.trail, array(r.refers_to)), array_contains(w.trail, r.refers_to)
-          FROM walk w JOIN {view} r ON w.rule = r.rule WHERE NOT w.cyclic AND r.refers_to IS NOT NULL
-        ) SELECT root, rule, CAST(size(trail) - 1 AS BIGINT) AS depth, cyclic FROM walk""")
+def expanded(rules: DataFrame) -> DataFrame:
+    """(root, rule, depth, cyclic) of all rules reachable over references: the shortest way, and whether the rule leads
+    back to itself. ``rules``: rule, refers_to."""
+    pairs = reachable(rules.select(F.col("rule").alias("node"), F.col("refers_to").alias("parent")))
+    rings = pairs.where("node = ancestor").select(F.col("node").alias("rule"), F.lit(True).alias("rings"))
+    return pairs.select(F.col("node").alias("root"), F.col("ancestor").alias("rule"), "depth").join(rings, "rule", "left").select("root", "rule", "depth", F.coalesce("rings", F.lit(False)).alias("cyclic"))
 
 
 def cardinality(parents: DataFrame, children: DataFrame, rules: DataFrame) -> DataFrame:
     """Parents whose number of children breaks lo..hi of a rule; a parent without any counts as 0.
 
-    Rules are declarations: they come to the driver (more than DECLARATIONS are refused) and are held against a
-    parent's counts as one expression, so only violations become rows.
+    Counts meet rules by a join on the key. A parent's missing keys are those of the rules that ask for one at least (one
+    array for all) less the keys that it has, so the plan does not grow with the rules.
     """
-    declared = rules.select("key", "lo", "hi").limit(DECLARATIONS + 1).collect()
-    if len(declared) > DECLARATIONS:
-        raise ValueError(f"more than {DECLARATIONS} rules")
-    counts = children.groupBy("parent", "key").agg(F.count("*").alias("n"))
-    counts = counts.join(_small(rules.select("key").distinct()), "key", "left_semi").groupBy("parent").agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("have"))  # a key of a rule each
-    have = lambda key: F.coalesce(F.try_element_at("have", F.lit(key)), F.lit(0))
-    broken = [F.when((have(r["key"]) < r["lo"]) | (have(r["key"]) > r["hi"]), F.struct(F.lit(r["key"]).alias("key"), have(r["key"]).cast("bigint").alias("n"))) for r in declared]
-    checked = parents.select("parent").distinct().join(counts, "parent", "left").select("parent", F.explode(F.array_compact(F.array(*broken))).alias("v"))
-    return checked.select("parent", "v.key", "v.n", F.lit("CARDINALITY_MISMATCH").alias("code"))
+    rules = rules.select("key", "lo", "hi").distinct()
+    own = parents.select("parent").where("parent is not null").distinct()
+    counts = children.groupBy("parent", "key").agg(F.count("*").alias("n")).join(_small(rules), "key").join(own, "parent", "left_semi")
+    wrong = counts.where((F.col("n") < F.col("lo")) | (F.col("n") > F.col("hi"))).select("parent", "key", "n")
+    asking = rules.where("lo > 0").agg(F.collect_set("key").alias("wanted"))  # one row of declared keys
+    have = counts.where("lo > 0").groupBy("parent").agg(F.collect_set("key").alias("have"))  # keys of rules
+    lacking = own.join(have, "parent", "left").crossJoin(F.broadcast(asking)).select("parent", F.explode(F.array_except("wanted", F.coalesce("have", F.array().cast("array<string>")))).alias("key"))
+    none = lacking.select("parent", "key", F.lit(0).cast("bigint").alias("n"))
+    return wrong.unionByName(none).withColumn("code", F.lit("CARDINALITY_MISMATCH"))
 
 
 def parse_range(rule: str) -> tuple[float, float, bool, bool] | None:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cairn.functions.distance import ALIKE, alike, character_order, shared_characters
+from cairn.functions.distance import ALIKE, alike, with_characters
 from cairn.operators.blocks import ANY_SCOPE, Finding, wrong
 from cairn.operators.parse import ROWS, ScriptError, parse
 from cairn.operators.rulebook import API_KINDS, RuleBook
@@ -142,13 +142,14 @@ def close_names(asked: DataFrame, names: DataFrame) -> DataFrame:
     shared characters bound the ratio further before it is worked out.
     """
     share = ALIKE / 2
-    least = lambda c: F.ceil(share * (F.length(c) + F.ceil(share / (1 - share) * F.length(c) - 1e-9)) - 1e-9)
-    first = lambda c: F.slice(character_order(c), 1, F.greatest(F.lit(1), F.length(c) - least(c) + 1).cast("int"))
-    left = asked.where("value <> ''").distinct().select("pool", "value", F.explode(first("value")).alias("character"))
-    right = names.where("name <> ''").distinct().select("pool", "name", F.explode(first("name")).alias("character"))
-    both = F.length("value") + F.length("name")
-    met = left.join(right, ["pool", "character"]).where(2 * F.least(F.length("value"), F.length("name")) >= ALIKE * both).select("pool", "value", "name").distinct()
-    near = met.where(2 * shared_characters("value", "name") >= ALIKE * both).withColumn("score", alike("name", "value"))
+    n = F.size("all")
+    least = F.ceil(share * (n + F.ceil(share / (1 - share) * n - 1e-9)) - 1e-9)
+    first = F.slice("all", 1, F.greatest(F.lit(1), n - least + 1).cast("int"))
+    left = with_characters(asked.select("pool", "value").where("value <> ''").distinct(), "value", "all").select("pool", "value", F.col("all").alias("own"), F.explode(first).alias("character"))
+    right = with_characters(names.select("pool", "name").where("name <> ''").distinct(), "name", "all").select("pool", "name", F.col("all").alias("other"), F.explode(first).alias("character"))
+    both = F.size("own") + F.size("other")
+    met = left.join(right, ["pool", "character"]).where((2 * F.least(F.size("own"), F.size("other")) >= ALIKE * both) & (2 * F.size(F.array_intersect("own", "other")) >= ALIKE * both))
+    near = met.select("pool", "value", "name").distinct().withColumn("score", alike("name", "value"))
     return near.where(F.col("score") >= ALIKE)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -295,14 +296,30 @@ def _edges(spark, d):
  SELECT up.node, e.parent, up.depth + 1, list_append(up.trail, e.parent) FROM up JOIN e ON up.ancestor = e.node WHERE NOT list_contains(up.trail, e.parent))
 SELECT node, ancestor, CAST(min(depth) AS BIGINT) AS depth FROM up GROUP BY node, ancestor""")
 def scope_closure(spark, d):
-    return rules.closure(spark, _edges(spark, d))
+    return rules.closure(_edges(spark, d))
 
 
-@query(f"""WITH RECURSIVE e AS ({_EDGES}), walk(root, rule, trail, cyclic) AS (SELECT node, parent, [node, parent], node = parent FROM e UNION ALL
- SELECT w.root, e.parent, list_append(w.trail, e.parent), list_contains(w.trail, e.parent) FROM walk w JOIN e ON w.rule = e.node WHERE NOT w.cyclic)
-SELECT root, rule, CAST(len(trail) - 1 AS BIGINT) AS depth, cyclic FROM walk""")
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), walk(root, rule, depth) AS (SELECT node, parent, 1 FROM e UNION SELECT w.root, e.parent, w.depth + 1 FROM walk w JOIN e ON w.rule = e.node WHERE w.depth < 8)
+SELECT root, rule, CAST(min(depth) AS BIGINT) AS depth, rule IN (SELECT root FROM walk WHERE root = rule) AS cyclic FROM walk GROUP BY root, rule""")
 def rule_expansion(spark, d):
-    return rules.expanded(spark, _edges(spark, d).select(F.col("node").alias("rule"), F.col("parent").alias("refers_to")))
+    """What each rule refers to over any number of steps, and which of it leads back to itself."""
+    return rules.expanded(_edges(spark, d).select(F.col("node").alias("rule"), F.col("parent").alias("refers_to")))
+
+
+_DIAMONDS = """SELECT DISTINCT 'n' || p_name AS node, 'b' || p_brand AS parent FROM part UNION SELECT 'n' || p_name, 's' || p_size FROM part UNION SELECT 'b' || p_brand, 't' || p_type FROM part UNION SELECT 's' || p_size, 't' || p_type FROM part
+ UNION SELECT 't' || p_type, 'r1' FROM part UNION SELECT 'r1', 'r2' UNION SELECT 'r2', 'r3' UNION SELECT 'r3', 'r1'"""
+
+
+@query(f"""WITH RECURSIVE e AS ({_DIAMONDS}), walk(node, ancestor, depth) AS (SELECT node, parent, 1 FROM e UNION SELECT w.node, e.parent, w.depth + 1 FROM walk w JOIN e ON w.ancestor = e.node WHERE w.depth < 9)
+SELECT node, ancestor, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY node, ancestor""")
+def diamond_closure(spark, d):
+    """Ancestors in a graph of names, brands, sizes and types: very many ways between two nodes, and a ring at its top."""
+    part = table(spark, d, "part")
+    pairs = [("n", "p_name", "b", "p_brand"), ("n", "p_name", "s", "p_size"), ("b", "p_brand", "t", "p_type"), ("s", "p_size", "t", "p_type")]
+    edges = [part.select(F.concat(F.lit(a), x).alias("node"), F.concat(F.lit(b), y).alias("parent")) for a, x, b, y in pairs]
+    top = part.select(F.concat(F.lit("t"), "p_type").alias("node"), F.lit("r1").alias("parent"))
+    ring = spark.createDataFrame([("r1", "r2"), ("r2", "r3"), ("r3", "r1")], "node string, parent string")
+    return rules.reachable(reduce(lambda a, b: a.unionByName(b), [*edges, top, ring]))
 
 
 @query("""WITH r AS (SELECT * FROM (VALUES ('R', 0, 2), ('N', 1, 4), ('A', 0, 3)) t(key, lo, hi)), c AS (SELECT l_orderkey AS parent, l_returnflag AS key, count(*) AS n FROM lineitem GROUP BY ALL)

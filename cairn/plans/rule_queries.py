@@ -36,7 +36,7 @@ def _nation_files(spark, d):
     """A file a region with a block a nation, a file of all regions, and one that cannot be parsed."""
     nation = table(spark, d, "nation")
     block = F.format_string(
-        "n_%d = { name = \"%s\" size = %s sea = yes inner = { port = %d } }", F.col("n_nationkey"), F.col("n_name"), F.when(F.col("n_nationkey") % 2 == 0, F.lit("big")).otherwise(F.lit("small")), F.col("n_nationkey") % 3
+        "n_%d = { name = \"%s\" size = %s sea = yes inner = { port = %d dock_%d_%d = yes } }", F.col("n_nationkey"), F.col("n_name"), F.when(F.col("n_nationkey") % 2 == 0, F.lit("big")).otherwise(F.lit("small")), F.col("n_nationkey") % 3, F.col("n_regionkey"), F.col("n_nationkey") % 4
     )
     files = nation.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(block)), "\n").alias("text"))  # 25 rows
     files = files.select(F.format_string("common/nations/%d.txt", "n_regionkey").alias("rel_path"), "text")
@@ -56,23 +56,90 @@ def harvest_definitions(spark, d):
     return found.select("name", "type", "rel_path", "line", F.array_join("subtypes", ",").alias("subtypes"))
 
 
-@query("SELECT 'common/nations/broken.txt' AS rel_path, 1 AS error_line")
+@query("""SELECT 'common/nations/s' || s_suppkey || '.txt' AS rel_path, CAST(s_suppkey % 3 + 1 AS INT) AS error_line FROM supplier WHERE s_suppkey % 5 = 0 ORDER BY rel_path LIMIT 20""")
 def harvest_errors(spark, d):
-    book = RuleBook({"types.cwt": NATION_TYPES})
-    return harvest.file_errors(harvest.parsed_files(_nation_files(spark, d), harvest.directory_rules(spark, book))).select("rel_path", "error_line")
+    """The first files that cannot be parsed: a file for each supplier, every fifth of them with a brace too many on some line."""
+    key = F.col("s_suppkey")
+    text = F.concat(F.repeat(F.lit("a = 1\n"), (key % 3).cast("int")), F.when(key % 5 == 0, F.lit("}")).otherwise(F.lit("n_1 = { name = x }")))
+    files = table(spark, d, "supplier").select(F.lit("game").alias("source"), F.lit(0).alias("priority"), F.format_string("common/nations/s%d.txt", key).alias("rel_path"), text.alias("text"))
+    declared = harvest.directory_rules(spark, RuleBook({"types.cwt": NATION_TYPES}))
+    return harvest.file_errors(harvest.parsed_files(files, declared)).select("rel_path", "error_line")
 
 
-@query("SELECT 'port' AS enum, 'port' AS value")
-def complex_enum_members(spark, d):
-    """Values of an enum that is harvested from where a type's objects live."""
+def _enum_members(spark, d):
     book = RuleBook({"types.cwt": NATION_TYPES})
     declared = harvest.directory_rules(spark, book)
     return harvest.enum_members(harvest.parsed_files(_nation_files(spark, d), declared), declared, harvest.complex_enum_sources(book))
 
 
-@query("""SELECT 'nation' AS type, 'common/nations' AS directory, '.txt' AS extension, 'name' AS name_field, '' AS excluded, '' AS skip_root UNION ALL SELECT 'region', 'common/regions', '.gfx', NULL, 'hidden', 'list'""")
+@query("SELECT 'port' AS enum, 'port' AS value UNION SELECT 'port', 'dock_' || n_regionkey || '_' || n_nationkey % 4 FROM nation")
+def complex_enum_members(spark, d):
+    """Values of an enum that is harvested from where a type's objects live: what stands in the nations' files."""
+    return _enum_members(spark, d)
+
+
+ENUM_RULES = """enums = {
+    complex_enum[port] = { path = "game/common/nations" name = { inner = { enum_name = { } } } }
+    complex_enum[berth] = { path = "game/common/berths" name = { enum_name = { } } }
+    enum[flag] = { red white }
+}
+ship = { slot = enum[port] berth = enum[berth] flag = enum[flag] other = complex_enum[port] }
+"""
+
+
+@query("""WITH m AS (SELECT DISTINCT 'dock_' || n_regionkey || '_' || n_nationkey % 4 AS v FROM nation), c AS (SELECT c_custkey AS doc, 'dock_' || c_nationkey % 5 || '_' || c_nationkey % 6 AS v, v IN (SELECT v FROM m) AS there, c_custkey % 2 = 0 AS red FROM customer)
+SELECT doc, 'slot' AS identifier, CASE WHEN there THEN 'CONFIRMED_CWT' ELSE 'UNKNOWN' END AS status, CASE WHEN there THEN 'CWT_IDENTIFIER' ELSE 'VALUE_MISMATCH' END AS code FROM c
+UNION ALL SELECT doc, 'other', CASE WHEN there THEN 'CONFIRMED_CWT' ELSE 'UNKNOWN' END, CASE WHEN there THEN 'CWT_IDENTIFIER' ELSE 'VALUE_MISMATCH' END FROM c
+UNION ALL SELECT doc, 'berth', 'CONFIRMED_CWT', 'CWT_IDENTIFIER' FROM c UNION ALL SELECT doc, 'berth', 'UNRESOLVED', 'VALUE_REFERENCE_UNRESOLVED' FROM c
+UNION ALL SELECT doc, 'flag', CASE WHEN red THEN 'CONFIRMED_CWT' ELSE 'UNKNOWN' END, CASE WHEN red THEN 'CWT_IDENTIFIER' ELSE 'VALUE_MISMATCH' END FROM c""")
+def validate_enums(spark, d):
+    """Values of harvested enums: members that the nations' files have, values they lack, an enum that nothing was harvested for, and a plain one."""
+    c = table(spark, d, "customer")
+    dock = F.format_string("dock_%d_%d", F.col("c_nationkey") % 5, F.col("c_nationkey") % 6)
+    text = F.concat(F.lit("slot = "), dock, F.lit(" other = "), dock, F.lit(" berth = x flag = "), F.when(F.col("c_custkey") % 2 == 0, "red").otherwise("green"))
+    scripts = c.select(F.col("c_custkey").alias("doc"), text.alias("text"))
+    none = spark.createDataFrame([], "type string, name string")
+    return validate(scripts, RuleBook({"e.cwt": ENUM_RULES}), none, members=_enum_members(spark, d), schema="ship").select("doc", "identifier", "status", "code")
+
+
+_HOSTS = "SELECT DISTINCT regexp_extract(url, '//([^/]*)', 1) AS name FROM pages"
+#: The longest common runs of two texts, found again on both sides of each, as difflib does.
+_RATIO = """runs AS (SELECT pool, name, value, 0::BIGINT AS alo, length(name)::BIGINT AS ahi, 0::BIGINT AS blo, length(value)::BIGINT AS bhi, 0::BIGINT AS k FROM pairs
+ UNION ALL SELECT pool, name, value, CASE s WHEN 0 THEN alo ELSE m.i + m.k END, CASE s WHEN 0 THEN m.i ELSE ahi END, CASE s WHEN 0 THEN blo ELSE m.j + m.k END, CASE s WHEN 0 THEN m.j ELSE bhi END, CASE s WHEN 0 THEN m.k ELSE 0 END
+ FROM (SELECT *, list_min(list_transform(range(alo, ahi), lambda i: list_min(list_transform(range(blo, bhi), lambda j: {'n': -list_max(list_filter(range(0, least(ahi - i, bhi - j) + 1), lambda n: substr(name, i + 1, n) = substr(value, j + 1, n))), 'i': i, 'j': j})))) AS r
+  FROM runs WHERE alo < ahi AND blo < bhi) w, LATERAL (SELECT -r.n AS k, r.i AS i, r.j AS j) m, (VALUES (0), (1)) t(s) WHERE m.k > 0),
+ scored AS (SELECT pool, value, name, 2.0::DOUBLE * sum(k) / (length(name) + length(value)) AS score FROM runs GROUP BY pool, value, name)"""
+
+
+@query(f"""WITH RECURSIVE names AS (SELECT DISTINCT 'object/part' AS pool, p_name AS name FROM part UNION ALL SELECT 'object/host', name FROM ({_HOSTS})),
+ asked AS (SELECT DISTINCT pool, substr(name, 1, 3) || substr(name, 5) AS value FROM names UNION SELECT DISTINCT pool, 'zz' || substr(name, 3, length(name) - 4) || 'qq' FROM names WHERE length(name) > 5),
+ pairs AS (SELECT DISTINCT pool, name, value FROM asked JOIN names USING (pool)), {_RATIO}, ranked AS (SELECT *, row_number() OVER (PARTITION BY pool, value ORDER BY score DESC, name DESC) AS place FROM scored WHERE score >= 0.55)
+SELECT pool, value, string_agg(name, ',' ORDER BY place) AS suggestions FROM ranked WHERE place <= 5 GROUP BY pool, value""")
+def close_names(spark, d):
+    """Suggestions for misspelt names, some of which share neither their first nor their last two characters with any name."""
+    from cairn.operators.validate import suggested
+
+    part = table(spark, d, "part").select(F.lit("part").alias("type"), F.col("p_name").alias("name")).distinct()
+    names = part.unionByName(table(spark, d, "pages").select(F.lit("host").alias("type"), F.regexp_extract("url", "//([^/]*)", 1).alias("name")).distinct())
+    cut = F.concat(F.substring("name", 1, 3), F.expr("substring(name, 5)"))
+    swapped = F.when(F.length("name") > 5, F.concat(F.lit("zz"), F.expr("substring(name, 3, length(name) - 4)"), F.lit("qq")))
+    pool = F.concat(F.lit("object/"), "type")
+    asked = names.select(F.array(pool).alias("pools"), F.explode(F.array_compact(F.array(cut, swapped))).alias("wanted"))
+    found = suggested(asked, names, spark.createDataFrame([], "pool string, name string"))
+    return found.select(F.col("pools")[0].alias("pool"), "value", F.array_join("suggestions", ",").alias("suggestions"))
+
+
+@query("""SELECT 'p' || r_regionkey AS type, 'common/' || lower(r_name) AS directory, CASE r_regionkey % 2 WHEN 0 THEN '.txt' ELSE '.gfx' END AS extension, CASE r_regionkey % 3 WHEN 0 THEN 'name' END AS name_field, CASE r_regionkey % 2 WHEN 1 THEN 'hidden' ELSE '' END AS excluded, CASE r_regionkey % 2 WHEN 1 THEN 'list' ELSE '' END AS skip_root FROM region""")
 def directory_rules(spark, d):
-    declared = harvest.directory_rules(spark, RuleBook({"types.cwt": NATION_TYPES}))
+    """Where objects live, read from rules that are written for each region."""
+    r = F.col("r_regionkey")
+    odd = r % 2 == 1
+    text = F.concat(
+        F.when(odd, F.lit("## type_key_filter <> { hidden }\n")).otherwise(F.lit("")), F.format_string("type[p%d] = { path = \"game/common/%s\"", r, F.lower("r_name")), F.when(odd, F.lit(" path_extension = .gfx skip_root_key = list")).otherwise(F.lit("")),
+        F.when(r % 3 == 0, F.lit(" name_field = name")).otherwise(F.lit("")), F.lit(" }"),
+    )
+    texts = {f"{x['r_regionkey']}.cwt": "types = {\n" + x["t"] + "\n}" for x in table(spark, d, "region").select("r_regionkey", text.alias("t")).collect()}  # five rows
+    declared = harvest.directory_rules(spark, RuleBook(texts))
     return declared.select("type", "directory", "extension", "name_field", F.array_join("exclude", ",").alias("excluded"), F.array_join("skip_root", ",").alias("skip_root"))
 
 
@@ -386,10 +453,17 @@ def version_checks(spark, d):
 # Snapshots.
 
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'crlf' WHEN 1 THEN 'lf' WHEN 2 THEN 'mixed' ELSE 'none' END AS endings, CAST(CASE doc_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 1 END AS INT) AS n_lines FROM documents""")
+_ENDED = "CASE doc_id % 3 WHEN 0 THEN replace(coalesce(text, ''), chr(10), chr(13) || chr(10)) WHEN 1 THEN replace(coalesce(text, ''), '. ', '.' || chr(13) || chr(10)) ELSE coalesce(text, '') END"
+
+
+@query(f"""WITH t AS (SELECT doc_id, replace({_ENDED}, chr(13) || chr(13), chr(13)) AS t FROM documents), n AS (SELECT doc_id, t, length(t) - length(replace(t, chr(10), '')) AS lf, (length(t) - length(replace(t, chr(13) || chr(10), ''))) // 2 AS crlf FROM t)
+SELECT doc_id, CASE WHEN lf = 0 THEN 'none' WHEN crlf = lf THEN 'crlf' WHEN crlf = 0 THEN 'lf' ELSE 'mixed' END AS endings, CAST(CASE WHEN t = '' THEN 0 WHEN t LIKE '%' || chr(10) THEN lf ELSE lf + 1 END AS INT) AS n_lines FROM n""")
 def line_endings(spark, d):
-    text = F.when(F.col("doc_id") % 4 == 0, "a\r\nb").when(F.col("doc_id") % 4 == 1, "a\n").when(F.col("doc_id") % 4 == 2, "a\nb\r\nc\r\n").otherwise("a")
-    return _docs(spark, d).select("doc_id", snapshots.line_endings(text).alias("endings"), snapshots.line_count(text).alias("n_lines"))
+    """Line ends and lines of every text: of one third as they are, of one with all ends changed, of one with some after sentences."""
+    text, k = F.coalesce("text", F.lit("")), F.col("doc_id") % 3
+    ended = F.when(k == 0, F.replace(text, F.lit("\n"), F.lit("\r\n"))).when(k == 1, F.replace(text, F.lit(". "), F.lit(".\r\n"))).otherwise(text)
+    ended = F.replace(ended, F.lit("\r\r"), F.lit("\r"))
+    return _docs(spark, d).select("doc_id", snapshots.line_endings(ended).alias("endings"), snapshots.line_count(ended).alias("n_lines"))
 
 
 @query("""SELECT source, count(*) AS n_files, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS bytes,
@@ -426,11 +500,12 @@ def permutation_cases(spark, d):
     return cases.agg(F.count("*").alias("asked"), F.count_distinct("query").alias("names"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS returned_unrelated")
+@query(f"""WITH {_CASES} SELECT query_id, 'zzq' || query_id || '_xxk_vvw' AS query, CAST(0 AS BIGINT) AS n_suggestions FROM cases""")
 def unrelated_names(spark, d):
-    """Unrelated names must get no suggestion."""
+    """How many suggestions each unrelated name gets; there must be none."""
     from cairn.operators.align import fuzzy_search
 
     cases, reg, stats = _index(spark, d)
     asked = evaluate.negative_cases(cases).where("mutation = 'unrelated'").select("query_id", "query")
-    return fuzzy_search(asked, reg, stats).agg(F.count("*").alias("returned_unrelated"))
+    counts = fuzzy_search(asked, reg, stats).groupBy("query_id").agg(F.count("*").alias("n"))
+    return asked.join(counts, "query_id", "left").select("query_id", "query", F.coalesce("n", F.lit(0)).alias("n_suggestions"))
