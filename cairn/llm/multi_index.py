@@ -40,7 +40,7 @@ from cairn.llm.vectors import matrix, usable
 NEIGHBOURS, EVERY = 20, 20
 SAMPLE, TRIALS, RECALL = 16_384, 256, 0.96
 ROUNDS, LEAST_CENTROIDS, MOST_CENTROIDS, CELL_ROWS = 8, 8, 1024, 32
-SHARD_ROWS, CHUNK_QUERIES = 8192, 4096
+SHARD_ROWS, CHUNK_QUERIES = 2048, 4096
 #: Scores within this of the lowest visited one count as visited, whatever the last bits of a sum.
 SLACK = 1e-9
 #: Queries that are scored against a shard at once.
@@ -116,10 +116,9 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def nearest_rows(vectors: DataFrame, vec: str = "embedding", every: int = EVERY, k: int = NEIGHBOURS, sample: int = SAMPLE, trials: int = TRIALS, recall: float = RECALL, shard_rows: int = SHARD_ROWS, chunk_queries: int = CHUNK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score of the k rows with the largest inner product found for each row whose id ``every`` divides."""
-    as_doubles = F.transform(F.col(vec), lambda x: x.cast("double"))
-    given = vectors.select("vec_id", as_doubles.alias("v"))
+    given = vectors.select("vec_id", F.col(vec).alias("v"))
     source, size, total = usable(given.where(F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))), "v")
-    kind = given.schema["vec_id"].dataType.simpleString()
+    kind, v_kind = (given.schema[c].dataType.simpleString() for c in ("vec_id", "v"))
     if not total:
         return source.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     fitted = source.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).select("v").toPandas()["v"]  # ``sample`` rows at most
@@ -136,7 +135,7 @@ def nearest_rows(vectors: DataFrame, vec: str = "embedding", every: int = EVERY,
         return work
 
     numbered = source.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
-    index = stored(map_rows(numbered, ["row", "vec_id", "v"], make_cells, f"row long, vec_id {kind}, v array<double>, cell int"), "multi-index")
+    index = stored(map_rows(numbered, ["row", "vec_id", "v"], make_cells, f"row long, vec_id {kind}, v {v_kind}, cell int"), "multi-index")
     sizes = np.zeros(n_centroids * n_centroids, dtype=np.int64)
     for r in index.groupBy("cell").count().collect():  # one row a cell, MOST_CENTROIDS squared at most
         sizes[r["cell"]] = r["count"]
@@ -199,9 +198,9 @@ def nearest_rows(vectors: DataFrame, vec: str = "embedding", every: int = EVERY,
         columns = [asked["row"].take(at), asked["vec_id"].take(at), rows["row"].take(top), rows["vec_id"].take(top), pa.array(np.concatenate(scores))]
         return pa.table(columns, names=names)
 
-    entries = map_rows(index, ["row", "vec_id", "v", "cell"], make_shards, f"row long, vec_id {kind}, v array<double>, cell int, shard long")
+    entries = map_rows(index, ["row", "vec_id", "v", "cell"], make_shards, f"row long, vec_id {kind}, v {v_kind}, cell int, shard long")
     queries = index.where(F.col("vec_id") % every == 0).select("row", "vec_id", "v")
-    sent = stored(queries.mapInArrow(probes, f"row long, vec_id {kind}, v array<double>, low double, shard long"), "multi-index-probes")
+    sent = stored(queries.mapInArrow(probes, f"row long, vec_id {kind}, v {v_kind}, low double, shard long"), "multi-index-probes")
     chunks = sent.groupBy("shard").agg(F.ceil(F.count("*") / chunk_queries).cast("int").alias("chunks"))
     chunk = lambda n: F.pmod(F.xxhash64("row"), n).cast("int")
     asked = sent.join(chunks, "shard").withColumn("chunk", chunk(F.col("chunks"))).drop("chunks")
