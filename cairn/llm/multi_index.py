@@ -15,8 +15,10 @@ part of all pairs.
 Rows are ordered by cell and cut into shards of about ``shard_rows``: a cell with many rows, or
 many copies of one vector, is spread over several, small cells share one. A query is sent once to each
 shard that holds some of its cells, as vector and lowest visited score; queries of one shard are cut into chunks that meet copies of its
-rows, so no task holds more than a shard's rows and a chunk's queries. Only the best k of a query leave
-a shard. Centroids and cell sizes (K at most MOST_CENTROIDS: 8 MB) are all that the driver holds besides the sample.
+rows, so no task holds more than a shard's rows and a chunk's queries. Of a shard only those of a query's best k leave
+it that may be among the k best of all: a query knows a score that k other rows reach, the one of rank k + 1 among the
+sample's rows in visited cells (one of which may be itself). Centroids, cell sizes (K at most MOST_CENTROIDS: 8 MB) and
+the sample are all that driver and tasks hold besides.
 
 Odd rows: vectors that are null, empty or zero, hold null or non-finite components, or are of another length
 than most take no part. Repeated rows are found like any other; a query's own row is told by its
@@ -141,10 +143,11 @@ def nearest_rows(vectors: DataFrame, vec: str = "embedding", every: int = EVERY,
         sizes[r["cell"]] = r["count"]
     starts = np.cumsum(sizes) - sizes
     wanted = int(np.ceil(share * total))
-    shared = index.sparkSession.sparkContext.broadcast((books, sizes, starts))
+    sample_cells = [quantised(h, c) for h, c in zip(halves(x), books, strict=True)]
+    shared = index.sparkSession.sparkContext.broadcast((books, sizes, starts, x, sample_cells))
 
     def make_shards():
-        _, sizes, starts = shared.value
+        _, sizes, starts, _, _ = shared.value
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             # A row's place in its cell is as good as random, so a cell's rows spread evenly over its shards.
@@ -156,32 +159,34 @@ def nearest_rows(vectors: DataFrame, vec: str = "embedding", every: int = EVERY,
         return work
 
     def probes(batches):
-        books, sizes, starts = shared.value
+        books, sizes, starts, x, (first_of, second_of) = shared.value
         of = sizes.reshape(n_centroids, n_centroids)
         first_shard, last_shard = starts // shard_rows, (starts + np.maximum(sizes, 1) - 1) // shard_rows
         filled = sizes > 0
         for batch in batches:
             vs = matrix(batch.column("v"), np.float64)
-            at, low, shard = [], [], []
+            at, low, least, shard = [], [], [], []
             for n, (a, b) in enumerate(zip(*halves(vs), strict=True)):
                 one, two = books[0] @ a, books[1] @ b
                 score = lowest_visited(one, two, of, wanted) - SLACK
                 visited = np.flatnonzero(((one[:, None] + two[None, :]).ravel() >= score) & filled)
+                known = (x @ vs[n])[one[first_of] + two[second_of] >= score]
+                enough = np.partition(known, len(known) - k - 1)[len(known) - k - 1] - SLACK if len(known) > k else -np.inf
                 spans = [np.arange(first_shard[c], last_shard[c] + 1) for c in visited]
                 for s in np.unique(np.concatenate(spans)) if spans else ():
-                    at.append(n), low.append(score), shard.append(int(s))
+                    at.append(n), low.append(score), least.append(enough), shard.append(int(s))
             if at:
                 taken = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(low, pa.float64()), pa.array(shard, pa.int64())], names=[*batch.schema.names, "low", "shard"])
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(low, pa.float64()), pa.array(least, pa.float64()), pa.array(shard, pa.int64())], names=[*batch.schema.names, "low", "least", "shard"])
 
     def reranked(_, left, right):
-        books, _, _ = shared.value
+        books = shared.value[0]
         rows, asked = left.combine_chunks(), right.combine_chunks()
         names = ["query_row", "query_id", "row", "vec_id", "score"]
         if not rows.num_rows or not asked.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), right.schema.field("vec_id").type, pa.int64(), left.schema.field("vec_id").type, pa.float64()), strict=True)})
         vs, row, cell = (matrix(rows["v"].combine_chunks(), np.float64), np.asarray(rows["row"]), np.asarray(rows["cell"]))
-        qs, own, low = matrix(asked["v"].combine_chunks(), np.float64), np.asarray(asked["row"]), np.asarray(asked["low"])
+        qs, own, low, least = (matrix(asked["v"].combine_chunks(), np.float64), *(np.asarray(asked[c]) for c in ("row", "low", "least")))
         ties = np.asarray(pc.rank(rows["vec_id"], sort_keys="ascending", null_placement="at_end", tiebreaker="dense")).astype(np.int64)
         cells, at_cell = np.unique(cell, return_inverse=True)
         which, found, scores = [], [], []
@@ -190,7 +195,7 @@ def nearest_rows(vectors: DataFrame, vec: str = "embedding", every: int = EVERY,
             of = [h @ c.T for h, c in zip(halves(q), books, strict=True)]
             visited = of[0][:, cells // n_centroids] + of[1][:, cells % n_centroids] >= low[begin : begin + BLOCK, None]
             score = np.where(visited[:, at_cell], q @ vs.T, -np.inf)
-            score[own[begin : begin + BLOCK, None] == row[None, :]] = -np.inf
+            score[(own[begin : begin + BLOCK, None] == row[None, :]) | (score < least[begin : begin + BLOCK, None])] = -np.inf
             for n, line in enumerate(score):
                 top = best(line, ties, k)
                 which.append(np.full(len(top), begin + n)), found.append(top), scores.append(line[top])
@@ -200,7 +205,7 @@ def nearest_rows(vectors: DataFrame, vec: str = "embedding", every: int = EVERY,
 
     entries = map_rows(index, ["row", "vec_id", "v", "cell"], make_shards, f"row long, vec_id {kind}, v {v_kind}, cell int, shard long")
     queries = index.where(F.col("vec_id") % every == 0).select("row", "vec_id", "v")
-    sent = stored(queries.mapInArrow(probes, f"row long, vec_id {kind}, v {v_kind}, low double, shard long"), "multi-index-probes")
+    sent = stored(queries.mapInArrow(probes, f"row long, vec_id {kind}, v {v_kind}, low double, least double, shard long"), "multi-index-probes")
     chunks = sent.groupBy("shard").agg(F.ceil(F.count("*") / chunk_queries).cast("int").alias("chunks"))
     chunk = lambda n: F.pmod(F.xxhash64("row"), n).cast("int")
     asked = sent.join(chunks, "shard").withColumn("chunk", chunk(F.col("chunks"))).drop("chunks")
