@@ -1,21 +1,24 @@
 """Operator 9, mixture-controlled packing: deficit round-robin over source queues.
 
 Every source is a queue of its documents' ids, in ascending order of the documents' ids. In each
-window, which is as long as a sequence, a queue may send its quantum, the share of ``window`` tokens
-that the target mixture gives it; what it could not send because a quantum is no whole number of
-tokens stays as its deficit and is added to the next window's. An empty queue is passed over. Windows
+window a queue may send its quantum, the share of ``window`` tokens that the target mixture gives it.
+What it does not send stays as its deficit: a queue saves up until it can send ``least`` tokens, so that
+documents of rare sources are not cut to scraps, and the part of a token that a quantum has beyond whole ones is
+carried on. A queue with a quantum of q tokens has its turn every p = ceil(least / q) windows and then sends p q tokens. Queues
+begin as if they had saved for a part of their period already, so that rare ones take turns in different windows. An empty queue is passed over. Windows
 follow each other without a gap, and the stream they make is cut into sequences of ``length`` tokens;
-only the very last one is not full. It is padded, unless its size is a power of two. So a sequence,
-even where it takes the end of one window and the start of the next, holds every source in its share,
-give or take the whole tokens that deficits move.
+only the very last one is not full. It is padded, unless its size is a power of two. The mixture holds over
+every stretch of a window, and for a queue with a period p over p windows, its horizon.
 
-As quanta are fixed, the state before any window has a closed form: after w windows a queue of T
-tokens and quantum q has sent min(T, floor(w * q)); the fraction is the deficit carried over. Hence
+As turns are fixed, the state before any window has a closed form: after t turns a queue of T
+tokens has sent min(T, floor(t * p * q)); the fraction is the deficit carried over. Hence
 a document's place follows from its place in its queue, deficits carry across windows and across
-partitions exactly, and no task walks through the queue of a hot source.
+partitions exactly, and no task walks through the queue of a hot source. Runs have ``least`` tokens or more (but a queue's last), so
+there are no more of them than tokens / ``least``, whatever the number of sources.
 
-The target mixture is each source's share of all tokens, or the weights given. A larger ``window``
-gives longer runs of one source and holds the mixture over that many tokens only.
+The target mixture is each source's share of all tokens, or the weights given. A smaller ``window``
+mixes sources more closely and cuts documents more often; with ``window`` = ``length`` and ``least`` = 1 every sequence holds
+every source.
 
 Odd rows: a null or empty text is the end id alone; a null source is a queue of its own; documents
 of one id follow each other by a hash of their text; repeated rows are packed once each; an empty
@@ -42,9 +45,9 @@ from pyspark.sql import types as T
 from cairn.llm.common import bounded_batches, stored, text_or_empty
 from cairn.llm.encoder import worker_encoder
 
-LENGTH, WINDOW, QUEUES = 1024, 1024, 1024
+LENGTH, WINDOW, LEAST, QUEUES = 1024, 65_536, 1024, 1024
 BASES = 200_000
-#: Rows of an output batch, about: a run of a queue with a small quantum may be a single token.
+#: Rows of an output batch, about.
 ROWS = 20_000
 #: Binary places of a quantum; deficits are exact to this fraction of a token.
 PLACES = 16
@@ -52,38 +55,44 @@ PLACES = 16
 STATES = 1 << 20
 
 
+def phase(queue: str) -> int:
+    """Where in its period a queue begins, before the remainder by the period."""
+    return zlib.crc32(queue.encode())
+
+
 class RoundRobin:
-    """Places of queue positions in the packed stream. ``totals``: tokens of each queue, by number."""
+    """Places of queue positions in the packed stream. ``totals``: tokens of each queue, by number; ``phases`` part their turns."""
 
-    def __init__(self, totals: list[int], weights: list[float] | None = None, window: int = WINDOW):
+    def __init__(self, totals: list[int], weights: list[float] | None = None, window: int = WINDOW, least: int = LEAST, phases: list[int] | None = None):
         self.totals = np.array(totals, np.int64)
         shares = np.array(weights if weights is not None else totals, np.float64)
         shares = np.where(self.totals > 0, np.maximum(shares, 0), 0)
         if shares.sum() <= 0:
             shares = (self.totals > 0).astype(np.float64)
         shares = shares / max(shares.sum(), 1)
-        # A queue with tokens sends something in every window, or it would never end.
-        self.quanta = np.where(self.totals > 0, np.maximum(1, np.ceil(shares * window * 2**PLACES)), 1).astype(np.int64)
+        # A queue with tokens sends something in the end, or it would never be empty.
+        quanta = np.where(self.totals > 0, np.maximum(1, np.ceil(shares * window * 2**PLACES)), 1).astype(np.int64)
+        self.periods = np.maximum(1, -((-least << PLACES) // quanta))
+        self.turns = self.periods * quanta  # what a queue sends at a turn
+        self.phases = np.array(phases if phases is not None else [0] * len(totals), np.int64) % self.periods
 
     def sent(self, w: int) -> np.ndarray:
         """Tokens that each queue has sent before window ``w``."""
-        return np.minimum(self.totals, (w * self.quanta) >> PLACES)
+        return np.minimum(self.totals, ((w + self.phases) // self.periods * self.turns) >> PLACES)
 
     def runs(self, queue: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The runs, each within one window, of spans of ``n`` tokens from position ``first`` of a queue:
+        """The runs, each of one turn, of spans of ``n`` tokens from position ``first`` of a queue:
         (number of the span, position in the queue, length, place in the stream), span by span."""
-        quantum = self.quanta[queue]
-        window = lambda at, q: (((at + 1) << PLACES) - 1) // q  # noqa: E731  in which token ``at`` is sent
-        # Below a token a window, each token is a run of its own; else there is one for each window.
-        single = quantum < 1 << PLACES
-        low, high = window(first, quantum), window(first + np.maximum(n, 1) - 1, quantum)
-        counts = np.where(n <= 0, 0, np.where(single, n, high - low + 1))
+        turn = lambda at, size: (((at + 1) << PLACES) - 1) // size  # noqa: E731  in which token ``at`` is sent
+        low, high = turn(first, self.turns[queue]), turn(first + np.maximum(n, 1) - 1, self.turns[queue])
+        counts = np.where(n <= 0, 0, high - low + 1)
         span = np.repeat(np.arange(len(n)), counts)
         step = np.arange(len(span)) - np.repeat(np.cumsum(counts) - counts, counts)
-        q, begin, end = quantum[span], first[span], first[span] + n[span]
-        w = np.where(single[span], window(begin + np.where(single[span], step, 0), q), low[span] + step)
-        at = np.where(single[span], begin + step, np.maximum(begin, (w * q) >> PLACES))
-        length = np.where(single[span], 1, np.minimum(end, ((w + 1) * q) >> PLACES) - at)
+        size, begin, end = self.turns[queue][span], first[span], first[span] + n[span]
+        t = low[span] + step
+        at = np.maximum(begin, (t * size) >> PLACES)
+        length = np.minimum(end, ((t + 1) * size) >> PLACES) - at
+        w = (t + 1) * self.periods[queue][span] - self.phases[queue][span] - 1  # the window of that turn
         own = queue[span]
         windows, which = np.unique(w, return_inverse=True)
         place, block = np.empty(len(span), np.int64), max(1, STATES // max(1, len(self.totals)))
@@ -135,8 +144,8 @@ def encoded_queues(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, te
     return ranged.select("doc_id", "queue", "text").mapInArrow(run, schema)
 
 
-def _quanta(by_queue: DataFrame, weights: dict[str, float] | None, window: int) -> DataFrame:
-    """queue and quantum, as ``RoundRobin`` works them out."""
+def _quanta(by_queue: DataFrame, weights: dict[str, float] | None, window: int, least: int) -> DataFrame:
+    """queue, period, turn (what it sends at one) and phase, as ``RoundRobin`` works them out."""
     if weights is None:
         shares = by_queue.select("queue", F.col("total").cast("double").alias("share"))
     else:
@@ -144,11 +153,13 @@ def _quanta(by_queue: DataFrame, weights: dict[str, float] | None, window: int)
         shares = by_queue.join(given, "queue", "left").select("queue", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)).alias("share"))
     found = shares.agg(F.sum("share").alias("all"), F.count("*").alias("n")).first()
     share, whole = (F.col("share"), found["all"]) if found["all"] > 0 else (F.lit(1.0), float(found["n"]))
-    return shares.select("queue", F.greatest(F.lit(1).cast("long"), F.ceil(share / F.lit(max(whole, 1.0)) * F.lit(float(window)) * F.lit(float(2**PLACES)))).alias("quantum"))
+    quanta = shares.select("queue", F.greatest(F.lit(1).cast("long"), F.ceil(share / F.lit(max(whole, 1.0)) * F.lit(float(window)) * F.lit(float(2**PLACES)))).alias("quantum"))
+    periods = quanta.withColumn("period", F.greatest(F.lit(1).cast("long"), F.expr(f"({least << PLACES} + quantum - 1) div quantum")))
+    return periods.select("queue", "period", (F.col("period") * F.col("quantum")).alias("turn"), (F.crc32(F.col("queue").cast("binary")) % F.col("period")).alias("phase"))
 
 
 def _placed_runs(rows: DataFrame, quanta: DataFrame, id_type: T.DataType) -> DataFrame:
-    """doc_id, doc_tokens, start, place, width and ids of every run of a document within a window.
+    """doc_id, doc_tokens, start, place, width and ids of every run of a document within a turn.
 
     Runs are dealt out by ranges of (window, queue, position), which are all distinct, so a window or
     a queue of any size spreads over tasks; the driver holds one sum for each range.
@@ -157,13 +168,13 @@ def _placed_runs(rows: DataFrame, quanta: DataFrame, id_type: T.DataType) -> Dat
               T.StructField("width", T.IntegerType()), T.StructField("ids", T.BinaryType())]
     schema = T.StructType(fields)
 
-    def windows(first: int, n: int, quantum: int):
+    def windows(first: int, n: int, period: int, size: int, phase: int):
         """(window, position, size) of the runs of ``n`` tokens from position ``first`` of a queue."""
         at, end = first, first + n
         while at < end:
-            w = (((at + 1) << PLACES) - 1) // quantum
-            upto = min(end, ((w + 1) * quantum) >> PLACES)
-            yield w, at, upto - at
+            turn = (((at + 1) << PLACES) - 1) // size
+            upto = min(end, ((turn + 1) * size) >> PLACES)
+            yield (turn + 1) * period - phase - 1, at, upto - at
             at = upto
 
     def split(batches):
@@ -174,8 +185,8 @@ def _placed_runs(rows: DataFrame, quanta: DataFrame, id_type: T.DataType) -> Dat
                 kinds = [batch.schema.field(0).type, *[pa.int64()] * 5, pa.string(), pa.int32(), pa.binary()]
                 return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=schema.names)
 
-            for doc_id, queue, at, n, width, packed, base, quantum in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-                for w, position, size in windows(base + at, n, quantum):
+            for doc_id, queue, at, n, width, packed, base, *turns in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
+                for w, position, size in windows(base + at, n, *turns):
                     start = position - base - at
                     values = (doc_id, n, start, w, position, size, queue, width, packed[start * width : (start + size) * width])
                     for column, value in zip(out, values, strict=True):
@@ -199,7 +210,7 @@ def _placed_runs(rows: DataFrame, quanta: DataFrame, id_type: T.DataType) -> Dat
 
     wide = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["w", "queue", "position"]
-    runs = rows.join(quanta, "queue").select("doc_id", "queue", "at", "n", "width", "ids", "base", "quantum").mapInArrow(split, schema)
+    runs = rows.join(quanta, "queue").select("doc_id", "queue", "at", "n", "width", "ids", "base", "period", "turn", "phase").mapInArrow(split, schema)
     ranged = stored(runs.repartitionByRange(wide, *order).sortWithinPartitions(*order).mapInArrow(summed, ranged_schema), "packing-runs")
     starts, upto = [], 0
     for r in sorted(ranged.groupBy("range").agg(F.sum("size").alias("size")).collect()):
@@ -210,7 +221,7 @@ def _placed_runs(rows: DataFrame, quanta: DataFrame, id_type: T.DataType) -> Dat
 
 
 def pack_documents(
-    docs: DataFrame, *, weights: dict[str, float] | None = None, length: int = LENGTH, window: int = WINDOW, tokenizer: str | None = None, end_id: int = 0,
+    docs: DataFrame, *, weights: dict[str, float] | None = None, length: int = LENGTH, window: int = WINDOW, least: int = LEAST, tokenizer: str | None = None, end_id: int = 0,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_ids: bool = False,
 ) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_to of every piece."""
@@ -274,7 +285,7 @@ def pack_documents(
         bases = F.broadcast(bases)
     joined = rows.join(bases, ["queue", "part"]).select("doc_id", "queue", "at", "n", "width", "ids", "base")
     if not few:
-        runs = _placed_runs(joined, _quanta(by_queue, weights, window), docs.schema[id_col].dataType)
+        runs = _placed_runs(joined, _quanta(by_queue, weights, window, least), docs.schema[id_col].dataType)
 
         def run_placed(batches):
             for batch in batches:
@@ -286,7 +297,7 @@ def pack_documents(
         return runs.mapInArrow(run_placed, schema)
 
     queues = sorted(totals)
-    robin = RoundRobin([totals[q] for q in queues], [weights.get(q, 0.0) for q in queues] if weights is not None else None, window)
+    robin = RoundRobin([totals[q] for q in queues], [weights.get(q, 0.0) for q in queues] if weights is not None else None, window, least, [phase(q) for q in queues])
     number = {q: i for i, q in enumerate(queues)}
 
     def run(batches):

@@ -69,7 +69,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of every document in sequences of 1,024 tokens, each of which holds every source in its share."""
+    """Pieces of every document in sequences of 1,024 tokens; every window of 64 of them holds the sources in their shares."""
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 

@@ -176,14 +176,42 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with every span, overlapping ones as one, replaced by its kind in brackets."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+#: Characters of a stretch of text, and spans of a block, that redaction looks at together.
+STRETCH, BLOCK = 512, 128
+
+
+def stretches(text: Column) -> Column:
+    """A text in stretches of STRETCH characters: a cut in it then costs one stretch, not the way from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))
+
+
+def redacted(parts: str, length: Column, spans: str) -> Column:
+    """The text whose stretches are in ``parts`` with every span, overlapping ones as one, replaced by its kind in brackets.
+
+    Spans are worked off in blocks, so that what has been put out so far is copied once a block and not once a span.
+    """
+    stretch = lambda at: F.floor(at / STRETCH).cast("int")
+
+    def cut(start: Column, end: Column) -> Column:
+        inside = F.transform(F.sequence(stretch(start), stretch(end - 1)), lambda k: F.substring(F.col(parts)[k], F.greatest(start - k * STRETCH, F.lit(0)) + 1, F.least(end - k * STRETCH, F.lit(STRETCH)) - F.greatest(start - k * STRETCH, F.lit(0))))
+        return F.when(end > start, F.array_join(inside, "")).otherwise(F.lit(""))
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.when(s["start"] > acc["at"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"])).otherwise(F.lit(""))
         mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(F.concat(gap, mark))).alias("out"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(F.concat(cut(acc["at"], s["start"]), mark))).alias("out"))
+
+    def of_block(done: Column, b: Column) -> Column:
+        start = F.struct(F.element_at(done, -1)["at"].alias("at"), F.array().cast("array<string>").alias("out"))
+        block = F.aggregate(F.slice(F.col(spans), b * BLOCK + 1, BLOCK), start, step, lambda acc: F.struct(acc["at"].alias("at"), F.array_join(acc["out"], "").alias("text")))
+        return F.concat(done, F.array(block))
+
+    first = F.array(F.struct(F.lit(0).alias("at"), F.lit("").alias("text")))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int"))
+    every = F.aggregate(blocks, first, of_block, lambda done: F.concat(F.array_join(F.transform(done, lambda d: d["text"]), ""), cut(F.element_at(done, -1)["at"], length)))
+    return F.when(F.size(spans) > 0, every).otherwise(F.array_join(F.col(parts), ""))
+
 
-    done = F.aggregate(spans, start, step, lambda acc: F.struct(acc["at"].alias("at"), F.array_join(acc["out"], "").alias("text")))
-    return F.when(F.size(spans) > 0, F.concat(done["text"], F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
+def redact(scanned: DataFrame, name: str = "text") -> DataFrame:
+    """``scanned`` (with ``scanned_text`` and ``spans``) with the redacted text as ``name``."""
+    staged = scanned.withColumn("stretches", stretches(F.col("scanned_text")))
+    return staged.withColumn(name, redacted("stretches", F.length("scanned_text"), "spans")).drop("stretches")

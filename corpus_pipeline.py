@@ -14,7 +14,7 @@ from cairn.llm.common import read_table, stored
 from cairn.llm.near_dedup import near_duplicates
 from cairn.llm.packing import pack_documents
 from cairn.llm.quality import score_quality, train_quality
-from cairn.llm.secrets import redacted, scan_secrets
+from cairn.llm.secrets import redact, scan_secrets
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -34,15 +34,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its secrets replaced by their kind in brackets, n_chars counted anew."""
-    scanned = scan_secrets(docs, keep=COLUMNS, with_text=True)
-    clean = F.when(F.col("text").isNotNull(), redacted(F.col("scanned_text"), F.col("spans")))
-    found = F.size("spans") > 0
-    frame = scanned.select("doc_id", clean.alias("text"), "lang", "source", "n_chars", found.alias("found"))
-    return frame.select("doc_id", "text", "lang", "source", F.when(F.col("found"), F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    scanned = redact(scan_secrets(docs, keep=COLUMNS, with_text=True), "clean")
+    clean = F.when(F.col("text").isNotNull(), F.col("clean")).alias("text")
+    n_chars = F.when(F.size("spans") > 0, F.length("clean").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    return scanned.select("doc_id", clean, "lang", "source", n_chars)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of every document, with their token ids, in full sequences that hold the corpus's mixture of sources."""
+    """Pieces of every document, with their token ids, in full sequences that hold the corpus's mixture of sources over every window."""
     return pack_documents(docs, with_ids=True)
 
 
