@@ -88,15 +88,6 @@ def unsigned_crc(column):
     return F.crc32(column.cast("binary"))
 
 
-def range_bounds(df: DataFrame, column: str, buckets: int) -> list:
-    """At most ``buckets - 1`` ascending bounds that cut the column's values into about equal shares."""
-    shares = [i / buckets for i in range(1, buckets)]
-    if not shares:
-        return []
-    found = df.agg(F.percentile_approx(column, shares, max(10_000, 20 * buckets)).alias("bounds")).first()["bounds"]
-    return sorted(set(found or []))
-
-
 def bucket_of(column: str, bounds: list):
     """The number of bounds that are at most the value: bucket order is value order; nulls are first.
 

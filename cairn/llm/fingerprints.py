@@ -15,7 +15,9 @@ the contract wants as a number, counts such a pair as having nothing in common.
 Shingles are five words in a row (runs of anything but ASCII white space, A-Z lowered); with fewer
 words, the whole sequence. The next document's text comes from a window over buckets of ids: a bucket
 also gets the first row of the next one, so its last row finds its neighbour without a global sort.
-There is a bucket for every ``BUCKET_BYTES`` of text, so a task's share does not grow with the input.
+Buckets are ranges that Spark cuts the ids alone into, ``BUCKETS`` for each of the session's shuffle partitions, and
+one small row of each is all that the driver and a broadcast hold: their number is the cluster's width, not the input's
+size, and a bucket that is larger than memory is sorted on disk.
 
 Odd rows: a null or empty text, or one of white space alone, has an empty fingerprint, whose likeness
 to any other is 1 if that is empty too and else 0; rows of one id follow each other by text; null ids
@@ -29,12 +31,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import bucket_of, range_bounds, text_or_empty
+from cairn.llm.common import bucket_of, text_or_empty
 
 SHINGLE_WORDS = 5
 SCALE = 8
-#: Text of one bucket, about: what a task gets to sort.
-BUCKET_BYTES = 32 * 1024 * 1024
+#: Buckets for each shuffle partition.
+BUCKETS = 2
 #: The lowest 64-bit number, and the kept part of the range above it.
 LOWEST = -(2**63)
 THRESHOLD = LOWEST + 2**64 // SCALE
@@ -95,14 +97,25 @@ def as_text(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lower(F.hex(h))), ",")
 
 
+def id_ranges(rows: DataFrame, ranges: int) -> tuple[bool, list]:
+    """Whether there are null ids, and the least id of each of at most ``ranges`` ascending ranges of about as many rows.
+
+    Equal ids share a range. Only the ids are shuffled.
+    """
+    ids = rows.select("doc_id").repartitionByRange(ranges, F.col("doc_id").asc_nulls_first()).select("doc_id", F.spark_partition_id().alias("range"))
+    found = ids.groupBy("range").agg(F.max(F.col("doc_id").isNull()).alias("has_null"), F.min("doc_id").alias("low")).collect()  # a row a range
+    return any(r["has_null"] for r in found), sorted(r["low"] for r in found if r["low"] is not None)
+
+
 def with_next(rows: DataFrame, buckets: int) -> DataFrame:
     """Rows of (doc_id, text) with sketch, next_text and next_sketch in ascending id; the last row's
     next is the first. A bucket's sentinel is the first row of the next bucket that has any; it comes
     in before the sketches are made, so that each row's is made once."""
-    placed = rows.withColumn("bucket", bucket_of("doc_id", range_bounds(rows, "doc_id", buckets)))
-    firsts = placed.groupBy("bucket").agg(F.max(F.col("doc_id").isNull()).alias("has_null"), F.min("doc_id").alias("low")).orderBy("bucket").collect()  # `buckets` rows at most
-    # The first id of each bucket, a null if it has one, and the bucket before it (the last one before the first).
-    heads = [(None if r["has_null"] else r["low"], before["bucket"]) for r, before in zip(firsts, [*firsts[-1:], *firsts[:-1]], strict=True)]
+    has_null, lows = id_ranges(rows, buckets)
+    bounds = lows[1:]  # nulls and the ids of the first range are one bucket
+    placed = rows.withColumn("bucket", bucket_of("doc_id", bounds))
+    # The first id of each bucket, and the bucket before it (the last one before the first).
+    heads = [(None if has_null or not lows else lows[0], len(bounds)), *((low, i) for i, low in enumerate(bounds))]
     heads = rows.sparkSession.createDataFrame(heads, T.StructType([T.StructField("head", rows.schema["doc_id"].dataType), T.StructField("bucket", T.IntegerType())]))
     found = rows.join(F.broadcast(heads), rows["doc_id"].eqNullSafe(heads["head"]))  # one row a bucket
     one = Window.partitionBy("doc_id").orderBy("text")  # of rows of one id the first by text
@@ -121,9 +134,7 @@ def fingerprints_with_neighbours(docs: DataFrame, *, id_col: str = "doc_id", tex
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or
     all) of the next document's.
     """
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    buckets = max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     paired = with_next(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")), buckets)
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     edited = paired.select(

@@ -638,7 +638,7 @@ def test_fingerprints(spark, odd, empty):
 
 def test_neighbours_in_many_buckets(spark, monkeypatch):
     """Against brute force: fingerprints, likeness and neighbours over more buckets than rows in some."""
-    monkeypatch.setattr(fingerprints, "BUCKET_BYTES", 300)
+    monkeypatch.setattr(fingerprints, "BUCKETS", 40)
     rng = random.Random(15)
     rows = [(rng.choice([i, i * 1000, -i]), " ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 60)))) for i in range(1, 90)]
     rows = list(dict(rows).items()) + [(None, "first of all")]
