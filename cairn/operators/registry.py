@@ -76,22 +76,44 @@ def query_tokens(queries: DataFrame) -> DataFrame:
 
 
 #: Most edits of a typo between two tokens.
-_EDITS = f"floor({TYPO_RATIO} * greatest(length(qtoken), length(token)))"
+_EDITS = f"({round(100 * TYPO_RATIO)} * greatest(length(qtoken), length(token)) div 100)"
+
+
+def _rare_grams(tokens: DataFrame, spread: DataFrame, key: str) -> DataFrame:
+    """(key, gram): of each token the bigrams that a near one must have one of, those of the fewest tokens.
+
+    An edit changes three bigrams at most (a swap), so tokens within k edits share all but 3 k of either's bigrams; with
+    bigrams in one fixed order for all tokens, the first 3 k + 1 of both then have one in common.
+    """
+    grams = tokens.select(key, F.explode(bigrams(key)).alias("gram")).join(spread, "gram", "left")
+    order = Window.partitionBy(key).orderBy(F.coalesce("tokens", F.lit(0)), "gram")
+    most = 3 * F.floor(TYPO_RATIO * (F.length(key) + 2)) + 1  # a near token is two characters longer at most
+    return grams.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select(key, "gram")
+
+
+def _kinds(token: str):
+    """A bit for each kind of character that a token has."""
+    characters = F.filter(F.split(token, ""), lambda c: c != "")
+    return F.aggregate(characters, F.lit(0).cast("long"), lambda m, c: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(64)))))
 
 
 def _near(qtokens: DataFrame, stats: DataFrame, near: str) -> DataFrame:
     """Distinct (qtoken, token) pairs that share a bigram, whose lengths allow a typo and for which
     ``near`` holds, an SQL condition on these and their Levenshtein distance ``lev``.
 
-    A bigram is joined together with the length, so only tokens of a fitting length meet, and pairs are
-    measured where they meet: next to nothing is left to make distinct.
+    Tokens meet on rare bigrams, together with their length: frequent bigrams, where most tokens would meet, are looked
+    up only for tokens that have no others. An edit brings in one kind of character at most and takes away one, so pairs
+    that differ in more kinds than edits are allowed are not measured.
     """
     slack = F.when(F.least(F.length("qtoken"), F.col("size")) >= 7, 2).otherwise(1)
-    grams = bigram_index(stats.where(F.length("token") >= TYPO_LEAST)).withColumn("size", F.length("token"))
-    asked = qtokens.select("qtoken").distinct().where(F.length("qtoken") >= TYPO_LEAST).withColumn("token", F.col("qtoken"))
+    known = stats.select("token").where(F.length("token") >= TYPO_LEAST)
+    spread = bigram_index(known).groupBy("gram").agg(F.count("*").alias("tokens"))
+    grams = _rare_grams(known, spread, "token").withColumns({"size": F.length("token"), "kinds": _kinds("token")})
+    asked = _rare_grams(qtokens.select("qtoken").distinct().where(F.length("qtoken") >= TYPO_LEAST), spread, "qtoken")
     sizes = F.filter(F.sequence(F.length("qtoken") - 2, F.length("qtoken") + 2), lambda n: n >= TYPO_LEAST)
-    asked = asked.select("qtoken", F.explode(bigrams("token")).alias("gram")).withColumn("size", F.explode(sizes))
+    asked = asked.withColumn("own", _kinds("qtoken")).withColumn("size", F.explode(sizes))
     met = grams.join(asked, ["gram", "size"]).where((F.abs(F.length("qtoken") - F.col("size")) <= slack) & (F.col("token") != F.col("qtoken")))
+    met = met.where(f"greatest(bit_count(own & ~kinds), bit_count(kinds & ~own)) <= {_EDITS}")
     return met.withColumn("lev", F.levenshtein("qtoken", "token")).where(near).select("qtoken", "token").distinct()
 
 
@@ -104,13 +126,15 @@ def osa_typos(queries: DataFrame, stats: DataFrame) -> DataFrame:
     """The same by optimal string alignment, in which swapped neighbours count once.
 
     A swap saves one edit, so Levenshtein distance is at most twice the alignment's, and what it has
-    beyond the limit must be saved by neighbours that the other token has the other way round. That
-    screens the pairs for the UDF.
+    beyond the limit must be saved by neighbours that the other token has the other way round; where one
+    edit is allowed, by a swap alone, which leaves the letters what they are. That screens the pairs for the UDF.
     """
     from cairn.functions.distance import osa_distance
 
     swaps = "size(filter(transform(sequence(1, length(qtoken) - 1), i -> reverse(substring(qtoken, i, 2))), g -> contains(token, g)))"
-    pairs = _near(query_tokens(queries), stats, f"lev <= 2 * {_EDITS} AND (lev <= {_EDITS} OR lev - {_EDITS} <= {swaps})")
+    letters = "array_join(array_sort(split({}, '')), '')"
+    saved = f"CASE WHEN {_EDITS} = 1 THEN length(qtoken) = length(token) AND kinds = own AND {letters.format('qtoken')} = {letters.format('token')} ELSE lev - {_EDITS} <= {swaps} END"
+    pairs = _near(query_tokens(queries), stats, f"lev <= 2 * {_EDITS} AND (lev <= {_EDITS} OR {saved})")
     return pairs.withColumn("distance", osa_distance("qtoken", "token").cast("bigint")).where(F.expr(f"distance <= {_EDITS}")).select("qtoken", "token", "distance")
 
 
