@@ -70,6 +70,10 @@ def subtype_rules(spark: SparkSession, book: RuleBook) -> DataFrame:
     return spark.createDataFrame(rows, SUBTYPE_COLUMNS)
 
 
+#: Names that are broadcast to a lookup; more of them are joined like any table.
+ASKED = 100_000
+
+
 def needed_types(book: RuleBook, templates: list[str], extra: list[str] = ()) -> list[str]:
     """Declared types that placeholders of templates, or the caller, ask for; enums harvested from data count through ``path``."""
     asked = {m.split(".")[0].strip() for t in templates for m in re.findall(r"<([^<>\s]+)>", t)} | set(extra) | {t for t, _, _ in complex_enum_sources(book)}
@@ -168,6 +172,27 @@ def definitions(scripts: DataFrame, rules: DataFrame, subtypes: DataFrame | None
     return definitions_of(parsed_files(scripts, rules), rules, subtypes)
 
 
+def write_by_type(found: DataFrame, path: str) -> None:
+    """Definitions by type: a folder for each, so that a lookup opens only the types it asks for."""
+    found.write.mode("overwrite").partitionBy("type").parquet(path)
+
+
+def of_types(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
+    """Stored definitions of the names asked for (type, name). Which folders are read is decided while the query runs, by
+    the types that are asked for."""
+    wanted = asked.where("name <> ''").select(F.col("type").alias("asked_type"), F.lower("name").alias("asked_name")).distinct()
+    rows = spark.read.parquet(path)
+    return rows.join(F.broadcast(wanted) if wanted.limit(ASKED + 1).count() <= ASKED else wanted, (rows["type"] == F.col("asked_type")) & (F.lower(rows["name"]) == F.col("asked_name"))).drop("asked_type", "asked_name")
+
+
+def with_source(found: DataFrame, scripts: DataFrame) -> DataFrame:
+    """Definitions (few, as a search leaves them) with the text between their offsets; no text of any other file is moved."""
+    wanted = found.select("source", "rel_path").distinct()
+    texts = scripts.select("source", "rel_path", "text").join(wanted, ["source", "rel_path"], "left_semi")
+    cut = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
+    return found.join(texts, ["source", "rel_path"]).withColumn("body", cut).drop("text")
+
+
 def enum_members(files: DataFrame, rules: DataFrame, sources: list[tuple[str, str, tuple[str, ...]]]) -> DataFrame:
     """(enum, value): values of enums that are harvested along a path of keys below the objects of a type.
 

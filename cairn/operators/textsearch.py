@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.sources.tables import lines
+from cairn.sources.tables import lines, stored
 
 
 def text_search(docs: DataFrame, term: str, limit: int = 20, group: tuple[str, ...] = ("lang", "source"), file: str = "doc_id") -> DataFrame:
@@ -34,6 +34,41 @@ def text_search(docs: DataFrame, term: str, limit: int = 20, group: tuple[str, .
     return hits.crossJoin(F.broadcast(total)).select(place.alias("place"), *group, file, "line", shown.alias("snippet"), F.col("total").cast("bigint").alias("total"))  # one row
 
 
+def running_total(rows: DataFrame, order: list[str], size: str) -> DataFrame:
+    """``before``: the sum of ``size`` over all rows that come before in ``order``, whose values are distinct.
+
+    Rows are sorted by ranges; a range's own sums are a window over it, and the ranges before it come to one number
+    each, so no task sees all rows.
+    """
+    ranged = stored(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "running-total")
+    sums = ranged.groupBy("range").agg(F.sum(size).alias("n"))
+    bases = sums.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("base"))  # a row a partition
+    own = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.withColumn("own", F.coalesce(F.sum(size).over(own), F.lit(0))).join(F.broadcast(bases), "range").withColumn("before", F.col("base") + F.col("own")).drop("own", "base", "range")
+
+
+def budgeted(files: DataFrame, budget: int, directory: str = "directory", path: str = "path", size: str = "size") -> DataFrame:
+    """``files`` with ``round`` and ``scanned``: directories give one file each a round, in order of their paths, until
+    files of ``budget`` altogether have been opened. ``files`` need no contents."""
+    rounds = files.withColumn("round", F.row_number().over(Window.partitionBy(directory).orderBy(path)).cast("bigint"))
+    return running_total(rounds, ["round", directory, path], size).withColumn("scanned", F.col("before") < budget).drop("before")
+
+
+def budgeted_search(docs: DataFrame, term: str, budget: int, directory: str = "source", path: str = "doc_id", limit: int = 20) -> DataFrame:
+    """Files with lines that hold the term, found within a budget of characters, and what that leaves open.
+
+    ``truncated``: some files were not opened. ``matched_at_least``: hits in those that were; ``total``: all hits, null
+    where files were not opened; ``has_more``: whether more files than ``limit`` have hits, or may have. Only the contents
+    of opened files are searched.
+    """
+    sized = budgeted(docs.select(directory, path, F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("size")), budget, directory, path)
+    opened = docs.select(path, "text").join(sized.where("scanned").select(directory, path, "round"), path)
+    hits = lines(opened, (directory, path, "round")).where(F.contains(F.lower("txt"), F.lit(term.lower()))).groupBy(directory, path, "round").agg(F.count("*").alias("hits"))
+    ends = sized.agg(F.max(~F.col("scanned")).alias("truncated")).crossJoin(hits.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("matched_at_least"), F.count("*").alias("n_files")))  # a row each
+    first = hits.orderBy("round", directory, path).limit(limit).crossJoin(F.broadcast(ends))
+    return first.select(directory, path, "round", "hits", "truncated", "matched_at_least", F.when(~F.col("truncated"), F.col("matched_at_least")).alias("total"), (F.col("truncated") | (F.col("n_files") > limit)).alias("has_more"))
+
+
 def call_sites(docs: DataFrame, first: int = 3) -> DataFrame:
     """Word-like tokens on lines with an assignment mark: the first places and how many more."""
     marked = lines(docs).where(F.contains("txt", F.lit(":")) | F.contains("txt", F.lit("="))).withColumn("code", F.regexp_replace("txt", "#.*$", ""))

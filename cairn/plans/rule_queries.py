@@ -12,7 +12,7 @@ from cairn.operators import evaluate, harvest, lookup, parse, registry, rules, s
 from cairn.operators.rulebook import RuleBook
 from cairn.operators.validate import overall, validate
 from cairn.plans.catalogue import _BEST, _CASES, _docs, _index, query
-from cairn.sources.tables import table
+from cairn.sources.tables import shared_path, table
 
 # Definitions out of files.
 
@@ -490,6 +490,47 @@ def stale_sources(spark, d):
     return both.select("source", F.when(F.col("new").isNull(), "removed").when(F.col("old").isNull(), "added").otherwise("edited").alias("state"))
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN n_chars + 1 WHEN doc_id % 7 = 2 THEN n_chars + 100000 ELSE n_chars END AS n FROM documents WHERE doc_id % 7 <> 0
+UNION ALL SELECT -1 - doc_id, n_chars FROM documents WHERE doc_id % 7 = 3""")
+def followed_tree(spark, d):
+    """Rows of a tree after files were added, edited (some without a change of size) and deleted: two versions of a followed sink."""
+    from cairn.streaming import refresh
+
+    docs = _docs(spark, d).select("doc_id", "n_chars")
+    k, sink = F.col("doc_id") % 7, shared_path(spark, "followed")
+    old = docs.select(F.col("doc_id").alias("path"), F.col("n_chars").alias("length"), F.lit(0).cast("bigint").alias("modified"), F.col("n_chars").alias("n"))
+    edited = F.when(k == 1, F.struct((F.col("n_chars") + 1).alias("length"), F.lit(0).cast("bigint").alias("modified"), (F.col("n_chars") + 1).alias("n")))
+    touched = F.when(k == 2, F.struct(F.col("n_chars").alias("length"), F.lit(1).cast("bigint").alias("modified"), (F.col("n_chars") + 100000).alias("n")))
+    same = F.struct(F.col("n_chars").alias("length"), F.lit(0).cast("bigint").alias("modified"), F.col("n_chars").alias("n"))
+    new = docs.where(k != 0).select(F.col("doc_id").alias("path"), F.coalesce(edited, touched, same).alias("f")).select("path", "f.*")
+    new = new.unionByName(docs.where(k == 3).select((-1 - F.col("doc_id")).alias("path"), F.col("n_chars").alias("length"), F.lit(5).cast("bigint").alias("modified"), F.col("n_chars").alias("n")))
+    for tree in (old, new):
+        refresh.follow(tree.select("path", "length", "modified"), sink, lambda paths, tree=tree: tree.join(paths, "path", "left_semi").select("path", "n"))
+    return refresh.followed(spark, sink).select(F.col("path").alias("doc_id"), "n")
+
+
+_BUDGET = 200_000
+
+
+@query(f"""WITH f AS (SELECT source, doc_id, coalesce(length(text), 0) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS round, coalesce(text, '') AS text FROM documents),
+ b AS (SELECT *, coalesce(sum(size) OVER (ORDER BY round, source, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < {_BUDGET} AS scanned FROM f),
+ h AS (SELECT source, doc_id, round, len(list_filter(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda x: contains(lower(x), 'tion'))) AS hits FROM b WHERE scanned),
+ e AS (SELECT (SELECT bool_or(NOT scanned) FROM b) AS truncated, (SELECT CAST(sum(hits) AS BIGINT) FROM h) AS m, (SELECT count(*) FROM h WHERE hits > 0) AS n)
+SELECT source, doc_id, round, CAST(hits AS BIGINT) AS hits, truncated, m AS matched_at_least, CASE WHEN NOT truncated THEN m END AS total, truncated OR n > 20 AS has_more FROM h, e WHERE hits > 0 ORDER BY round, source, doc_id LIMIT 20""")
+def budgeted_scan(spark, d):
+    """A search that opens a file of each source in turn until its budget of characters is spent, and says what that leaves open."""
+    return textsearch.budgeted_search(_docs(spark, d), "tion", _BUDGET)
+
+
+@query("""WITH asked AS (SELECT DISTINCT 'Brand#' || p_size % 5 AS type, p_name AS name FROM part WHERE p_size < 20) SELECT type, name, count(*) AS n, min(p_partkey) AS first FROM part JOIN asked ON p_brand = type AND p_name = name GROUP BY type, name""")
+def typed_lookup(spark, d):
+    """Definitions looked up in a store by type: parts as objects, their brands as types; five brands are asked for."""
+    part, path = table(spark, d, "part"), shared_path(spark, "by-type")
+    harvest.write_by_type(part.select(F.col("p_brand").alias("type"), F.col("p_name").alias("name"), "p_partkey"), path)
+    asked = part.where("p_size < 20").select(F.concat(F.lit("Brand#"), (F.col("p_size") % 5).cast("string")).alias("type"), F.col("p_name").alias("name"))
+    return harvest.of_types(spark, path, asked).groupBy("type", "name").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
+
+
 # Searches that must find nothing, and names in another order.
 
 

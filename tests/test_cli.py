@@ -29,6 +29,7 @@ def places(tmp_path_factory):
     ("verb", "code", "holds"),
     [
         (["list"], 0, "base.cwt"), (["search", "has_water", "--type", "nothing"], 2, "UNKNOWN_TYPE"), (["get", "farmer"], 0, "FOUND"), (["verify"], 0, "OK"),
+        (["search", "has_watr"], 0, "has_water"), (["text", "size"], 0, "miner = { size = 1 }"), (["validate", "good.txt", "--kind", "trigger"], 0, "CWT_IDENTIFIER"), (["validate", "bad.txt", "--kind", "trigger"], 2, "has_water"), (["doctor"], 0, '"n_definitions":2'),
     ],
 )
 def test_verbs(spark, places, capsys, verb, code, holds):
