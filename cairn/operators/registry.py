@@ -79,6 +79,12 @@ def query_tokens(queries: DataFrame) -> DataFrame:
 _EDITS = f"({round(100 * TYPO_RATIO)} * greatest(length(qtoken), length(token)) div 100)"
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by keys over all shuffle partitions. Spark would join small partitions into few, but here few rows
+    make many: what follows on them multiplies."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _rare_grams(tokens: DataFrame, spread: DataFrame, key: str) -> DataFrame:
     """(key, gram): of each token the bigrams that a near one must have one of, those of the fewest tokens.
 
@@ -88,6 +94,7 @@ def _rare_grams(tokens: DataFrame, spread: DataFrame, key: str) -> DataFrame:
     grams = tokens.select(key, F.explode(bigrams(key)).alias("gram")).join(spread, "gram", "left")
     order = Window.partitionBy(key).orderBy(F.coalesce("tokens", F.lit(0)), "gram")
     most = 3 * F.floor(TYPO_RATIO * (F.length(key) + 2)) + 1  # a near token is two characters longer at most
+    grams = dealt(grams, key)
     return grams.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select(key, "gram")
 
 
@@ -170,7 +177,7 @@ def readings(queries: DataFrame, stats: DataFrame) -> DataFrame:
     # A token that is a typo as well as a completion counts as a typo.
     one = every.groupBy("qtoken", "token").agg(F.max_by(F.struct("priority", "distance"), "priority").alias("r")).select("qtoken", "token", "r.*")
     order = Window.partitionBy("qtoken").orderBy((F.col("priority") != 0), "distance", "token")
-    return one.withColumn("place", F.row_number().over(order)).where(F.col("place") <= READINGS).select("qtoken", "token", "priority", "distance")
+    return dealt(one, "qtoken").withColumn("place", F.row_number().over(order)).where(F.col("place") <= READINGS).select("qtoken", "token", "priority", "distance")
 
 
 def containing(queries: DataFrame, registry: DataFrame) -> DataFrame:
@@ -212,6 +219,6 @@ def shortlist_topk(queries: DataFrame, registry: DataFrame, stats: DataFrame, k:
     hits = read.join(postings(registry), "token").select("query_id", "name", F.lit(1).alias("support"), "priority")
     other = templates_for(queries, registry).withColumn("priority", F.lit(0)).unionByName(containing(queries, registry).withColumn("priority", F.lit(4)))
     rows = hits.unionByName(other.select("query_id", "name", F.lit(0).alias("support"), "priority"))
-    ranked = rows.withColumn("priority", F.col("priority").cast("bigint")).groupBy("query_id", "name").agg(F.sum("support").alias("support"), F.min("priority").alias("priority"))
+    ranked = dealt(rows.withColumn("priority", F.col("priority").cast("bigint")), "query_id").groupBy("query_id", "name").agg(F.sum("support").alias("support"), F.min("priority").alias("priority"))
     order = Window.partitionBy("query_id").orderBy(F.desc("support"), "priority", "name")
     return ranked.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k).select("query_id", "name", "support", "priority", "rank")
