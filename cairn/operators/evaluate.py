@@ -64,3 +64,33 @@ def negative_cases(cases: DataFrame) -> DataFrame:
     t = F.split("expected", "_")
     reverse = cases.where(F.size(t) >= 3).select("query_id", F.lit("reverse").alias("mutation"), F.array_join(F.reverse(t), "_").alias("query"))
     return reverse.unionByName(cases.select("query_id", F.lit("unrelated").alias("mutation"), F.concat(F.lit("zzq"), "query_id", F.lit("_xxk_vvw")).alias("query")))
+
+
+#: Apart from each other are the ids of the queries that are made of one name.
+_APART = 1 << 40
+
+
+def evaluation_cases(cases: DataFrame) -> DataFrame:
+    """query_id, split, mutation, query, expected: the mutated names, each name reversed and rotated by a token, and a name that is
+    like none. A name's split, calibration or holdout, follows from a hash of it alone, so it stays when names are added."""
+    t = F.split("expected", "_")
+    long = cases.where(F.size(t) >= 3)
+    other = lambda rows, i, mutation, query: rows.select((F.col("query_id") + i * _APART).alias("query_id"), F.lit(mutation).alias("mutation"), query.alias("query"), "expected")
+    every = (
+        cases.select("query_id", "mutation", "query", "expected")
+        .unionByName(other(long, 1, "reverse", F.array_join(F.reverse(t), "_"))).unionByName(other(long, 2, "rotate", F.array_join(F.concat(F.slice(t, 2, 1000), F.slice(t, 1, 1)), "_")))
+        .unionByName(other(cases, 3, "unrelated", F.concat(F.lit("zzq"), "query_id", F.lit("_xxk_vvw"))))
+    )
+    return every.withColumn("split", F.when(F.substring(F.md5("expected"), 1, 1) < "8", "calibration").otherwise("holdout"))
+
+
+def evaluated(cases: DataFrame, ranked: DataFrame) -> DataFrame:
+    """By split and mutation: queries, hit_1, hit_5, returned, and the median and 95th percentile of the best scores.
+
+    ``ranked``: query_id, name, rank, match_score.
+    """
+    per_query = ranked.join(cases.select("query_id", "expected"), "query_id").groupBy("query_id").agg(F.min(F.when(F.col("name") == F.col("expected"), F.col("rank"))).alias("place"), F.max("match_score").alias("best"))
+    rows = cases.select("query_id", "split", "mutation").join(per_query, "query_id", "left")
+    hit = lambda k: F.count(F.when(F.col("place") <= k, 1))
+    share = lambda p: F.percentile_approx("best", p, 10_000)
+    return rows.groupBy("split", "mutation").agg(F.count("*").alias("queries"), hit(1).alias("hit_1"), hit(5).alias("hit_5"), F.count("best").alias("returned"), share(0.5).alias("median_score"), share(0.95).alias("p95_score"))

@@ -170,6 +170,20 @@ def fuzzy_metrics(spark, d):
     return evaluate.metrics(_cases(spark, d), fuzzy_search(spark, d).select("query_id", "name", "rank"))
 
 
+@query(f"""WITH {_CASES}, perm AS (SELECT *, string_split(expected, '_') AS t FROM cases), every AS (SELECT query_id, mutation, query, expected FROM cases
+ UNION ALL SELECT query_id + {1 << 40}, 'reverse', array_to_string(list_reverse(t), '_'), expected FROM perm WHERE len(t) >= 3 UNION ALL SELECT query_id + {2 << 40}, 'rotate', array_to_string(list_concat(t[2:], t[1:1]), '_'), expected FROM perm WHERE len(t) >= 3
+ UNION ALL SELECT query_id + {3 << 40}, 'unrelated', 'zzq' || query_id || '_xxk_vvw', expected FROM cases),
+found AS (WITH cases AS (SELECT query_id, query FROM every), {search_sql.matches()}, {search_sql.TOP} SELECT query_id, name, rank, match_score FROM top),
+hit AS (SELECT query_id, mutation, CASE WHEN substr(md5(expected), 1, 1) < '8' THEN 'calibration' ELSE 'holdout' END AS split, min(CASE WHEN name = expected THEN rank END) AS place, max(match_score) AS best FROM every LEFT JOIN found USING (query_id) GROUP BY query_id, mutation, expected)
+SELECT split, mutation, count(*) AS queries, count(CASE WHEN place <= 1 THEN 1 END) AS hit_1, count(CASE WHEN place <= 5 THEN 1 END) AS hit_5, count(best) AS returned, quantile_disc(best, 0.5) AS median_score, quantile_disc(best, 0.95) AS p95_score FROM hit GROUP BY split, mutation""")
+def evaluation(spark, d):
+    """The search on mutated, reversed, rotated and unrelated names, by split."""
+    cases, reg, stats = _index(spark, d)
+    every = evaluate.evaluation_cases(cases).persist()
+    found = align.fuzzy_search(every.select("query_id", "query"), reg, stats)
+    return evaluate.evaluated(every, found.select("query_id", "name", "rank", "match_score"))
+
+
 @query(f"""WITH {_SHORT}, best AS (SELECT query_id, mutation, expected, min(CASE WHEN name = expected THEN rank END) AS place, count(name) AS n FROM cases LEFT JOIN short USING (query_id) GROUP BY ALL)
 SELECT coalesce(mutation, 'all') AS mutation, count(*) AS queries, count(CASE WHEN place <= 1 THEN 1 END) AS hit_1, count(CASE WHEN place <= 5 THEN 1 END) AS hit_5, count(CASE WHEN n > 0 THEN 1 END) AS returned
 FROM best GROUP BY GROUPING SETS ((mutation), ())""")
