@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cairn.operators.align import RELATED_COVERAGE, RELATED_SCORE, RESULT_SCORE, RESULT_SUPPORT, fuzzy_matches
 from cairn.operators.registry import tokens_of
 from cairn.operators.rules import template_match
+from cairn.sources.tables import stored
 
 #: Scores of what is no suggestion; statuses whose rows stay one for each place; limits.
 EXACT, TEMPLATE, FILE_NAME = 100.0, 99.0, 98.0
@@ -87,6 +88,54 @@ def definition_texts(node_rows: DataFrame, docs: DataFrame, doc: str = "doc", te
     return tops.select(doc, "node_id", "key", (F.col("line") - F.regexp_count(lead, F.lit("\n"))).cast("int").alias("start_line"), "end_line", F.concat(lead, body, behind).alias("source"))
 
 
+#: Kinds of alias whose source is the whole run of roots around them.
+RUN_KINDS = r"^alias\[(trigger|effect):"
+
+
+def run_texts(node_rows: DataFrame, docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
+    """``definition_texts``, but a trigger or effect alias comes with all roots before and after it that no blank line parts
+    from it: overloads and what belongs to them stand in one run. Runs are islands over the text between roots."""
+    tops = node_rows.where("error is null and depth = 0").select(doc, "node_id", "key", "start", "end", "line", "end_line", "depth", "error")
+    order = Window.partitionBy(doc).orderBy("start")
+    between = tops.withColumn("before", F.lag("end").over(order)).join(docs.select(doc, text), doc)
+    parted = F.substring(text, F.col("before") + 1, F.col("start") - F.col("before")).rlike(r"\n[ \t\r]*\n")
+    islands = between.select(*tops.columns, F.sum(F.coalesce(parted, F.lit(False)).cast("int")).over(order).alias("island"))
+    run = Window.partitionBy(doc, "island")
+    whole = {"start": F.min("start"), "end": F.max("end"), "line": F.min("line"), "end_line": F.max("end_line")}
+    is_run = F.lower("key").rlike(RUN_KINDS)
+    spread = islands.select(doc, "node_id", "key", "depth", "error", *(F.when(is_run, f.over(run)).otherwise(F.col(c)).alias(c) for c, f in whole.items()))
+    return definition_texts(spread, docs, doc, text)
+
+
+#: What a reply says of its rows, by the kinds that it has.
+TIPS = ("candidates, not confirmed interfaces", "candidates only: a definition belongs to the name suggested, not to the one asked for", "a known shape; whether its object exists is not said")
+
+
+def projected(found: DataFrame, queries: DataFrame, details: DataFrame | None = None) -> DataFrame:
+    """One row a query for a reader: ``results``, ``templates`` and ``suggestions`` (arrays of name, type, definitions), ``more`` and ``tips``.
+
+    A name of a type stands once, as confirmed before as a template before as a suggestion; what fits a template is shown
+    under the name that was asked for. ``found``: rows of ``search`` of the tier "result"; ``details`` (name, type, definition)
+    are joined to the rows that are shown only.
+    """
+    group = F.when(F.col("status").isin("CONFIRMED_CWT", "CONFIRMED_GAME_DATA"), 0).when(F.col("status") == "TEMPLATE_MATCH", 1).otherwise(2)
+    rows = found.join(queries.select("query_id", "query"), "query_id").withColumn("group", group).withColumn("shown", F.when(F.col("group") == 1, F.col("query")).otherwise(F.col("name")))
+    one = rows.groupBy("query_id", F.col("shown").alias("name"), "type").agg(F.min(F.struct("group", "rank")).alias("r"), F.max("total").alias("total")).select("query_id", "name", "type", "r.*", "total")
+    one = stored(one, "shown")  # the few rows of each query that are shown; details and replies both read them
+    if details is not None:
+        wanted = one.where("group <> 1").select("name", "type").distinct()
+        texts = details.join(wanted, ["name", "type"], "left_semi").groupBy("name", "type").agg(F.array_sort(F.collect_list("definition")).alias("definitions"))  # definitions of one name
+        one = one.join(texts, ["name", "type"], "left")
+    else:
+        one = one.withColumn("definitions", F.lit(None).cast("array<string>"))
+    row = F.struct("rank", "name", "type", "definitions")
+    lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("group") == i, row))), lambda x: x.dropFields("rank")).alias(n) for i, n in enumerate(("results", "templates", "suggestions"))]
+    replies = one.groupBy("query_id").agg(F.count("*").alias("shown"), F.max("total").alias("total"), *lists)
+    has = lambda c: F.size(c) > 0
+    tips = F.when(has("suggestions") & (has("results") | has("templates")), TIPS[0]).when(has("suggestions"), TIPS[1]).when(has("templates"), TIPS[2])
+    return replies.select("query_id", "results", "templates", "suggestions", F.greatest(F.col("total") - F.col("shown"), F.lit(0)).alias("more"), tips.alias("tips"))
+
+
 def same_text(rows: DataFrame, by: list[str], key: str = "id") -> DataFrame:
     """``same_as``: the first row (by ``key``) with equal values of ``by``; null for that row itself."""
     first = Window.partitionBy(*by)

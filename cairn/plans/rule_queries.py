@@ -209,6 +209,20 @@ def declarations(spark, d):
     return keys.select(body.alias("key"), kind.alias("kind"), body.alias("body")).groupBy("key", "kind", "body").agg(F.count("*").alias("n"))
 
 
+_RUN = "'# lead of ' || s_suppkey || chr(10) || 'alias[trigger:s' || s_suppkey || '] = bool' || chr(10) || 'alias[effect:s' || s_suppkey || '] = { a = int }' || chr(10) || 'alias[trigger:t' || s_suppkey % 7 || '] = bool # tail'"
+
+
+@query(f"""SELECT s_suppkey AS doc, node_id, CAST(first AS INT) AS start_line, CAST(last AS INT) AS end_line, source FROM supplier, LATERAL (VALUES (0, 1, 4, {_RUN}), (1, 1, 4, {_RUN}), (3, 1, 4, {_RUN}),
+ (4, 6, 6, 'other = {{ b = ' || s_suppkey || ' }}'), (6, 7, 7, 'alias[modifier:m' || s_suppkey || '] = float'), (7, 9, 9, 'alias[effect:alone] = int')) t(node_id, first, last, source)""")
+def alias_runs(spark, d):
+    """The source of aliases with the roots of their run: three in a row, one of another kind, one alone."""
+    run = F.expr(_RUN.replace("chr(10)", "'\\n'"))
+    key = F.col("s_suppkey").cast("string")
+    text = F.concat(run, F.lit("\n\nother = { b = "), key, F.lit(" }\nalias[modifier:m"), key, F.lit("] = float\n \nalias[effect:alone] = int"))
+    docs = table(spark, d, "supplier").select(F.col("s_suppkey").alias("doc"), text.alias("text"))
+    return lookup.run_texts(parse.nodes(docs), docs).select("doc", "node_id", "start_line", "end_line", "source")
+
+
 # Validation.
 
 #: Script, what its root must give, its findings: one line for each code.
@@ -328,12 +342,15 @@ def _symbols(spark, d, reg):
     return reg.select("name", F.lit("name").alias("type"), F.lit("rules").alias("origin"), F.col("name").alias("id")).unionByName(own).unionByName(wide)
 
 
-@query(f"""WITH {_BEST}, exact_ AS (SELECT query_id, name, 'name' AS type, 'CONFIRMED_CWT' AS status, 100.0 AS match_score, 1.0 AS s, 1.0 AS c FROM cases JOIN reg ON lower(query) = lower(name)),
+_FOUND = f"""WITH {_BEST}, exact_ AS (SELECT query_id, name, 'name' AS type, 'CONFIRMED_CWT' AS status, 100.0 AS match_score, 1.0 AS s, 1.0 AS c FROM cases JOIN reg ON lower(query) = lower(name)),
 fit AS (SELECT query_id, 'the_<word>', 'template', 'TEMPLATE_MATCH', 99.0, 1.0, 1.0 FROM cases WHERE regexp_matches(query, '^the_.{{1,128}}$')),
 near AS (SELECT query_id, name, 'name', 'SUGGESTION', match_score, query_support, candidate_coverage FROM best WHERE lower(query) <> name),
 every AS (SELECT * FROM exact_ UNION ALL SELECT * FROM fit UNION ALL SELECT * FROM near),
 tier AS (SELECT *, CASE WHEN status <> 'SUGGESTION' OR (match_score >= 55 AND s >= 0.5) THEN 'result' WHEN match_score >= 25 AND c >= 0.35 THEN 'related' END AS tier FROM every),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, tier ORDER BY match_score DESC, name, type) AS rank, count(*) OVER (PARTITION BY query_id, tier) AS total FROM tier WHERE tier IS NOT NULL)
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, tier ORDER BY match_score DESC, name, type) AS rank, count(*) OVER (PARTITION BY query_id, tier) AS total FROM tier WHERE tier IS NOT NULL)"""
+
+
+@query(f"""{_FOUND}
 SELECT query_id, tier, rank, name, type, status, CAST(match_score AS DOUBLE) AS match_score, CAST(1 AS BIGINT) AS n_definitions, total, total > CASE tier WHEN 'result' THEN 20 ELSE 40 END AS truncated FROM ranked WHERE rank <= CASE tier WHEN 'result' THEN 20 ELSE 40 END""")
 def search_all(spark, d):
     """Exact names, templates and like names of every query in graded tiers."""
@@ -342,6 +359,21 @@ def search_all(spark, d):
     return lookup.search(cases.select("query_id", "query"), symbols, ["the_<word>"], stats)
 
 
+@query(f"""{_FOUND}, shown AS (SELECT query_id, CASE status WHEN 'TEMPLATE_MATCH' THEN query ELSE name END AS n, type, CASE status WHEN 'CONFIRMED_CWT' THEN 0 WHEN 'TEMPLATE_MATCH' THEN 1 ELSE 2 END AS g, rank, total FROM ranked JOIN cases USING (query_id) WHERE tier = 'result' AND rank <= 20),
+ one AS (SELECT query_id, n, type, min(g) AS g, min(rank) AS rank, max(total) AS total FROM shown GROUP BY query_id, n, type),
+ said AS (SELECT query_id, max(total) - count(*) AS more, coalesce(string_agg(n || '=' || n || '!', ',' ORDER BY rank) FILTER (g = 0), '') AS results, coalesce(string_agg(n, ',' ORDER BY rank) FILTER (g = 1), '') AS templates, coalesce(string_agg(n || '=' || n || '!', ',' ORDER BY rank) FILTER (g = 2), '') AS suggestions FROM one GROUP BY query_id)
+SELECT *, CASE WHEN suggestions <> '' AND (results <> '' OR templates <> '') THEN '{lookup.TIPS[0]}' WHEN suggestions <> '' THEN '{lookup.TIPS[1]}' WHEN templates <> '' THEN '{lookup.TIPS[2]}' END AS tips FROM said""")
+def projected_replies(spark, d):
+    """One reply a query: confirmed names, templates and suggestions apart, each with its definitions, and what is left out."""
+    cases, reg, stats = _index(spark, d)
+    symbols = reg.select("name", F.lit("name").alias("type"), F.lit("rules").alias("origin"), F.col("name").alias("id"))
+    asked = cases.select("query_id", "query")
+    found = lookup.search(asked, symbols, ["the_<word>"], stats).where("tier = 'result'")
+    replies = lookup.projected(found, asked, symbols.select("name", "type", F.concat("name", F.lit("!")).alias("definition")))
+    listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("=", x["name"], F.array_join(x["definitions"], ";"))), ",").alias(c)
+    return replies.select("query_id", listed("results"), F.array_join(F.transform("templates", lambda x: x["name"]), ",").alias("templates"), listed("suggestions"), "more", "tips")
+
+
 @query(f"""WITH {_CASES}, {_SYMBOLS}, targets AS (SELECT query_id AS target_id, CASE query_id % 3 WHEN 0 THEN expected WHEN 1 THEN 'n' || (query_id % 25) ELSE '../secret' END AS target FROM cases)
 SELECT target_id, CASE WHEN target LIKE '..%' THEN 'BAD_TARGET' WHEN s.id IS NULL THEN 'NOT_FOUND' ELSE 'FOUND' END AS state, s.name, s.type FROM targets LEFT JOIN symbols s ON target NOT LIKE '..%' AND (s.id = target OR (lower(s.name) = lower(target) AND target NOT IN (SELECT id FROM symbols)))""")
 def get_definitions(spark, d):
