@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,10 +61,13 @@ def stale(before: DataFrame, now: DataFrame) -> DataFrame:
 # each version that is whole. What is not committed counts for nothing: a run that dies before that leaves
 # the sink as it was, and the next one writes the same version again.
 
+#: Spark's condition for a file that was listed and is gone.
+_GONE = "FAILED_READ_FILE.FILE_NOT_EXIST"
+
 
 def listing(spark: SparkSession, folders: list[str], pattern: str = "*") -> DataFrame:
     """(path, length, modified) of the files below some folders, those of display names among them; contents are not read."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("ignoreMissingFiles", "true")
     trees = [read.load(f).select("path", "length", F.unix_micros("modificationTime").alias("modified")) for f in folders]
     return reduce(DataFrame.unionByName, trees).distinct()
 
@@ -125,6 +129,16 @@ def followed(spark: SparkSession, sink: str) -> DataFrame:
 
 
 def follow_stream(clock: DataFrame, folders: list[str], sink: str, build: Callable[[DataFrame], DataFrame], checkpoint: str, seconds: int = 2):
-    """A running query that looks at the folders at each micro-batch of ``clock`` (a rate stream, say) and follows them."""
-    look = lambda batch, _: follow(listing(batch.sparkSession, folders), sink, build)
+    """A running query that looks at the folders at each micro-batch of ``clock`` (a rate stream, say) and follows them.
+
+    A file that goes away while it is read stops that look, of which nothing is committed; the next one no longer lists it.
+    """
+
+    def look(batch: DataFrame, _: int) -> None:
+        try:
+            follow(listing(batch.sparkSession, folders), sink, build)
+        except (Py4JJavaError, PySparkException) as problem:
+            if _GONE not in str(problem):
+                raise
+
     return clock.writeStream.foreachBatch(look).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
