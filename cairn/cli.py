@@ -91,7 +91,7 @@ def _validate(work: Workspace, args) -> DataFrame:
 
 
 VERBS = {
-    "list": lambda work, args: work.rules.select("rel_path", "length"),
+    "list": lambda work, args: work.rules.select("rel_path", "length").orderBy("rel_path"),
     "search": _search,
     "get": _get,
     "text": _text,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,10 +14,9 @@ from cairn.operators.rules import template_match
 from cairn.sources.tables import stored
 
 #: Scores of what is no suggestion; statuses whose rows stay one for each place; limits.
-EXACT, TEMPLATE, FILE_NAME = 100.0, 99.0, 98.0
+EXACT, TEMPLATE = 100.0, 99.0
 ONE_EACH = ("CONFIRMED_CWT", "TEMPLATE_MATCH")
-RELATED_LIMIT, QUERY_CHARS, MOST_ROWS, LARGE_FILE = 40, 512, 500, 800
-SNIPPET, CALL_SNIPPET = 110, 76
+RELATED_LIMIT, QUERY_CHARS, MOST_ROWS, SNIPPET = 40, 512, 500, 110
 #: What an economic name ends in.
 ECONOMIC = r"(?i)^([a-z0-9][a-z0-9_.-]*)_(cost|produces|upkeep|logistics)_(mult|add)$"
 #: Fixed text of the scoring legend.
@@ -137,9 +137,14 @@ def projected(found: DataFrame, queries: DataFrame, details: DataFrame | None =
 
 
 def same_text(rows: DataFrame, by: list[str], key: str = "id") -> DataFrame:
-    """``same_as``: the first row (by ``key``) with equal values of ``by``; null for that row itself."""
-    first = Window.partitionBy(*by)
-    return rows.withColumn("first_id", F.min(key).over(first)).withColumn("same_as", F.when(F.col("first_id") != F.col(key), F.col("first_id"))).drop("first_id")
+    """``same_as``: the first row (by ``key``) with equal values of ``by``; null for that row itself.
+
+    First rows are partial minima, joined back; a value that very many rows share is a skewed key of a plain join, which
+    Spark splits, and no task holds its rows as a group.
+    """
+    firsts = rows.groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(F.min(key).alias("first_id"))
+    joined = rows.join(firsts, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by)))
+    return joined.select(*rows.columns, F.when(F.col("first_id") != F.col(key), F.col("first_id")).alias("same_as"))
 
 
 def get_definitions(targets: DataFrame, symbols: DataFrame, calls: DataFrame | None = None, first: int = 3) -> DataFrame:

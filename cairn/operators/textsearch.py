@@ -26,7 +26,8 @@ def text_search(docs: DataFrame, term: str, limit: int = 20, group: tuple[str, .
     ranked = files.where("hits > 0").withColumn("f", F.row_number().over(f)).where(F.col("f") <= limit)
     ranked = ranked.join(F.broadcast(groups), list(group))  # limit rows
     chosen = ranked.orderBy("f", "g").limit(limit).withColumn("fo", F.row_number().over(Window.orderBy("f", "g")))
-    hits = rows.where("hit = 1").join(F.broadcast(chosen.select(file, "fo")), file)
+    opened = docs.join(F.broadcast(chosen.select(file, "fo")), file)  # ``limit`` files: no other is cut into lines again
+    hits = lines(opened, (*group, file, "fo")).where(F.contains(F.lower("txt"), F.lit(term.lower())))
     hits = hits.withColumn("r", F.row_number().over(Window.partitionBy(file).orderBy("line"))).where(F.col("r") <= limit).orderBy("r", "fo").limit(limit)
     place = F.row_number().over(Window.orderBy("r", "fo")).cast("bigint")
     text = F.trim("txt")

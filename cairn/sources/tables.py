@@ -57,7 +57,7 @@ def lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str =
 
 
 def text_tree(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Whole files under a folder, by path: rel_path, text, length, modified; read byte-exactly.
+    """Whole files under a folder: rel_path, text, length, modified; read byte-exactly, in no order.
 
     ``rel_path`` is what follows the folder in a file's path, whatever characters either has.
     """
@@ -65,7 +65,7 @@ def text_tree(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     root = re.sub(r"^file:/*", "/", path.rstrip("/")) + "/"
     whole = F.regexp_replace("path", r"^file:/*", "/")
     relative = whole.substr(F.length(F.substring_index(whole, root, 1)) + F.lit(len(root) + 1), F.length(whole))
-    return files.select(relative.alias("rel_path"), F.decode("content", "UTF-8").alias("text"), "length", F.col("modificationTime").alias("modified")).orderBy("rel_path")
+    return files.select(relative.alias("rel_path"), F.decode("content", "UTF-8").alias("text"), "length", F.col("modificationTime").alias("modified"))
 
 
 def descriptor(text: Column) -> Column:
