@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.operators.parse import nodes
@@ -228,6 +228,12 @@ def localisation(scripts: DataFrame, keys_of_text: int = 200) -> DataFrame:
     return first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= keys_of_text).select("lang", "key", "value")
 
 
+def raised(text: Column) -> Column:
+    """Upper case character by character: one that has no single upper-case character (as ß) stays, so lower case leads back to it."""
+    one = lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c)
+    return F.when(F.length(F.upper(text)) == F.length(text), F.upper(text)).otherwise(F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), one), ""))
+
+
 def by_display_name(queries: DataFrame, texts: DataFrame, symbols: DataFrame, languages: tuple[str, ...] = ("simp_chinese", "english")) -> DataFrame:
     """Two hops: a display text to the keys that have it, and these to the symbols of that name; of several
     languages the first in which a text is found counts. ``queries``: query_id, query."""

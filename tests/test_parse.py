@@ -98,6 +98,15 @@ def test_display_names_lead_to_symbols(spark):
     assert sorted((r.query_id, r.name) for r in found.collect()) == [(1, "key_d"), (2, "key_c")]
 
 
+def test_raised_titles_lead_back_to_themselves(spark):
+    """A letter without a single upper-case form, as ß, must not turn into two."""
+    texts = spark.createDataFrame([("english", "k1", "Große Straße 😀"), ("english", "k2", "Grosse Strasse 😀"), ("english", "k3", "äb")], "lang string, key string, value string")
+    queries = texts.select("key", harvest.raised(F.col("value")).alias("query")).withColumn("query_id", F.substring("key", 2, 1).cast("long"))
+    assert [r.query for r in queries.orderBy("key").collect()] == ["GROßE STRAßE 😀", "GROSSE STRASSE 😀", "ÄB"]
+    found = harvest.by_display_name(queries.select("query_id", "query"), texts, texts.select(F.col("key").alias("name")))
+    assert sorted((r.query_id, r.name) for r in found.collect()) == [(1, "k1"), (2, "k2"), (3, "k3")]
+
+
 def test_descriptors(spark):
     text = 'Name="A mod"\nversion2 = "1"\nsupported_version="3.*"\nname="Last"\n'
     assert spark.createDataFrame([(text,), (None,)], "t string").select(tables.descriptor(F.col("t")).alias("d")).first().d == {"name": "Last", "version2": "1", "supported_version": "3.*"}
