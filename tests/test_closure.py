@@ -143,3 +143,17 @@ def test_openings_follow_each_reference_once():
     ring = RuleBook({"r.cwt": "single_alias[p] = single_alias_right[q]\nsingle_alias[q] = single_alias_right[p]\nthing = { a = single_alias_right[p] }"})
     opened = ring.openings.of([ring.schemas["thing"][0].children[0]])
     assert opened[0] == () and [code for code, _ in opened[1]] == ["CYCLIC_CWT_REFERENCE"]
+
+
+def test_walks_are_all_kept(spark):
+    """Two ways between two rules are two walks, and a walk ends where it comes back to a rule on its way."""
+    edges = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "b"), ("e", "e"), ("f", None), (None, "a")]
+    want, open_ = [], [[a, b] for a, b in edges if a is not None and b is not None]
+    while open_:
+        trail = open_.pop()
+        cyclic = trail[-1] in trail[:-1]
+        want.append((trail[0], trail[-1], len(trail) - 1, cyclic))
+        if not cyclic:
+            open_ += [[*trail, b] for a, b in edges if a == trail[-1] and b is not None]
+    found = rules.walked(spark.createDataFrame(edges, "rule string, refers_to string"))
+    assert sorted(map(tuple, found.collect())) == sorted(want)
