@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cairn.functions.distance import osa
+from cairn.functions.distance import near_pairs, osa
 from cairn.operators.align import align, fuzzy_matches, fuzzy_search, tiers
 from cairn.operators.registry import token_stats
 
@@ -27,6 +29,46 @@ def test_osa():
         assert osa(a, b) == brute_osa(a, b)
 
 
+def brute_levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_near_pairs_are_all_pairs_within_the_edits():
+    """Blocks of words of many letters, of few, with copies beyond the third and longer than a machine word."""
+    rng = random.Random(5)
+    for letters, longest in (("ab", 9), ("abcßé😀", 9), ("ab", 70), ("abcdef", 66)):
+        size = rng.randint(longest - 3, longest)
+        left = ["".join(rng.choice(letters) for _ in range(rng.randint(max(1, size - 2), size + 2))) for _ in range(9)]
+        right = ["".join(rng.choice(letters) for _ in range(size)) for _ in range(8)] + [left[0][:1] * size]
+        most = np.array([34 * max(len(x), size) // 100 for x in left])
+        for swaps, distance in ((True, brute_osa), (False, brute_levenshtein)):
+            want = {(i, j): distance(a, b) for i, a in enumerate(left) for j, b in enumerate(right)}
+            i, j, edits = near_pairs(left, right, most, swaps)
+            assert dict(zip(zip(i.tolist(), j.tolist()), edits.tolist())) == {k: d for k, d in want.items() if d <= most[k[0]]}
+
+
+def test_typos_meet_in_one_block_only(spark, monkeypatch):
+    """Very many tokens of one length and of the same letters: each pair is met once, in even pieces."""
+    from cairn.operators import registry as names
+
+    monkeypatch.setattr(names, "BLOCK", 8)
+    rng = random.Random(7)
+    tokens = sorted({"".join(rng.choice("theory") for _ in range(rng.choice((3, 6, 6, 6, 7, 9)))) for _ in range(150)})
+    stats = spark.createDataFrame([(t,) for t in tokens], "token string")
+    queries = spark.createDataFrame([(i, t) for i, t in enumerate(tokens[::5])], "query_id long, query string")
+    pairs = [(q, t) for q in tokens[::5] for t in tokens if q != t and abs(len(q) - len(t)) <= (2 if min(len(q), len(t)) >= 7 else 1)]
+    for found, distance in ((names.osa_typos(queries, stats), brute_osa), (names.typo_candidates(queries, stats), brute_levenshtein)):
+        rows = sorted(map(tuple, found.collect()))
+        assert rows == sorted((q, t, d) for q, t in pairs if (d := distance(q, t)) <= 34 * max(len(q), len(t)) // 100)
+    assert names._blocks(stats, "l").where(F.size("l") > 32).isEmpty()
+
+
 @pytest.fixture(scope="module")
 def registry(spark):
     return spark.createDataFrame([(n,) for n in NAMES], "name string")
