@@ -100,3 +100,18 @@ def test_changed_files_are_noticed_and_streamed(spark, tmp_path):
         spark.range(n * 10).write.mode("append").parquet(source)
         refresh.refresh(spark, source, "*.parquet", "id long", sink, checkpoint, lambda batch: batch.selectExpr("id * 2 as twice"))
         assert spark.read.parquet(sink).count() == (10 if n == 1 else 30)
+
+
+def test_completions_of_frequent_tokens(spark):
+    """Sets of one, two and more tokens, some of which no name has, against plain counting."""
+    import random
+
+    from cairn.operators.registry import postings
+
+    rng = random.Random(4)
+    names = sorted({"_".join(rng.choices("of the a b c d".split(), [9, 9, 3, 2, 1, 1], k=rng.randint(2, 4))) for _ in range(90)})
+    asked = dict(enumerate(["of", "of_the", "of_the_a", "the_b_of_a", "zz", "of_zz", "zz_d_c", "d_c_b_a_the_of", "of_of", "of_the"]))
+    found = lookup.completion_counts(spark.createDataFrame(list(asked.items()), "query_id long, query string"), postings(spark.createDataFrame([(n,) for n in names], "name string")))
+    known = {t for n in names for t in n.split("_")}
+    want = {q: sum(held <= set(n.split("_")) for n in names) if (held := set(text.split("_")) & known) else 1 for q, text in asked.items()}
+    assert {r.query_id: r.completions for r in found.collect()} == want
