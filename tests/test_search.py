@@ -218,3 +218,42 @@ def test_swapped_letters_reach_the_shortlist(spark):
 def test_unrelated_names_and_permutations_are_not_suggested(spark, registry):
     queries = spark.createDataFrame([(1, "quantum_flux_inverter"), (2, "zeta"), (3, "job_pop_owned_any"), (4, "job_background_has")], "query_id long, query string")
     assert not fuzzy_search(queries, registry, token_stats(registry)).count()
+
+
+def test_shortlist_of_frequent_tokens_is_the_whole_ranking(spark):
+    """Names of few tokens, most of them frequent, against the plain sum of readings over all names; equal queries too."""
+    from cairn.operators import registry as names
+
+    rng = random.Random(11)
+    words = ["alpha", "alpah", "beta", "betta", "gamma", "delta", "rare", "omega"]
+    every = sorted({"_".join(rng.choices(words, [9, 3, 9, 3, 8, 8, 1, 5], k=rng.randint(3, 5))) for _ in range(400)} | {f"rare_x{i}_alpha" for i in range(3)})
+    reg = spark.createDataFrame([(n,) for n in every], "name string").persist()
+    stats = token_stats(reg).persist()
+    asked = {1: "alpha_beta", 2: "alpha_beta_gamma", 3: "betta_betta_rare", 4: "alpha_beta", 5: "gamma", 6: "alpha_alpah_beta_betta_gamma_delta", 7: "zzz_qqq", 8: "omega_rare_delta"}
+    queries = spark.createDataFrame(list(asked.items()), "query_id long, query string")
+    read = {}
+    for r in names.readings(queries, stats).collect():
+        read.setdefault(r.qtoken, []).append((r.token, r.priority))
+    contained = {(q, n) for q, t in asked.items() for n in every if len(t.split("_")) <= 2 and t in n}
+    for k in (3, 20, 100):
+        want = []
+        for q, text in asked.items():
+            rows = []
+            for n in every:
+                hits = [p for t in text.split("_") for token, p in read.get(t, ()) if token in n.split("_")]
+                if hits or (q, n) in contained:
+                    rows.append((-len(hits), min(hits + [4] * ((q, n) in contained)), n))
+            want += [(q, n, -s, p, i) for i, (s, p, n) in enumerate(sorted(rows)[:k], 1)]
+        assert sorted(map(tuple, names.shortlist_topk(queries, reg, stats, k).collect())) == sorted(want)
+
+
+def test_frequent_tokens_bring_no_more_rows_as_names_grow(spark):
+    """Four times the names of the same frequent token give a query no more rows to rank."""
+    from cairn.operators import registry as names
+
+    made = []
+    for n in (300, 1200):
+        tagged = spark.createDataFrame([(f"of_the_n{i}" if i % 2 else f"of_n{i}_x", ["of", "the"] if i % 2 else ["of"]) for i in range(n)], "name string, held array<string>")
+        frequent = spark.createDataFrame([(1, "of", 1, 0), (1, "the", 1, 0)], "query_id long, token string, weight long, priority long")
+        made.append(names._by_frequent(frequent, tagged, 20).count())
+    assert made[0] == made[1] <= 60
