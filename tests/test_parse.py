@@ -154,3 +154,35 @@ def test_text_search_is_fair(spark):
 def test_templates(spark):
     queries = spark.createDataFrame([(1, "fleet_cost_mult"), (2, "cost")], "query_id long, query string")
     assert [(r.query_id, r.captures) for r in rules.template_match(queries, ["<ship>_cost_<kind>", "<a><b>"]).collect()] == [(1, ["fleet", "mult"])]
+
+
+def test_round_trip_without_a_shuffle(spark):
+    """Equal texts, an empty and a missing one, and one that cannot be read; no rows are exchanged to put tokens together."""
+    docs = spark.createDataFrame([(1, "a = { b }"), (2, "a = { b }"), (3, ""), (4, None), (5, "a = ]"), (6, "x = 1 # é\n")], "doc int, text string").coalesce(1)
+    found = parse.lossless(docs)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, parse.round_trip(parse.tokens(docs), docs).collect()))
+    assert "hashpartitioning" not in found._jdf.queryExecution().toString()
+
+
+def test_equal_texts_are_read_once(spark, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+
+    def produce(text):
+        calls.add(1)
+        if text == "bad":
+            raise parse.ScriptError(3, "no")
+        return [{"n": len(text)}]
+
+    docs = spark.range(300).select(F.col("id").alias("doc"), F.element_at(F.array(F.lit("aa"), F.lit("bad"), F.lit("c")), (F.col("id") % 3 + 1).cast("int")).alias("text")).coalesce(1)
+    rows = parse._per_document(docs.repartition(4), "doc", "text", produce, "n int").collect()
+    assert sorted((r.doc, r.n, r.error_line) for r in rows) == [(i, (2, None, 1)[i % 3], (None, 3, None)[i % 3]) for i in range(300)]
+    assert calls.value <= 12
+
+
+def test_items_need_no_join(spark):
+    from cairn.operators import lookup
+
+    tree = parse.nodes(spark.createDataFrame([(1, "a = { b = 1 c = { } } z"), (2, "a = {")], "doc int, text string"))
+    found = lookup.node_items(tree, keep=("path",))
+    assert sorted((r.node_id, r.path, r["items"]) for r in found.collect()) == [(0, "a", ["b", "c"]), (1, "a/b", ["1"]), (2, "a/c", []), (3, "z", ["z"])]
+    assert "Join" not in found._jdf.queryExecution().toString()
