@@ -257,3 +257,44 @@ def test_frequent_tokens_bring_no_more_rows_as_names_grow(spark):
         frequent = spark.createDataFrame([(1, "of", 1, 0), (1, "the", 1, 0)], "query_id long, token string, weight long, priority long")
         made.append(names._by_frequent(frequent, tagged, 20).count())
     assert made[0] == made[1] <= 60
+
+
+def test_names_that_may_rank_are_found_where_names_are_ranked(spark):
+    """The bound of a block lets through every name that reaches a bar, and of names that cannot no more than a part goes on to be aligned."""
+    from functools import partial
+
+    from cairn.operators import align
+    from cairn.operators import registry as names
+
+    class Everything:
+        """A bound that rules nothing out."""
+
+        def __init__(self, bar, names, asked):
+            pass
+
+        def __call__(self, q, qw, qi, rows):
+            return rows >= 0
+
+    rng = random.Random(23)
+    words = ["energy", "enregy", "produces", "produce", "country", "job", "jobs", "background", "back", "ground", "pop", "owned", "has", "any", "add"]
+    every = sorted({"_".join(rng.choices(words, k=rng.randint(2, 5))) for _ in range(600)} | {"country_<resource>_add"})
+    reg = spark.createDataFrame([(n,) for n in every], "name string").persist()
+    stats = token_stats(reg).persist()
+    texts = ["enrgy_produces_country", "background_job", "back_ground_jbo", "pop_ownd_has_any", "country_energy_add", "produces_zzz_add", "energ"] * 2
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id long, query string").persist()
+    asked = queries.select(F.col("query_id").alias("query_id"), "query", F.col("query").alias("needle")).where("query_id < 7").persist()
+    for bar in ("result", "related"):
+        rows = {}
+        for kind, bound in (("all", partial(Everything, bar)), ("bound", partial(align.MayRank, bar))):
+            pairs = names.ranked_names(asked, names.searchable(reg), stats, 500, bound)
+            facts = align.with_facts(pairs.withColumn("query_chars", F.length(F.regexp_replace("needle", "_", "")).cast("double"))).select("query_id", "name", *(c.alias(n) for n, c in align.scored().items()))
+            result = (F.col("match_score") >= align.RESULT_SCORE) & (F.col("query_support") >= align.RESULT_SUPPORT)
+            related = (F.col("match_score") >= align.RELATED_SCORE) & (F.col("candidate_coverage") >= align.RELATED_COVERAGE)
+            wanted = result if bar == "result" else result | related
+            rows[kind] = facts.count(), {(r.query_id, r.name, r.match_score) for r in facts.where(wanted & F.col("admitted") & (F.col("query_support") >= align.LEAST_SUPPORT)).collect()}
+        assert rows["all"][1] == rows["bound"][1] != set()
+        assert rows["bound"][0] < rows["all"][0] / (2 if bar == "result" else 1)
+    found = {}
+    for r in align.fuzzy_matches(queries, reg, stats).collect():
+        found.setdefault(r.query_id % 7, {}).setdefault(r.query_id, set()).add((r.name, r.match_score))
+    assert found and all(len(x) == 2 and len({frozenset(rows) for rows in x.values()}) == 1 for x in found.values())  # equal queries, equal rows
