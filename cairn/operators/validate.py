@@ -62,7 +62,7 @@ def checked(scripts: DataFrame, book: RuleBook, schema: str | None = None, kind:
         if len(rows):
             yield rows.batch()
 
-    return spread(scripts.select(doc, text, *context)).mapInArrow(run, out)
+    return spread(scripts.select(doc, text, *context), text).mapInArrow(run, out)
 
 
 def declared_by_data(definitions: DataFrame, generated: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:

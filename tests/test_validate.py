@@ -150,3 +150,18 @@ def test_type_filters(book):
     names = {(n, k) for n, k, *_ in book.public_names()}
     assert {("pop_growth", "modifier"), ("has_water", "trigger"), ("thing", "schema"), ("thing", "type")} <= names and not any(n == "size" for n, _ in names)
     assert book.scope_line("world") == {"planet", "galaxy"}
+
+
+def test_a_task_has_no_more_scripts_as_their_number_grows(spark, monkeypatch):
+    """Scripts are dealt out by rows and characters, not by cores alone; many short ones and few long ones alike."""
+    from pyspark.sql import functions as F
+
+    from cairn.sources import tables
+
+    monkeypatch.setattr(tables, "PIECE", 100)
+    most = lambda docs: docs.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c")).agg(F.max("n"), F.max("c")).first()
+    for n in (1_000, 8_000):
+        short = spark.range(0, n, 1, 2).select(F.col("id").alias("doc"), F.lit("a = b").alias("text"))
+        assert most(tables.spread(short, "text"))[0] <= 200
+    long = spark.range(0, 60, 1, 1).select(F.col("id").alias("doc"), F.repeat(F.lit("a = b "), 400).alias("text"))
+    assert most(tables.spread(long, "text"))[1] <= 20 * 2_400
