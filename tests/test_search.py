@@ -298,3 +298,20 @@ def test_names_that_may_rank_are_found_where_names_are_ranked(spark):
     for r in align.fuzzy_matches(queries, reg, stats).collect():
         found.setdefault(r.query_id % 7, {}).setdefault(r.query_id, set()).add((r.name, r.match_score))
     assert found and all(len(x) == 2 and len({frozenset(rows) for rows in x.values()}) == 1 for x in found.values())  # equal queries, equal rows
+
+
+def test_parts_of_names_give_the_whole_ranking(spark, monkeypatch):
+    """Names over many parts and queries over several blocks give what one part gives; a query without tokens aligns with nothing."""
+    from cairn.operators import registry as names
+
+    rng = random.Random(31)
+    words = ["energy", "enregy", "produces", "country", "job", "jobs", "pop", "owned", "has", "any"]
+    reg = spark.createDataFrame([(n,) for n in sorted({"_".join(rng.choices(words, k=rng.randint(2, 4))) for _ in range(300)})], "name string").persist()
+    stats = token_stats(reg).persist()
+    texts = ["enrgy_produces_country", "jbo_pop", "pop_ownd_has_any", "any", "job_job_zzz"]
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id long, query string").persist()
+    whole = sorted(map(tuple, names.shortlist_topk(queries, reg, stats, 40).collect()))
+    monkeypatch.setattr(names, "PART_NAMES", 60)
+    monkeypatch.setattr(names, "BLOCK_QUERIES", 3)
+    assert sorted(map(tuple, names.shortlist_topk(queries, reg, stats, 40).collect())) == whole != []
+    assert not fuzzy_matches(spark.createDataFrame([(1, "_")], "query_id long, query string"), reg, stats).count()
